@@ -102,18 +102,18 @@ def remove_passages(docs: DataFrame, least_run: int = 96) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``; a character cut in part goes with its passage."""
     found = repeated_passages(docs, least_run).select("doc_id", "spans")
     joined = docs.join(found, "doc_id", "left").select(*docs.columns, "spans")
-    place = docs.columns.index("text")
+    place, width = docs.columns.index("text"), len(docs.columns)
 
     def work(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(place).to_pylist(), batch.column(len(docs.columns)).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(place).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 if spans and text is not None:
                     data, at, parts = text.encode(), 0, []
                     for span in spans:
                         parts.append(data[at : span["start"]])
                         at = span["end"]
-                    text = b"".join([*(p.decode("utf-8", "ignore") .encode() for p in parts), data[at:].decode("utf-8", "ignore").encode()]).decode()
+                    text = "".join(p.decode("utf-8", "ignore") for p in (*parts, data[at:]))
                 texts.append(text)
             columns = list(batch.columns[:-1])
             columns[place] = pa.array(texts, pa.string())
