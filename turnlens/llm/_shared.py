@@ -35,6 +35,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage with a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keys up to this many (8 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 2_000_000
+
+
+def broadcast_if_few(keys: DataFrame) -> DataFrame:
+    """A stored table of distinct keys, broadcast only if it has at most BROADCAST_KEYS rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

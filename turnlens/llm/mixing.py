@@ -99,36 +99,36 @@ def mix(
     No source is ever gathered in one task: numbering works in hash buckets of about BUCKET_ROWS rows, whose offsets
     come from a table of bucket counts. The driver gets one count for each source (MOST_SOURCES at most).
     """
-    base = docs.drop("block", "slot", "position", "_s", "_b", "_o", "_n", "_h")
+    base = docs.drop("block", "slot", "position")
     named = F.coalesce(F.col(source), F.lit("")) if source in base.columns else F.lit("")
     plain = [f.name for f in base.schema.fields if f.dataType.typeName() not in ("map", "variant") and f.name != key]
-    small = base.select(named.alias("_s"))
+    small = base.select(named.alias("__s"))
     total = small.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
-    rows = base.withColumns({"_s": named, "_b": F.pmod(F.xxhash64(key), F.lit(buckets)), "_h": F.xxhash64(*plain) if plain else F.lit(0)})
-    counted = checkpoint(base.select(named.alias("_s"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_b")).groupBy("_s", "_b").agg(F.count("*").alias("_n")))
-    sizes_table = counted.groupBy("_s").agg(F.sum("_n").alias("n"))
+    rows = base.withColumns({"__s": named, "__b": F.pmod(F.xxhash64(key), F.lit(buckets)), "__h": F.xxhash64(*plain) if plain else F.lit(0)})
+    counted = checkpoint(base.select(named.alias("__s"), F.pmod(F.xxhash64(key), F.lit(buckets)).alias("__b")).groupBy("__s", "__b").agg(F.count("*").alias("__n")))
+    sizes_table = counted.groupBy("__s").agg(F.sum("__n").alias("n"))
     if sizes_table.count() > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources: map them to groups first")
-    sizes = {r["_s"]: r["n"] for r in sizes_table.collect()}
+    sizes = {r["__s"]: r["n"] for r in sizes_table.collect()}
     chosen = temper(sizes, alpha) | {s: w for s, w in (weights or {}).items() if s in sizes}
     plan = phases({s: -(-n // block_rows) for s, n in sizes.items()}, chosen, period)
-    offsets = counted.select("_s", "_b", (F.sum("_n").over(W.partitionBy("_s").orderBy("_b")) - F.col("_n")).alias("_o"))
-    order = W.partitionBy("_s", "_b").orderBy(F.xxhash64(key, "_h"), F.col(key), "_h")
-    numbered = rows.join(offsets, ["_s", "_b"]).withColumn("_n", F.col("_o") + F.row_number().over(order) - 1)
+    offsets = counted.select("__s", "__b", (F.sum("__n").over(W.partitionBy("__s").orderBy("__b")) - F.col("__n")).alias("__o"))
+    order = W.partitionBy("__s", "__b").orderBy(F.xxhash64(key, "__h"), F.col(key), "__h")
+    numbered = rows.join(offsets, ["__s", "__b"]).withColumn("__n", F.col("__o") + F.row_number().over(order) - 1)
     spark = docs.sparkSession
     kind = "array<struct<source:string,first:bigint,blocks:bigint,start:bigint,width:bigint,slots:array<bigint>>>"
-    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), kind))).withColumnsRenamed({x: f"_p_{x}" for x in ("source", "first", "blocks", "start", "width", "slots")})
-    block = F.expr(f"_n div {block_rows}")
+    table = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(plan)), kind))).withColumnsRenamed({x: f"__p_{x}" for x in ("source", "first", "blocks", "start", "width", "slots")})
+    block = F.expr(f"__n div {block_rows}")
     # at most MOST_SOURCES rows a phase, made on the driver above
-    steps = table.groupBy("_p_source").agg(F.sort_array(F.collect_list(F.struct(*[c for c in table.columns if c != "_p_source"]))).alias("_p"))
+    steps = table.groupBy("__p_source").agg(F.sort_array(F.collect_list(F.struct(*[c for c in table.columns if c != "__p_source"]))).alias("__p"))
     return (
         numbered.withColumn("block", block)
-        .join(F.broadcast(steps), F.col("_s") == F.col("_p_source"))
-        .withColumn("_p", F.filter("_p", lambda p: (F.col("block") >= p["_p_first"]) & (F.col("block") < p["_p_first"] + p["_p_blocks"]))[0])
-        .withColumn("_k", F.col("block") - F.col("_p._p_first"))
-        .withColumn("_q", F.size("_p._p_slots").cast("long"))
-        .withColumn("slot", F.expr("_p._p_start + (_k div _q) * _p._p_width + element_at(_p._p_slots, cast(_k % _q + 1 as int))"))
-        .withColumn("position", F.expr(f"slot * {block_rows} + _n % {block_rows}"))
+        .join(F.broadcast(steps), F.col("__s") == F.col("__p_source"))
+        .withColumn("__p", F.filter("__p", lambda p: (F.col("block") >= p["__p_first"]) & (F.col("block") < p["__p_first"] + p["__p_blocks"]))[0])
+        .withColumn("__k", F.col("block") - F.col("__p.__p_first"))
+        .withColumn("__q", F.size("__p.__p_slots").cast("long"))
+        .withColumn("slot", F.expr("__p.__p_start + (__k div __q) * __p.__p_width + element_at(__p.__p_slots, cast(__k % __q + 1 as int))"))
+        .withColumn("position", F.expr(f"slot * {block_rows} + __n % {block_rows}"))
         .select(*base.columns, "block", "slot", "position")
     )

@@ -24,10 +24,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Rejection bands by language, then by script: least and most characters per token, most byte-fallback
 #: share, least entropy (bits) of the token distribution relative to its possible maximum.
 BANDS = {
-    "en": (1.30, 9.0, 0.05, 0.45),
-    "de": (1.30, 9.0, 0.08, 0.45),
-    "fr": (1.25, 9.0, 0.10, 0.45),
-    "es": (1.25, 9.0, 0.10, 0.45),
+    "en": (2.00, 9.0, 0.05, 0.45),
+    "de": (1.95, 9.0, 0.08, 0.45),
+    "fr": (1.95, 9.0, 0.10, 0.45),
+    "es": (1.95, 9.0, 0.10, 0.45),
     "latin": (1.15, 10.0, 0.15, 0.40),
     "greek": (0.60, 8.0, 0.60, 0.40),
     "cyrillic": (0.60, 8.0, 0.60, 0.40),
@@ -179,14 +179,14 @@ def quality_rules(docs: DataFrame, vocabulary: str, text: str = "text", lang: st
     room = F.log2(F.least(F.greatest(F.col("n_tokens"), F.lit(2)), F.lit(2048)).cast("double"))
     base = F.when(F.col("n_words") < 50, "few_words").when(100 * F.col("n_repeat_words") > 50 * F.col("n_words"), "repeats")
     fertility = (
-        F.when(F.col("chars_per_token") < F.col("_band")[0], "chars_per_token_low")
-        .when(F.col("chars_per_token") > F.col("_band")[1], "chars_per_token_high")
-        .when(F.col("byte_fallback_share") > F.col("_band")[2], "byte_fallback")
-        .when(F.col("token_entropy") < F.col("_band")[3] * room, "token_entropy")
+        F.when(F.col("chars_per_token") < F.col("__band")[0], "chars_per_token_low")
+        .when(F.col("chars_per_token") > F.col("__band")[1], "chars_per_token_high")
+        .when(F.col("byte_fallback_share") > F.col("__band")[2], "byte_fallback")
+        .when(F.col("token_entropy") < F.col("__band")[3] * room, "token_entropy")
     )
     return (
-        rated.withColumn("_band", band)
+        rated.withColumn("__band", band)
         .withColumns({"base_failed": base.isNotNull(), "fertility_failed": fertility.isNotNull(), "reason": F.coalesce(base, fertility)})
         .withColumn("kept", F.col("reason").isNull())
-        .drop("_band")
+        .drop("__band")
     )

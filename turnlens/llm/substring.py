@@ -100,8 +100,8 @@ def repeated_passages(docs: DataFrame, least_run: int = 96) -> DataFrame:
 
 def remove_passages(docs: DataFrame, least_run: int = 96) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``; a character cut in part goes with its passage."""
-    found = repeated_passages(docs, least_run).select("doc_id", "spans")
-    joined = docs.join(found, "doc_id", "left").select(*docs.columns, "spans")
+    found = repeated_passages(docs, least_run).select("doc_id", F.col("spans").alias("__spans"))
+    joined = docs.join(found, "doc_id", "left").select(*docs.columns, "__spans")
     place, width = docs.columns.index("text"), len(docs.columns)
 
     def work(batches):

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -104,42 +105,94 @@ def _lookup(path: str) -> np.ndarray:
     return np.sort(read_parquet_columns(path, ["h"])[0])
 
 
-def contexts(source: DataFrame, length: int, lookup: str | None, whole: bool) -> DataFrame:
-    """Contexts of shared anchors: (h, c, doc_id, at), c being a digest of the context; with ``whole``, equal contexts
-    of a slice come once, with their text and least document, as (h, c, doc_id, ctx)."""
-    schema = StructType.fromDDL("h long, c long").fields + source.schema.fields[:1] + StructType.fromDDL("ctx binary" if whole else "at long").fields
+def _found(batch: pa.RecordBatch, length: int, known: np.ndarray | None):
+    """By stretch: (row, offset in its text, anchor hash, context digest, context) of the runs of known anchors."""
+    for rows, low, buf, valid in _stretches(batch.column(1), length):
+        heads, tails, hashes = anchors(buf, valid, length)
+        h = hashes.view(np.int64)
+        if known is not None and len(heads):
+            place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+            hit = known[place] == h if len(known) else np.zeros(len(heads), bool)
+            heads, tails, h = heads[hit], tails[hit], h[hit]
+        if not len(heads):
+            continue
+        data = buf.tobytes()
+        texts = [data[a : b + length] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]
+        c = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), _U, len(texts)).view(np.int64)
+        row = rows[heads]
+        yield row, heads + low if low is not None else heads - np.searchsorted(rows, row), h, c, texts
+
+
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Marks the rows whose keys differ from those of the row before."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
+
+
+def anchored_runs(source: DataFrame, length: int, lookup: str | None) -> DataFrame:
+    """(h, c, doc_id, at, size, more): contexts of shared anchors, c being a digest of the context.
+
+    Where documents of one slice have equal contexts, the least one goes on (with the places of further copies inside
+    it in ``more``); in the others every byte of the context is repeated, so their merged spans come as rows with a
+    null c and a spread-out h. So a passage that very many documents share is one row a slice."""
+    schema = StructType(StructType.fromDDL("h long, c long").fields + source.schema.fields[:1] + StructType.fromDDL("at long, size long, more array<long>").fields)
 
     def work(batches):
         known = _lookup(lookup) if lookup else None
         for batch in batches:
             keys = batch.column(0)
-            ids = np.asarray(keys.fill_null(0)) if whole else None
-            for rows, low, buf, valid in _stretches(batch.column(1), length):
-                heads, tails, hashes = anchors(buf, valid, length)
-                if known is not None and len(heads):
-                    place = np.minimum(np.searchsorted(known, hashes.view(np.int64)), max(len(known) - 1, 0))
-                    hit = known[place] == hashes.view(np.int64) if len(known) else np.zeros(len(heads), bool)
-                    heads, tails, hashes = heads[hit], tails[hit], hashes[hit]
-                if not len(heads):
-                    continue
-                data = buf.tobytes()
-                texts = [data[a : b + length] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]
-                c = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), _U, len(texts)).view(np.int64)
-                row, h = rows[heads], hashes.view(np.int64)
-                if not whole:
-                    start = heads + low if low is not None else heads - np.searchsorted(rows, row)
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), keys.take(pa.array(row)), pa.array(start)], names=["h", "c", keys_name, "at"])
+            ids = np.asarray(keys)
+            for row, at, h, c, texts in _found(batch, length, known):
+                size, doc = np.fromiter(map(len, texts), np.int64, len(texts)), ids[row]
+                order = np.lexsort((at, doc, c, h))
+                row, at, h, c, size, doc = (x[order] for x in (row, at, h, c, size, doc))
+                group = _first_of(h, c)
+                least = doc[np.flatnonzero(group)][np.cumsum(group) - 1]
+                own = doc == least
+                heads = np.flatnonzero(_first_of(h[own], c[own]))
+                ends = np.append(heads[1:], own.sum())
+                a = at[own]
+                more = pa.array([None if e - s == 1 else a[s + 1 : e] for s, e in zip(heads.tolist(), ends.tolist(), strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[own][heads]), pa.array(c[own][heads]), keys.take(pa.array(row[own][heads])), pa.array(a[heads]), pa.array(size[own][heads]), more], names=schema.names
+                )
+                if own.all():
                     continue
+                row, at, size = row[~own], at[~own], size[~own]
+                order = np.lexsort((at, row))
+                row, at, end = row[order], at[order], (at + size)[order]
+                base = (row - row[0]) * (1 << 40)  # spans of different rows never touch
+                s, e = merged(base + at, base + end)
+                row = row[np.searchsorted(base + at, s)]
+                shift = (row - row[0]) * (1 << 40)
+                spread = mix64((ids[row].astype(_U) << _U(20)) ^ s.astype(_U)).view(np.int64)
+                nothing = pa.nulls(len(s))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(spread), nothing.cast(pa.int64()), keys.take(pa.array(row)), pa.array(s - shift), pa.array(e - s), nothing.cast(pa.list_(pa.int64()))], names=schema.names
+                )
+
+    return source.mapInArrow(work, schema)
+
+
+def contexts(source: DataFrame, length: int, lookup: str | None) -> DataFrame:
+    """(h, doc_id, ctx): the contexts of the known anchors, equal ones of a slice once, with the least document."""
+    schema = StructType(StructType.fromDDL("h long").fields + source.schema.fields[:1] + StructType.fromDDL("ctx binary").fields)
+
+    def work(batches):
+        known = _lookup(lookup) if lookup else None
+        for batch in batches:
+            keys = batch.column(0)
+            ids = np.asarray(keys)
+            for row, _at, h, c, texts in _found(batch, length, known):
                 order = np.lexsort((ids[row], c, h))
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
-                order = order[new]
+                order = order[_first_of(h[order], c[order])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[order]), pa.array(c[order]), keys.take(pa.array(row[order])), pa.array([texts[i] for i in order], pa.binary())], names=["h", "c", keys_name, "ctx"]
+                    [pa.array(h[order]), keys.take(pa.array(row[order])), pa.array([texts[i] for i in order], pa.binary())], names=schema.names
                 )
 
-    keys_name = source.columns[0]
-    return source.mapInArrow(work, StructType(schema))
+    return source.mapInArrow(work, schema)
 
 
 def _packed(symbols: np.ndarray) -> np.ndarray:
@@ -248,19 +301,16 @@ def least_documents(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[
 
 def bucket_results(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     """(h, c, opens, closes, least): runs of string starts in each distinct context, with the least document."""
-    keyed = rows.select(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"), "h", "c", F.col(rows.columns[2]).alias("doc_id"), "ctx")
+    keyed = rows.select(F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int").alias("bucket"), "h", F.col(rows.columns[1]).alias("doc_id"), "ctx")
 
     def work(table: pa.Table) -> pa.Table:
-        h, c, doc = (np.asarray(table.column(k).combine_chunks()) for k in ("h", "c", "doc_id"))
+        h, doc = (np.asarray(table.column(k).combine_chunks()) for k in ("h", "doc_id"))
+        texts = table.column("ctx").combine_chunks().to_pylist()
+        c = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), _U, len(texts)).view(np.int64)
         order = np.lexsort((doc, c, h))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
-        order = order[new]
-        texts = table.column("ctx").combine_chunks().take(pa.array(order)).to_pylist()
-        owner, least = least_documents(texts, doc[order], length)
-        edge = np.ones(len(owner), bool)
-        edge[1:] = (owner[1:] != owner[:-1]) | (least[1:] != least[:-1])
-        heads = np.flatnonzero(edge)
+        order = order[_first_of(h[order], c[order])]
+        owner, least = least_documents([texts[i] for i in order], doc[order], length)
+        heads = np.flatnonzero(_first_of(owner, least))
         tails = np.append(heads[1:], len(owner))
         base = np.searchsorted(owner, np.arange(len(order)))
         cut = np.searchsorted(owner[heads], np.arange(len(order) + 1)).astype(np.int32)
@@ -270,33 +320,42 @@ def bucket_results(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     return keyed.groupBy("bucket").applyInArrow(work, "h long, c long, opens array<long>, closes array<long>, least array<long>")
 
 
+def _stored(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = fresh_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, spans): by document, the sorted [start, end) bytes that stand in strings of ``length`` bytes which also
-    start in a document of smaller doc_id. Spans may overlap. Documents without any are left out."""
+    start in a document of smaller doc_id. Spans may overlap. Documents without any are left out.
+
+    Documents whose contexts of an anchor are all equal need no sorting: the whole context repeats. Contexts that
+    differ meet in the anchor's bucket and are compared by their sorted suffixes."""
     spark: SparkSession = docs.sparkSession
     source = docs.select("doc_id", utf8("text").alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    shared = anchor_counts(source, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    path = fresh_dir(spark, "anchors")
-    shared.write.parquet(path)
-    shared = spark.read.parquet(path)
+    shared, path = _stored(spark, anchor_counts(source, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
     few = shared.count() <= LOOKUP_ROWS
+    runs = anchored_runs(source, length, path if few else None)
+    if not few:
+        runs = runs.filter("c is null").unionByName(runs.filter("c is not null").join(shared, "h", "left_semi"))
+    group = W.partitionBy("h")
+    runs = runs.withColumns({"least": F.min("doc_id").over(group), "mixed": F.min("c").over(group) != F.max("c").over(group)})
+    runs, _ = _stored(spark, runs.filter("c is null or mixed or doc_id > least").withColumn("mixed", F.coalesce("mixed", F.lit(False))).drop("least"), "runs")
+    mixed, path = _stored(spark, runs.filter("mixed").select("h").distinct(), "mixed")
+    few = mixed.count() <= LOOKUP_ROWS
+    texts = contexts(source, length, path) if few else contexts(source, length, None).join(mixed, "h", "left_semi")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, -(-total // bucket_bytes))
-
-    def known(rows: DataFrame) -> DataFrame:
-        return rows if few else rows.join(shared, "h", "left_semi")
-
-    lookup = path if few else None
-    results = bucket_results(known(contexts(source, length, lookup, whole=True)), buckets, length)
-    hits = known(contexts(source, length, lookup, whole=False)).join(results, ["h", "c"])
+    results = bucket_results(texts, max(8, -(-total // bucket_bytes)), length)
+    places = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<bigint>")))
     pieces = F.filter(F.arrays_zip("opens", "closes", "least"), lambda x: x["least"] < F.col("doc_id"))
-    return (
-        hits.select("doc_id", "at", pieces.alias("pieces"))
-        .filter(F.size("pieces") > 0)
+    hits = (
+        runs.filter("mixed").join(results, ["h", "c"]).select("doc_id", F.explode(places).alias("at"), pieces.alias("pieces"))
         .select("doc_id", "at", F.explode("pieces").alias("p"))
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct((F.col("at") + F.col("p.opens")).alias("s"), (F.col("at") + F.col("p.closes")).alias("e")))).alias("spans"))
-    )
+        .select("doc_id", (F.col("at") + F.col("p.opens")).alias("s"), (F.col("at") + F.col("p.closes")).alias("e"))
+    )
+    whole = runs.filter("not mixed").select("doc_id", F.explode(places).alias("s"), "size").select("doc_id", "s", (F.col("s") + F.col("size")).alias("e"))
+    return whole.unionByName(hits).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
