@@ -14,53 +14,72 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._files import read_parquet_columns
+from ._files import parquet_batches
 from ._shared import fresh_dir, utf8
-from ._text import mix64, text_slices
+from ._text import mix64, powers, text_slices
 
 _U = np.uint64
 GRAM = 16
-#: Positions in one stretch of text, so that a position fits beside a hash in 64 bits.
-STRETCH = 1 << 20
-#: Shared anchors up to this many are looked up by every task from a file; more are joined.
-LOOKUP_ROWS = 16_000_000
-_PACK, _DEPTH = 7, 8
+#: Bytes of one stretch of text; grams are hashed in blocks whose arrays stay in a core's cache, and a place in a block
+#: fits beside a hash in 64 bits.
+STRETCH, BLOCK = 1 << 20, 1 << 14
+#: Shared anchors, or contexts to compare, up to this many are looked up by every task from a file; more are joined.
+LOOKUP_ROWS = 8_000_000
+#: Symbols in one number, symbols compared at least, and symbols beside the number of a group of ties (27 bits).
+_PACK, _DEPTH, _STEP = 7, 56, 4
 
 
-def anchors(buf: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first position, last position, anchor hash) of the runs of valid positions that share an anchor.
+def anchors(buf: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first position, last position, anchor hash) of the runs of valid positions that share an anchor, and all grams'
+    hashes.
 
     A position stands for the ``length`` bytes from it on; its anchor is the gram of least hash in them, the leftmost
     of equals. ``buf`` has at most STRETCH positions."""
     n = len(buf) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0 or not valid.any():
-        return none, none, np.zeros(0, _U)
-    eight = buf.astype(_U)
-    for step in (1, 2, 4):
-        eight = eight[:-step] | (eight[step:] << _U(8 * step))
-    hashes = mix64(eight[: len(buf) - GRAM + 1] * _U(0x9E3779B97F4A7C15) + mix64(eight[8:]))
-    key = (hashes & ~_U(STRETCH - 1)) | np.arange(len(hashes), dtype=_U)
-    width, least = 1, key
-    span = length - GRAM + 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    if width < span:
-        least = np.minimum(least[: n], least[span - width : span - width + n])
-    place = (least[:n] & _U(STRETCH - 1)).astype(np.int64)
+        return none, none, np.zeros(0, _U), np.zeros(0, _U)
+    place, hashes = np.empty(n, np.int64), np.empty(len(buf) - GRAM + 1, _U)
+    span, low = length - GRAM + 1, _U(2 * BLOCK - 1)
+    for start in range(0, n, BLOCK):
+        part = buf[start : start + BLOCK + length - 1]
+        eight = part.astype(_U)
+        for step in (1, 2, 4):
+            eight = eight[:-step] | (eight[step:] << _U(8 * step))
+        own = mix64(eight[: len(part) - GRAM + 1] * _U(0x9E3779B97F4A7C15) + mix64(eight[8:]))
+        hashes[start : start + len(own)] = own
+        width, least, m = 1, (own & ~low) | np.arange(len(own), dtype=_U), len(part) - length + 1
+        while 2 * width <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        if width < span:
+            least = np.minimum(least[:m], least[span - width : span - width + m])
+        place[start : start + m] = start + (least[:m] & low).astype(np.int64)
     at = np.flatnonzero(valid[:n])
     new = np.ones(len(at), bool)
     new[1:] = (place[at[1:]] != place[at[:-1]]) | (at[1:] != at[:-1] + 1)
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(at)) - 1
-    return at[heads], at[tails], hashes[place[at[heads]]]
+    return at[heads], at[tails], hashes[place[at[heads]]], hashes
+
+
+@lru_cache(maxsize=1)
+def _weights() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base, and of its inverse modulo 2 ** 64."""
+    base = 0x9E3779B97F4A7C15
+    return powers(base, STRETCH), powers(pow(base, -1, 1 << 64), STRETCH)
+
+
+def digests(hashes: np.ndarray, heads: np.ndarray, tails: np.ndarray, length: int) -> np.ndarray:
+    """A number for the text of each run, wherever it stands: the weighted sum of the hashes of all its grams."""
+    up, down = _weights()
+    sums = np.concatenate((np.zeros(1, _U), np.cumsum(hashes * up[: len(hashes)])))
+    return mix64((sums[tails + length - GRAM + 1] - sums[heads]) * down[heads] + (tails - heads).astype(_U))
 
 
 def _stretches(column: pa.Array, length: int):
@@ -87,7 +106,7 @@ def anchor_counts(source: DataFrame, length: int) -> DataFrame:
     def work(batches):
         for batch in batches:
             for rows, _low, buf, valid in _stretches(batch.column(1), length):
-                heads, _tails, hashes = anchors(buf, valid, length)
+                heads, _tails, hashes, _grams = anchors(buf, valid, length)
                 if not len(heads):
                     continue
                 order = np.lexsort((rows[heads], hashes))
@@ -102,25 +121,51 @@ def anchor_counts(source: DataFrame, length: int) -> DataFrame:
 
 @lru_cache(maxsize=1)
 def _lookup(path: str) -> np.ndarray:
-    return np.sort(read_parquet_columns(path, ["h"])[0])
+    """Sorted anchors."""
+    rows, batches = parquet_batches(path, ["h"])
+    out, at = np.empty(rows, np.int64), 0
+    for (h,) in batches:
+        out[at : at + len(h)] = h
+        at += len(h)
+    out.sort()
+    return out
+
+
+def _marks(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for each context of one document."""
+    return mix64(mix64(h.astype(_U) + mix64(c.astype(_U))) + doc.astype(_U))
+
+
+@lru_cache(maxsize=1)
+def _chosen(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted anchors and marks of the contexts to compare."""
+    rows, batches = parquet_batches(path, ["h", "c", "least"])
+    anchor, marks, at = [np.zeros(0, np.int64)], np.empty(rows, _U), 0
+    for h, c, doc in batches:
+        anchor.append(np.unique(h))
+        marks[at : at + len(h)] = _marks(h, c, doc)
+        at += len(h)
+    marks.sort()
+    return np.unique(np.concatenate(anchor)), marks
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
 def _found(batch: pa.RecordBatch, length: int, known: np.ndarray | None):
-    """By stretch: (row, offset in its text, anchor hash, context digest, context) of the runs of known anchors."""
+    """By stretch: (row, offset in its text, anchor hash, context digest, its place and size, the stretch) of the runs of
+    known anchors."""
     for rows, low, buf, valid in _stretches(batch.column(1), length):
-        heads, tails, hashes = anchors(buf, valid, length)
+        heads, tails, hashes, grams = anchors(buf, valid, length)
         h = hashes.view(np.int64)
         if known is not None and len(heads):
-            place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-            hit = known[place] == h if len(known) else np.zeros(len(heads), bool)
+            hit = _among(h, known)
             heads, tails, h = heads[hit], tails[hit], h[hit]
         if not len(heads):
             continue
-        data = buf.tobytes()
-        texts = [data[a : b + length] for a, b in zip(heads.tolist(), tails.tolist(), strict=True)]
-        c = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), _U, len(texts)).view(np.int64)
-        row = rows[heads]
-        yield row, heads + low if low is not None else heads - np.searchsorted(rows, row), h, c, texts
+        c, row = digests(grams, heads, tails, length).view(np.int64), rows[heads]
+        yield row, heads + low if low is not None else heads - np.searchsorted(rows, row), h, c, heads, tails - heads + length, buf
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -144,8 +189,8 @@ def anchored_runs(source: DataFrame, length: int, lookup: str | None) -> DataFra
         for batch in batches:
             keys = batch.column(0)
             ids = np.asarray(keys)
-            for row, at, h, c, texts in _found(batch, length, known):
-                size, doc = np.fromiter(map(len, texts), np.int64, len(texts)), ids[row]
+            for row, at, h, c, _place, size, _buf in _found(batch, length, known):
+                doc = ids[row]
                 order = np.lexsort((at, doc, c, h))
                 row, at, h, c, size, doc = (x[order] for x in (row, at, h, c, size, doc))
                 group = _first_of(h, c)
@@ -177,22 +222,23 @@ def anchored_runs(source: DataFrame, length: int, lookup: str | None) -> DataFra
 
 
 def contexts(source: DataFrame, length: int, lookup: str | None) -> DataFrame:
-    """(h, doc_id, ctx): the contexts of the known anchors, equal ones of a slice once, with the least document."""
-    schema = StructType(StructType.fromDDL("h long").fields + source.schema.fields[:1] + StructType.fromDDL("ctx binary").fields)
+    """(h, c, least, ctx): the chosen contexts, each from its least document; all contexts without a lookup."""
+    schema = StructType(StructType.fromDDL("h long, c long").fields + [source.schema.fields[0]] + StructType.fromDDL("ctx binary").fields)
 
     def work(batches):
-        known = _lookup(lookup) if lookup else None
+        known, chosen = _chosen(lookup) if lookup else (None, None)
         for batch in batches:
             keys = batch.column(0)
             ids = np.asarray(keys)
-            for row, _at, h, c, texts in _found(batch, length, known):
-                order = np.lexsort((ids[row], c, h))
+            for row, _at, h, c, place, size, buf in _found(batch, length, known):
+                order = np.arange(len(h)) if chosen is None else np.flatnonzero(_among(_marks(h, c, ids[row]), chosen))
+                order = order[np.lexsort((ids[row[order]], c[order], h[order]))]
                 order = order[_first_of(h[order], c[order])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[order]), keys.take(pa.array(row[order])), pa.array([texts[i] for i in order], pa.binary())], names=schema.names
-                )
+                data, low, high = buf.tobytes(), place[order], place[order] + size[order]
+                texts = pa.array([data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(h[order]), pa.array(c[order]), keys.take(pa.array(row[order])), texts], names=schema.names)
 
-    return source.mapInArrow(work, schema)
+    return source.mapInArrow(work, schema).withColumnRenamed(source.columns[0], "least")
 
 
 def _packed(symbols: np.ndarray) -> np.ndarray:
@@ -205,20 +251,20 @@ def _packed(symbols: np.ndarray) -> np.ndarray:
 
 
 def _sorted_directly(at: np.ndarray, packed: np.ndarray) -> np.ndarray:
-    """Suffixes ``at`` in the order of their first _PACK * _DEPTH symbols; only ties are compared further."""
-    deep = np.concatenate((packed, np.zeros(_PACK * _DEPTH, _U)))
-    at = at[np.argsort(packed[at], kind="stable")]
+    """Suffixes ``at`` in the order of at least their first _DEPTH symbols; only ties are compared further."""
+    deep = np.concatenate((packed, np.zeros(_DEPTH + _STEP, _U)))
+    at = at[np.argsort(packed[at])]
     same = packed[at[1:]] == packed[at[:-1]]
-    for level in range(1, _DEPTH):
+    for depth in range(_PACK, _DEPTH, _STEP):
         tied = np.zeros(len(at), bool)
         tied[1:] |= same
         tied[:-1] |= same
         where = np.flatnonzero(tied)
         if not len(where):
             break
-        group = np.cumsum(np.concatenate(([True], ~same)))[where]
-        key = deep[at[where] + _PACK * level]
-        order = np.lexsort((key, group))
+        group = np.cumsum(np.concatenate(([True], ~same)), dtype=_U)[where]
+        key = (group << _U(9 * _STEP)) | (deep[at[where] + depth] >> _U(9 * (_PACK - _STEP)))
+        order = np.argsort(key)
         at[where] = at[where][order]
         key, joined = key[order], np.diff(where) == 1
         same[where[:-1][joined]] &= (key[1:] == key[:-1])[joined]
@@ -235,7 +281,7 @@ def two_stage_order(symbols: np.ndarray, packed: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     change = np.flatnonzero(symbols[:-1] != symbols[1:])
     rises = symbols[change] < symbols[change + 1]
-    run = np.searchsorted(change, np.arange(n))
+    run = np.concatenate(([0], np.cumsum(symbols[:-1] != symbols[1:])))
     small = np.append(rises, False)[run]  # smaller than its successor; the last run is greater than the empty suffix
     direct = np.flatnonzero(small)
     direct = _sorted_directly(direct, packed)
@@ -301,14 +347,13 @@ def least_documents(texts: list[bytes], docs: np.ndarray, length: int) -> tuple[
 
 def bucket_results(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     """(h, c, opens, closes, least): runs of string starts in each distinct context, with the least document."""
-    keyed = rows.select(F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int").alias("bucket"), "h", F.col(rows.columns[1]).alias("doc_id"), "ctx")
+    keyed = rows.select(F.pmod(F.xxhash64("h"), F.lit(buckets)).cast("int").alias("bucket"), "h", "c", F.col("least").alias("doc_id"), "ctx")
 
     def work(table: pa.Table) -> pa.Table:
-        h, doc = (np.asarray(table.column(k).combine_chunks()) for k in ("h", "doc_id"))
+        h, c, doc = (np.asarray(table.column(k).combine_chunks()) for k in ("h", "c", "doc_id"))
         texts = table.column("ctx").combine_chunks().to_pylist()
-        c = np.fromiter(map(xxhash.xxh3_64_intdigest, texts), _U, len(texts)).view(np.int64)
         order = np.lexsort((doc, c, h))
-        order = order[_first_of(h[order], c[order])]
+        order = order[_first_of(h[order], c[order])]  # a text in two stretches or rows gives a context twice
         owner, least = least_documents([texts[i] for i in order], doc[order], length)
         heads = np.flatnonzero(_first_of(owner, least))
         tails = np.append(heads[1:], len(owner))
@@ -342,9 +387,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
     group = W.partitionBy("h")
     runs = runs.withColumns({"least": F.min("doc_id").over(group), "mixed": F.min("c").over(group) != F.max("c").over(group)})
     runs, _ = _stored(spark, runs.filter("c is null or mixed or doc_id > least").withColumn("mixed", F.coalesce("mixed", F.lit(False))).drop("least"), "runs")
-    mixed, path = _stored(spark, runs.filter("mixed").select("h").distinct(), "mixed")
-    few = mixed.count() <= LOOKUP_ROWS
-    texts = contexts(source, length, path) if few else contexts(source, length, None).join(mixed, "h", "left_semi")
+    wanted = runs.filter("mixed").groupBy("h", "c").agg(F.min("doc_id").alias("least"))
+    wanted, path = _stored(spark, wanted, "contexts")
+    few = wanted.count() <= LOOKUP_ROWS
+    texts = contexts(source, length, path) if few else contexts(source, length, None).join(wanted, ["h", "c", "least"], "left_semi")
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     results = bucket_results(texts, max(8, -(-total // bucket_bytes)), length)
     places = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<bigint>")))
