@@ -198,6 +198,22 @@ def test_lines(docs, corpus, empty):
     assert lines.line_report(empty).count() == 0 and lines.line_report(docs).count() == len(corpus)
 
 
+def dense(line):
+    return {line[k : k + 5] for k in range(max(1, len(line) - 4))}
+
+
+def test_lines_are_covered_by_shingles(spark):
+    same = "数据处理系统可以把每一行文本都读进来然后和别的行比较最后只留下其中的一行文本不会丢掉任何一个字符"
+    texts = ["ABCDEFGHIJKL0001", "ABCDEFGHIJKL0002", "2024-01-01T00:00", "2024-01-01T09:59", "4111111111111111", "4111111111112222", same, "新" + same]
+    texts += ["ab", "a\r", "a", "😀😀x", "one word of this line is not like the other one, which is all that differs between them here", "one word of this line is not like the other two, which is all that differs between them here"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["text"]: set(r["s"]) for r in rows.select("text", lines.shingles("text").alias("s")).collect()}
+    assert got == {t: dense(t) for t in texts}
+    # 11 of 13 shingles alike (1), one more at the head (7), one word edited (13); the other codes share too few
+    near = {b for b, t in enumerate(texts) if any(100 * len(dense(t) & dense(u)) >= 80 * len(dense(t) | dense(u)) for u in texts[:b])}
+    assert {r["doc_id"] for r in lines.repeated_lines(rows).collect()} == near == {1, 7, 13}
+
+
 def test_decontamination(spark, docs, corpus, empty):
     draw = random.Random(9)
     items = [words(draw, n, 3000) for n in (15, 22, 30, 41, 60)] + ["too short", None]
