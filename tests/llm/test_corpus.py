@@ -214,6 +214,14 @@ def test_lines_are_covered_by_shingles(spark):
     assert {r["doc_id"] for r in lines.repeated_lines(rows).collect()} == near == {1, 7, 13}
 
 
+def test_lines_of_a_chain_stay_together(spark):
+    draw = random.Random(8)
+    text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1300))
+    # each line is like the next three or so (82 of 90 shingles alike), and no two far ones are
+    rows = spark.createDataFrame([(k, text[4 * k : 4 * k + 90]) for k in range(300)], "doc_id long, text string")
+    assert {r["doc_id"] for r in lines.repeated_lines(rows).collect()} == set(range(1, 300))
+
+
 def test_decontamination(spark, docs, corpus, empty):
     draw = random.Random(9)
     items = [words(draw, n, 3000) for n in (15, 22, 30, 41, 60)] + ["too short", None]
