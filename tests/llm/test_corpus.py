@@ -137,6 +137,25 @@ def test_near_duplicates(docs, corpus, empty):
     assert neardup.near_duplicates(odd).count() == odd.count()
 
 
+def test_couples_in_a_large_family(spark):
+    draw = random.Random(4)
+    base, rows = [f"w{k}" for k in range(200)], []
+    for k in range(150):
+        places = draw.sample(range(200), 6)
+        for m in (0, 1):
+            text = list(base)
+            for place in places[:2]:
+                text[place] = f"x{k}"
+            for place in places[2 + 2 * m : 4 + 2 * m]:
+                text[place] = f"y{k}_{m}"
+            rows.append((2 * k + m, " ".join(text)))
+    want = {d: c for d, (_, c) in brute.near_components(rows, 3, 85).items()}
+    # alike enough to share buckets, but each linked to the other of its couple only
+    assert len(set(want.values())) > 100
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, centres=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 def test_optimal_densification():
     for n in (1, 2, 5, 100, 5000):
         sig = neardup.signature(np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)))

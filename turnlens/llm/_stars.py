@@ -51,7 +51,8 @@ def star_links(members: DataFrame, contents: DataFrame, threshold: int, centres:
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = stored(verified(pairs, contents, threshold, shingles), "links")
         links = new if links is None else links.unionByName(new)
-        rest = rows.join(stars.select("bucket", (-F.col("c.minus")).alias("key")), ["bucket", "key"], "left_anti")
+        # a key that has two contents is done with the one that was compared by its size
+        rest = rows.join(stars.select("bucket", (-F.col("c.minus")).alias("key"), "c.size"), ["bucket", "key", "size"], "left_anti")
         several = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
         rest = checkpoint(rest.drop("component", "peers").join(several, "bucket", "left_semi"))
         if rest.isEmpty():
