@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,26 +31,43 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries inside go as soon as each one's result is stored, not when the driver's heap fills."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freed_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage with a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
     path = fresh_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with freed_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Keys up to this many (8 bytes each) are broadcast; more are joined by shuffle.
-BROADCAST_KEYS = 2_000_000
-
-
-def broadcast_if_few(keys: DataFrame) -> DataFrame:
-    """A stored table of distinct keys, broadcast only if it has at most BROADCAST_KEYS rows."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """A table in the shared folder, dealt to buckets by ``key``: groupings and joins by it need no further shuffle of
+    the table, whatever its size. The catalog's entry goes, the files stay."""
+    spark = df.sparkSession
+    path, table = fresh_dir(spark, name), f"{name}_{uuid.uuid4().hex}"
+    with freed_shuffles(spark):
+        df.write.option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

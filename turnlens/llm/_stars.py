@@ -1,8 +1,9 @@
-"""Star-shaped candidate pairs, in rounds, verified on whole shingle sets."""
+"""Similarity joins inside buckets: star-shaped candidate pairs, then an exact filter on differences from a centre."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._graph import components
@@ -10,58 +11,93 @@ from ._shared import checkpoint, stored
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
-    """The rows (bucket, key, ...) of buckets with two members or more, with ``company``: how many rows share the
-    buckets of the key. Counts are summed up before each shuffle."""
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    rows = checkpoint(rows.join(shared, "bucket"))
+    """The rows (bucket, key, ...) of buckets with two keys or more, with ``company``: how many rows share the buckets of
+    the key. The rows are made and shuffled once; what is counted and what is joined read the same shuffle."""
+    dealt = rows.repartition("bucket")
+    shared = dealt.groupBy("bucket").agg(F.count("*").alias("members"), F.min("key").alias("low"), F.max("key").alias("high"))
+    rows = stored(dealt.join(shared.filter("low < high").drop("low", "high"), "bucket"), "members")
     return checkpoint(rows.drop("members").join(rows.groupBy("key").agg(F.sum("members").alias("company")), "key"))
 
 
+def _with_sets(pairs: DataFrame, contents: DataFrame, shingles) -> DataFrame:
+    """The pairs (a, b, ...) with the shingle sets sa and sb."""
+    left = contents.select(F.col("key").alias("a"), F.col("content").alias("ca"))
+    right = contents.select(F.col("key").alias("b"), F.col("content").alias("cb"))
+    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, shingles("ca").alias("sa"), shingles("cb").alias("sb"))
+
+
 def verified(pairs: DataFrame, contents: DataFrame, threshold: int, shingles) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets have 100 * intersection >= threshold * union. ``shingles`` makes the
     set (distinct) of a content."""
-    left = contents.select(F.col("key").alias("a"), F.col("content").alias("ca"))
-    right = contents.select(F.col("key").alias("b"), F.col("content").alias("cb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", shingles("ca").alias("sa"), shingles("cb").alias("sb"))
+    both = _with_sets(pairs, contents, shingles)
     shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("sum"))
     return shared.filter(100 * F.col("n") >= threshold * (F.col("sum") - F.col("n"))).select("a", "b")
 
 
+def difference_pairs(placed: DataFrame, contents: DataFrame, threshold: int, shingles) -> DataFrame:
+    """(a < b): all pairs of one bucket that can still be linked, given (centre, key, component).
+
+    Let D(x) be the shingles in x or the centre c but not in both. Sets x and y with s = |x| + |y| are linked only if
+    they share o >= (|D(x)| + |D(y)| - s * (100 - threshold) / (100 + threshold)) / 2 members of D(x) and D(y), and then
+    o >= |D(y)| - |y| * (100 - threshold) / threshold. If x is not linked with c, 2 * o > |D(y)| + (|c| - |y|) * (100 -
+    threshold) / (100 + threshold) > 0 for every y: without a shared member y would be less similar to x than c is. So, D being in one order for all, the pair shares
+    one of the first |D| - o + 1 members on either side (prefix filter). First come those that c lacks, which are rare.
+    Pairs of which both are linked with c are in one component already.
+    """
+    pairs = placed.select(F.col("centre").alias("a"), F.col("key").alias("b"), "component").distinct()
+    both = _with_sets(pairs, contents, shingles).withColumn("extra", F.array_except("sb", "sa"))
+    same = F.size("sb") - F.size("extra")
+    linked = 100 * same >= threshold * (F.size("sa") + F.size("extra"))
+    d = F.concat(F.sort_array("extra"), F.sort_array(F.array_except("sa", "sb")))
+    apart = both.select("a", "b", "component", F.size("sa").alias("c_n"), F.size("sb").alias("n"), linked.alias("linked"), d.alias("d"), F.size("d").alias("all"))
+    far = (100 - threshold) / (100 + threshold)
+    half = F.floor((F.col("all") + (F.col("c_n") - F.col("n")) * far) / 2 - 1e-6) + 1
+    least = F.ceil(F.col("all") - F.col("n") * ((100 - threshold) / threshold) - 1e-6)
+    least = F.when(F.col("linked"), F.greatest(half, least)).otherwise(least)  # the other one of a linked member is not linked
+    prefix = F.slice("d", 1, F.greatest(F.lit(0), F.col("all") - least + 1).cast("int"))
+    apart = apart.select("a", "b", "component", "n", "linked", "all", F.posexplode(prefix).alias("place", "e"))
+    apart = stored(apart, "differences")
+    often = apart.groupBy("a", "e").agg(F.count("*").alias("often"), F.min("linked").alias("linked")).filter("often > 1 and not linked").select("a", "e")
+    ranked = stored(apart.join(often, ["a", "e"]), "ranked")
+    x, y = (ranked.select("a", "e", *[F.col(c).alias(f"{side}_{c}") for c in ("b", "component", "n", "linked", "all", "place")]) for side in "xy")
+    least = F.ceil((F.col("x_all") + F.col("y_all") - (F.col("x_n") + F.col("y_n")) * far) / 2 - 1e-6)
+    fits = (F.col("x_place") <= F.col("x_all") - least) & (F.col("y_place") <= F.col("y_all") - least)
+    once = F.col("y_linked") | (F.col("x_b") < F.col("y_b"))
+    found = x.filter("not x_linked").join(y, ["a", "e"]).filter((F.col("x_component") != F.col("y_component")) & once & fits)
+    return found.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
+
+
 def star_links(members: DataFrame, contents: DataFrame, threshold: int, centres: int, shingles=F.col) -> DataFrame:
     """Links (a < b) with the components that comparing all pairs of each bucket would give, without making them.
 
-    Each round gives every open bucket up to ``centres`` centres, one for each class of a fixed hash: members of the
-    component with the fewest members in the bucket first, then those with the most company (the least edited text of
-    a family), then the smallest key. Members pair with the centres of other components, unless their sizes rule the
-    similarity out. A centre is then done; a bucket whose other members lie in one component is settled. So a family
-    of copies takes one or two rounds of stars, however large, and a pair of a bucket is left out only where both are
-    linked already. Centres grow fourfold each round, so rounds grow with the logarithm of the largest bucket.
+    Every bucket has up to ``centres`` centres, one for each class of a fixed hash: the member with the most company
+    (the least edited text of a family), then the smallest key. Members pair with the centres, unless their sizes rule
+    the similarity out. A bucket whose other members then lie in one component is settled; in the others the pairs that
+    may still be linked are found by ``difference_pairs`` from the first centre. So the work grows with the members of
+    a family and what sets them apart, not with its pairs.
     """
-    rows, links, tested = members.withColumns({"component": F.col("key"), "peers": F.lit(1).cast("long")}), None, None
+    rank = F.struct("company", (-F.col("key")).alias("minus"), "size")
+    classes = members.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(centres)).alias("class"))
+    stars = checkpoint(classes.agg(F.max(rank).alias("c")).drop("class"))
     fits = threshold * F.greatest("size", "c.size") <= 100 * F.least("size", "c.size")
-    while True:
-        rank = F.struct((-F.col("peers")).alias("alone"), "company", (-F.col("key")).alias("minus"), "size", "component")
-        stars = rows.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(centres)).alias("class")).agg(F.max(rank).alias("c")).drop("class")
-        stars = checkpoint(stars)
-        pairs = (
-            rows.join(stars, "bucket").filter((F.col("component") != F.col("c.component")) & fits)
-            .select(F.least("key", -F.col("c.minus")).alias("a"), F.greatest("key", -F.col("c.minus")).alias("b")).distinct()
-        )
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = stored(verified(pairs, contents, threshold, shingles), "links")
-        links = new if links is None else links.unionByName(new)
-        # a key that has two contents is done with the one that was compared by its size
-        rest = rows.join(stars.select("bucket", (-F.col("c.minus")).alias("key"), "c.size"), ["bucket", "key", "size"], "left_anti")
-        several = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        rest = checkpoint(rest.drop("component", "peers").join(several, "bucket", "left_semi"))
-        if rest.isEmpty():
-            return links
-        found = components(links).withColumnRenamed("node", "key")
-        placed = rest.join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
-        peers = checkpoint(placed.groupBy("bucket", "component").agg(F.count("*").alias("peers")))
-        unsettled = peers.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-        rows = checkpoint(placed.join(peers.join(unsettled, "bucket", "left_semi"), ["bucket", "component"]))
-        if rows.isEmpty():
-            return links
-        centres *= 4
+    pairs = (
+        members.join(stars, "bucket").filter((F.col("key") != -F.col("c.minus")) & fits)
+        .select(F.least("key", -F.col("c.minus")).alias("a"), F.greatest("key", -F.col("c.minus")).alias("b")).distinct()
+    )
+    pairs = stored(pairs, "pairs")
+    links = stored(verified(pairs, contents, threshold, shingles), "links")
+    # a key that has two contents is done with the one that was compared by its size
+    rest = members.join(stars.select("bucket", (-F.col("c.minus")).alias("key"), "c.size"), ["bucket", "key", "size"], "left_anti")
+    several = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    rest = checkpoint(rest.select("bucket", "key").join(several, "bucket", "left_semi"))
+    if rest.isEmpty():
+        return links
+    found = components(links).withColumnRenamed("node", "key")
+    placed = checkpoint(rest.join(found, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    unsettled = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
+    first = stars.groupBy("bucket").agg(F.max("c").alias("c")).select("bucket", (-F.col("c.minus")).alias("centre"))
+    placed = stored(placed.join(unsettled, "bucket").join(first, "bucket").select("centre", "key", "component").filter("centre != key").distinct(), "placed")
+    if placed.isEmpty():
+        return links
+    more = stored(difference_pairs(placed, contents, threshold, shingles).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(stored(verified(more, contents, threshold, shingles), "links"))
