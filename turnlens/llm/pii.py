@@ -25,9 +25,11 @@ _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CARD_ZONE, _CARD = re.compile(r"[0-9 \-]+"), re.compile(r"[0-9](?:[\x20-]?[0-9])+")
-_IP_ZONE, _IP = re.compile(r"[0-9.]+"), re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _VALUE = re.compile(r"(?:[ _-]?(?:no|nr|number|id|key)\b\.?)?[ \t]*(?:[:=#][ \t]*|is[ \t]+)?[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,127})")
 _ADDRESS = re.compile(r"[^\s<>\"'`{}|\\^\[\]]+")
+#: The most characters of a host with its user, of a mailbox and of a telephone number in a web address.
+_HOST, _MAILBOX, _TEL = 512, 320, 64
 _DOTTED = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|\[[0-9A-Fa-f:]+\]|localhost")
 
 
@@ -64,28 +66,45 @@ def _card_ok(text: str) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits)
 
 
-def _ip_ok(text: str) -> bool:
-    return all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in text.split("."))
+def _byte_ok(part: str) -> bool:
+    return len(part := part.lstrip("0")) <= 3 and int(part or 0) <= 255
 
 
-def _address(text: str, start: int, after: int) -> int | None:
-    """End of the web address whose scheme ends at ``after``; None if it has no host, mailbox or number."""
-    if not (zone := _ADDRESS.match(text, after)):
-        return None
-    body = zone.group().rstrip(".,;:!?)")
+def _ips(text: str, start: int) -> tuple[list[tuple[int, int]], int]:
+    """Addresses in the chain of dotted numbers at ``start``, and its end. The numbers are taken by fours from the left,
+    which are the leftmost matches; a chain is read once, however long it is."""
+    chain = _NUMBERS.match(text, start)
+    parts, out, at = chain.group().split("."), [], start
+    for k in range(0, len(parts) - 3, 4):
+        four = parts[k : k + 4]
+        size = sum(map(len, four)) + 3
+        if all(map(_byte_ok, four)):
+            out.append((at, at + size))
+        at += size + 1
+    return out, chain.end()
+
+
+def _address(text: str, start: int, after: int, end: int) -> int | None:
+    """End of the web address whose scheme ends at ``after``, of the characters up to ``end``; None if it has no host,
+    mailbox or number."""
     scheme = text[start:after].lower()
+    if scheme in ("mailto:", "sip:", "tel:"):
+        end = min(end, after + (_TEL if scheme == "tel:" else _MAILBOX))
+    while end > after and text[end - 1] in ".,;:!?)":
+        end -= 1
+    body = text[after : min(end, after + _HOST)]
     if scheme == "tel:":
-        return after + len(body) if len(_digits(body)) >= 7 else None
+        return end if len(_digits(body)) >= 7 else None
     host = re.split(r"[/?#]", body, maxsplit=1)[0].rpartition("@")[2]
     if not _DOTTED.match(host) or scheme in ("mailto:", "sip:") and "@" not in body:
         return None
-    return after + len(body)
+    return end
 
 
 def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     """Spans by kind in code points, end exclusive, each kind leftmost and non-overlapping, in order of their starts."""
     out: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
-    at_end = email_end = card_to = ip_to = address_to = account_to = 0
+    at_end = email_end = card_to = ip_to = address_to = account_to = zone_to = 0
     for last, (what, length) in _automaton().iter(text):
         start, after = last + 1 - length, last + 1
         if what == "digit":
@@ -94,9 +113,8 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
                 if card_to - start >= 13:
                     out["card"] += [m.span() for m in _CARD.finditer(text, start, card_to) if _card_ok(m.group())]
             if start >= ip_to:
-                ip_to = _IP_ZONE.match(text, start).end()
-                if ip_to - start >= 7:
-                    out["ip"] += [m.span() for m in _IP.finditer(text, start, ip_to) if _ip_ok(m.group())]
+                found, ip_to = _ips(text, start)
+                out["ip"] += found
         elif what == "at":
             before = text[max(at_end, email_end) : start]
             local = len(before) - len(before.rstrip(_LOCAL))
@@ -108,7 +126,9 @@ def find_spans(text: str) -> dict[str, list[tuple[int, int]]]:
             if (number := _PHONE.match(text, start)) and 9 <= len(_digits(number.group())) <= 15:
                 out["phone"].append(number.span())
         elif what == "scheme":
-            if start >= address_to and not (start and text[start - 1].isalnum()) and (end := _address(text, start, after)):
+            if after >= zone_to:
+                zone_to = zone.end() if (zone := _ADDRESS.match(text, after)) else after
+            if start >= address_to and not (start and text[start - 1].isalnum()) and (end := _address(text, start, after, zone_to)):
                 address_to = end
                 out["address"].append((start, end))
         elif start >= account_to and not (start and text[start - 1].isalnum()):
@@ -124,7 +144,8 @@ def _joined(spans: dict, kinds: tuple) -> str:
 
 
 def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: key, n_<kind> for every kind, base_spans and spans (kind:start:end, comma-joined).
+    """Per row of ``docs``: key, n_<kind> for every kind, n_spans (all kinds), base_spans and spans (kind:start:end,
+    comma-joined).
 
     Whole texts; a null text counts as empty and has no spans. Base kinds are exactly the leftmost non-overlapping
     matches of their patterns, dropped without a retry where parts exceed 255, or the digits or the Luhn check fail.
@@ -132,7 +153,7 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     cue). Rows, ties and repeats stay as they are; other columns are not read. No shuffle.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    made = StructType.fromDDL(", ".join(f"n_{kind} long" for kind in KINDS) + ", base_spans string, spans string")
+    made = StructType.fromDDL(", ".join(f"n_{kind} long" for kind in KINDS) + ", n_spans long, base_spans string, spans string")
     schema = StructType(source.schema.fields[:1] + made.fields)
 
     def work(batches):
@@ -140,11 +161,12 @@ def find_pii(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             columns = [[] for _ in made]
             for value in batch.column(1):
                 spans = find_spans(value.as_py() or "")
-                row = [len(spans[kind]) for kind in KINDS] + [_joined(spans, BASE_KINDS), _joined(spans, KINDS)]
+                counts = [len(spans[kind]) for kind in KINDS]
+                row = [*counts, sum(counts), _joined(spans, BASE_KINDS), _joined(spans, KINDS)]
                 for column, x in zip(columns, row, strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, type=pa.string() if k >= len(KINDS) else pa.int64()) for k, c in enumerate(columns))],
+                [batch.column(0), *(pa.array(c, type=pa.string() if k > len(KINDS) else pa.int64()) for k, c in enumerate(columns))],
                 names=schema.names,
             )
 
@@ -166,5 +188,3 @@ def redact(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
             parts += [text[at:s], f"[{kind}]"]
         at = max(at, e)
     return "".join(parts) + text[at:]
-
-
