@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-
 
 def _filesystem(uri: str):
     from pyarrow import fs
@@ -39,13 +36,3 @@ def written_whole(uri: str):
     with store.open_output_stream(part, compression=None) as out:
         yield out
     store.move(part, path)
-
-
-def parquet_batches(uri: str, columns: list[str]) -> tuple[int, Iterator[list[np.ndarray]]]:
-    """Rows of a Parquet folder, and its columns as arrays, batch by batch, so that only what a caller keeps stays."""
-    import pyarrow.dataset as ds
-
-    store, path = _filesystem(uri)
-    table = ds.dataset(path, filesystem=store, format="parquet")
-    batches = table.to_batches(columns=columns, batch_size=1 << 16, batch_readahead=1, fragment_readahead=1, use_threads=False)
-    return table.count_rows(), ([np.asarray(b.column(c)) for c in columns] for b in batches)

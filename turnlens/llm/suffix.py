@@ -1,10 +1,10 @@
 """Exact substring dedup (operator 9) with two-stage suffix sorting.
 
 Every 50-byte string is dealt to a bucket by its anchor: the least of the hashes of its 16-byte grams. Equal strings
-have equal anchors, so a bucket holds all copies of its strings. Runs of positions with one anchor travel as one
-context (their common stretch of text), and only contexts whose anchor occurs in two documents travel at all. Inside a
-bucket, suffixes smaller than their successors are sorted directly, the rest are induced by bucket scans, and adjacent
-common prefixes of 50 bytes show the repeated strings.
+have equal anchors, so a bucket holds all copies of its strings. Runs of positions with one anchor make one context
+(their common stretch of text). Contexts are known by digests; only where an anchor has several different ones are they
+compared, and only then their texts travel, each one once. Inside a bucket, suffixes smaller than their successors are
+sorted directly, the rest are induced by bucket scans, and adjacent common prefixes of 50 bytes show the repeated strings.
 """
 
 from __future__ import annotations
@@ -14,13 +14,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._files import parquet_batches
-from ._shared import fresh_dir, utf8
+from ._shared import stored, utf8
 from ._text import mix64, powers, text_slices
 
 _U = np.uint64
@@ -28,8 +26,8 @@ GRAM = 16
 #: Bytes of one stretch of text; grams are hashed in blocks whose arrays stay in a core's cache, and a place in a block
 #: fits beside a hash in 64 bits.
 STRETCH, BLOCK = 1 << 20, 1 << 14
-#: Shared anchors, or contexts to compare, up to this many are looked up by every task from a file; more are joined.
-LOOKUP_ROWS = 8_000_000
+#: An anchor with more contexts than this (in slices) has its strings compared by their digests, not in one bucket.
+MOST_CONTEXTS = 4096
 #: Symbols in one number, symbols compared at least, and symbols beside the number of a group of ties (27 bits).
 _PACK, _DEPTH, _STEP = 7, 56, 4
 
@@ -101,71 +99,35 @@ def _stretches(column: pa.Array, length: int):
 
 
 def anchor_counts(source: DataFrame, length: int) -> DataFrame:
-    """(h, n): anchors and in how many documents they occur, by slice."""
+    """(h, least, low, high, n, m) by slice: anchors, the least document, the least and the greatest context digest, in
+    how many texts and with how many contexts they occur."""
+    schema = StructType(StructType.fromDDL("h long").fields + [source.schema.fields[0]] + StructType.fromDDL("low long, high long, n int, m int").fields)
 
     def work(batches):
         for batch in batches:
-            for rows, _low, buf, valid in _stretches(batch.column(1), length):
-                heads, _tails, hashes, _grams = anchors(buf, valid, length)
-                if not len(heads):
-                    continue
-                order = np.lexsort((rows[heads], hashes))
-                h, r = hashes[order], rows[heads][order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-                h, counts = np.unique(h[new], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "n"])
-
-    return source.mapInArrow(work, "h long, n long")
-
-
-@lru_cache(maxsize=1)
-def _lookup(path: str) -> np.ndarray:
-    """Sorted anchors."""
-    rows, batches = parquet_batches(path, ["h"])
-    out, at = np.empty(rows, np.int64), 0
-    for (h,) in batches:
-        out[at : at + len(h)] = h
-        at += len(h)
-    out.sort()
-    return out
-
+            keys = batch.column(0)
+            ids = np.asarray(keys)
+            for row, _at, h, c, *_ in _found(batch, length):
+                order = np.lexsort((row, c, h))
+                h, c, row = h[order], c[order], row[order]
+                doc = ids[row]
+                heads = np.flatnonzero(_first_of(h))
+                tails = np.append(heads[1:], len(h)) - 1
+                texts, kinds = (np.add.reduceat(x.astype(np.int32), heads) for x in (_first_of(h, c, row), _first_of(h, c)))
+                columns = (h[heads], np.minimum.reduceat(doc, heads), c[heads], c[tails], texts, kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(),) * 4 + (pa.int32(),) * 2, strict=True)], names=schema.names)
 
-def _marks(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """One number for each context of one document."""
-    return mix64(mix64(h.astype(_U) + mix64(c.astype(_U))) + doc.astype(_U))
+    return source.mapInArrow(work, schema).withColumnRenamed(source.columns[0], "least")
 
 
-@lru_cache(maxsize=1)
-def _chosen(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted anchors and marks of the contexts to compare."""
-    rows, batches = parquet_batches(path, ["h", "c", "least"])
-    anchor, marks, at = [np.zeros(0, np.int64)], np.empty(rows, _U), 0
-    for h, c, doc in batches:
-        anchor.append(np.unique(h))
-        marks[at : at + len(h)] = _marks(h, c, doc)
-        at += len(h)
-    marks.sort()
-    return np.unique(np.concatenate(anchor)), marks
-
-
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
-
-
-def _found(batch: pa.RecordBatch, length: int, known: np.ndarray | None):
-    """By stretch: (row, offset in its text, anchor hash, context digest, its place and size, the stretch) of the runs of
-    known anchors."""
-    for rows, low, buf, valid in _stretches(batch.column(1), length):
+def _found(batch: pa.RecordBatch, length: int):
+    """By stretch: (row, offset in its text, anchor hash, context digest, its place and size, the stretch) of all runs."""
+    for rows, low, buf, valid in _stretches(batch.column(2), length):
         heads, tails, hashes, grams = anchors(buf, valid, length)
-        h = hashes.view(np.int64)
-        if known is not None and len(heads):
-            hit = _among(h, known)
-            heads, tails, h = heads[hit], tails[hit], h[hit]
         if not len(heads):
             continue
         c, row = digests(grams, heads, tails, length).view(np.int64), rows[heads]
-        yield row, heads + low if low is not None else heads - np.searchsorted(rows, row), h, c, heads, tails - heads + length, buf
+        yield row, heads + low if low is not None else heads - np.searchsorted(rows, row), hashes.view(np.int64), c, heads, tails - heads + length, buf
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -176,32 +138,31 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def anchored_runs(source: DataFrame, length: int, lookup: str | None) -> DataFrame:
-    """(h, c, doc_id, at, size, more): contexts of shared anchors, c being a digest of the context.
+def anchored_runs(source: DataFrame, length: int) -> DataFrame:
+    """(h, c, doc_id, t, at, size, more): contexts of anchors, c being a digest of the context.
 
-    Where documents of one slice have equal contexts, the least one goes on (with the places of further copies inside
-    it in ``more``); in the others every byte of the context is repeated, so their merged spans come as rows with a
+    Where texts of one slice have equal contexts, the least document goes on (with the places of further copies inside
+    a text in ``more``); in the others every byte of the context is repeated, so their merged spans come as rows with a
     null c and a spread-out h. So a passage that very many documents share is one row a slice."""
-    schema = StructType(StructType.fromDDL("h long, c long").fields + source.schema.fields[:1] + StructType.fromDDL("at long, size long, more array<long>").fields)
+    schema = StructType(StructType.fromDDL("h long, c long").fields + source.schema.fields[:2] + StructType.fromDDL("at long, size int, more array<long>").fields)
 
     def work(batches):
-        known = _lookup(lookup) if lookup else None
         for batch in batches:
-            keys = batch.column(0)
-            ids = np.asarray(keys)
-            for row, at, h, c, _place, size, _buf in _found(batch, length, known):
-                doc = ids[row]
-                order = np.lexsort((at, doc, c, h))
-                row, at, h, c, size, doc = (x[order] for x in (row, at, h, c, size, doc))
+            keys, marks = batch.column(0), batch.column(1)
+            ids, tells = np.asarray(keys), np.asarray(marks)
+            for row, at, h, c, _place, size, _buf in _found(batch, length):
+                order = np.lexsort((at, tells[row], ids[row], c, h))
+                row, at, h, c, size = (x[order] for x in (row, at, h, c, size))
+                doc, tell = ids[row], tells[row]
                 group = _first_of(h, c)
-                least = doc[np.flatnonzero(group)][np.cumsum(group) - 1]
-                own = doc == least
-                heads = np.flatnonzero(_first_of(h[own], c[own]))
+                own = doc == doc[np.flatnonzero(group)][np.cumsum(group) - 1]
+                heads = np.flatnonzero(_first_of(h[own], c[own], tell[own]))
                 ends = np.append(heads[1:], own.sum())
-                a = at[own]
+                a, first = at[own], row[own][heads]
                 more = pa.array([None if e - s == 1 else a[s + 1 : e] for s, e in zip(heads.tolist(), ends.tolist(), strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[own][heads]), pa.array(c[own][heads]), keys.take(pa.array(row[own][heads])), pa.array(a[heads]), pa.array(size[own][heads]), more], names=schema.names
+                    [pa.array(h[own][heads]), pa.array(c[own][heads]), keys.take(pa.array(first)), marks.take(pa.array(first)), pa.array(a[heads]), pa.array(size[own][heads].astype(np.int32)), more],
+                    names=schema.names,
                 )
                 if own.all():
                     continue
@@ -215,32 +176,13 @@ def anchored_runs(source: DataFrame, length: int, lookup: str | None) -> DataFra
                 spread = mix64((ids[row].astype(_U) << _U(20)) ^ s.astype(_U)).view(np.int64)
                 nothing = pa.nulls(len(s))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread), nothing.cast(pa.int64()), keys.take(pa.array(row)), pa.array(s - shift), pa.array(e - s), nothing.cast(pa.list_(pa.int64()))], names=schema.names
+                    [pa.array(spread), nothing.cast(pa.int64()), keys.take(pa.array(row)), marks.take(pa.array(row)), pa.array(s - shift), pa.array((e - s).astype(np.int32)), nothing.cast(pa.list_(pa.int64()))],
+                    names=schema.names,
                 )
 
     return source.mapInArrow(work, schema)
 
 
-def contexts(source: DataFrame, length: int, lookup: str | None) -> DataFrame:
-    """(h, c, least, ctx): the chosen contexts, each from its least document; all contexts without a lookup."""
-    schema = StructType(StructType.fromDDL("h long, c long").fields + [source.schema.fields[0]] + StructType.fromDDL("ctx binary").fields)
-
-    def work(batches):
-        known, chosen = _chosen(lookup) if lookup else (None, None)
-        for batch in batches:
-            keys = batch.column(0)
-            ids = np.asarray(keys)
-            for row, _at, h, c, place, size, buf in _found(batch, length, known):
-                order = np.arange(len(h)) if chosen is None else np.flatnonzero(_among(_marks(h, c, ids[row]), chosen))
-                order = order[np.lexsort((ids[row[order]], c[order], h[order]))]
-                order = order[_first_of(h[order], c[order])]
-                data, low, high = buf.tobytes(), place[order], place[order] + size[order]
-                texts = pa.array([data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(h[order]), pa.array(c[order]), keys.take(pa.array(row[order])), texts], names=schema.names)
-
-    return source.mapInArrow(work, schema).withColumnRenamed(source.columns[0], "least")
-
-
 def _packed(symbols: np.ndarray) -> np.ndarray:
     """Seven symbols of nine bits from each position on, as one number (zeros follow the end)."""
     key = np.zeros(len(symbols), _U)
@@ -365,43 +307,51 @@ def bucket_results(rows: DataFrame, buckets: int, length: int) -> DataFrame:
     return keyed.groupBy("bucket").applyInArrow(work, "h long, c long, opens array<long>, closes array<long>, least array<long>")
 
 
-def _stored(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path), path
+def frequent_results(rows: DataFrame, length: int) -> DataFrame:
+    """What ``bucket_results`` gives, for anchors with so many contexts that no task should hold them: each string of a
+    context goes its own way by its 64-bit digest (within the anchor's 64 bits), its documents' minimum taken before
+    the shuffle."""
+    place = F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - length)).alias("i")
+    strings = rows.select("h", "c", "least", "ctx", place).select("h", "c", "least", "i", F.xxhash64(F.substring("ctx", F.col("i") + 1, F.lit(length))).alias("s"))
+    firsts = strings.groupBy("h", "s").agg(F.min("least").alias("first"))
+    pieces = strings.select("h", "c", "i", "s").distinct().join(firsts, ["h", "s"]).groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), "first"))).alias("p"))
+    return pieces.select("h", "c", F.col("p.i").alias("opens"), F.transform("p", lambda x: x["i"] + length).alias("closes"), F.col("p.first").alias("least"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20) -> DataFrame:
-    """(doc_id, spans): by document, the sorted [start, end) bytes that stand in strings of ``length`` bytes which also
-    start in a document of smaller doc_id. Spans may overlap. Documents without any are left out.
-
-    Documents whose contexts of an anchor are all equal need no sorting: the whole context repeats. Contexts that
-    differ meet in the anchor's bucket and are compared by their sorted suffixes."""
-    spark: SparkSession = docs.sparkSession
-    source = docs.select("doc_id", utf8("text").alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
-    shared, path = _stored(spark, anchor_counts(source, length).groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"), "anchors")
-    few = shared.count() <= LOOKUP_ROWS
-    runs = anchored_runs(source, length, path if few else None)
-    if not few:
-        runs = runs.filter("c is null").unionByName(runs.filter("c is not null").join(shared, "h", "left_semi"))
-    group = W.partitionBy("h")
-    runs = runs.withColumns({"least": F.min("doc_id").over(group), "mixed": F.min("c").over(group) != F.max("c").over(group)})
-    runs, _ = _stored(spark, runs.filter("c is null or mixed or doc_id > least").withColumn("mixed", F.coalesce("mixed", F.lit(False))).drop("least"), "runs")
-    wanted = runs.filter("mixed").groupBy("h", "c").agg(F.min("doc_id").alias("least"))
-    wanted, path = _stored(spark, wanted, "contexts")
-    few = wanted.count() <= LOOKUP_ROWS
-    texts = contexts(source, length, path) if few else contexts(source, length, None).join(wanted, ["h", "c", "least"], "left_semi")
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    results = bucket_results(texts, max(8, -(-total // bucket_bytes)), length)
+    """(doc_id, t, spans): by text, the sorted [start, end) bytes that stand in strings of ``length`` bytes which also
+    start in a document of smaller doc_id. Spans may overlap. Texts without any are left out; t tells the texts of one
+    doc_id apart.
+
+    Texts whose contexts of an anchor are all equal need no sorting: the whole context repeats. Contexts that differ
+    meet in the anchor's bucket and are compared by their sorted suffixes. What is shuffled is digests and places, and
+    the texts once; every step is the same plan at every size, and a frequent anchor's rows are summed up by slice
+    before they are counted, joined by joins that may be split, and compared string by string."""
+    source = docs.select("doc_id", _tell("text").alias("t"), utf8("text").alias("text")).filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length))
+    counts = anchor_counts(source, length).groupBy("h").agg(F.min("least").alias("least"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    shared = stored(counts.filter("n > 1").select("h", "least", F.expr("low < high").alias("mixed"), (F.col("m") > MOST_CONTEXTS).alias("often")), "anchors")
+    runs = anchored_runs(source, length).join(shared, "h", "left").filter("c is null or mixed or doc_id > least")
+    runs = stored(runs.drop("least").fillna(False, ["mixed", "often"]), "runs")
+    first = F.min(F.struct("doc_id", "t", "at", "size")).alias("first")
+    wanted = stored(runs.filter("mixed").groupBy("h", "c", "often").agg(first).select("h", "c", "often", "first.*"), "contexts")
+    texts = wanted.join(source, ["doc_id", "t"]).select("h", "c", "often", F.col("doc_id").alias("least"), F.substring("text", (F.col("at") + 1).cast("int"), F.col("size")).alias("ctx"))
+    texts = stored(texts, "texts")
+    total = wanted.filter("not often").agg(F.sum("size")).first()[0] or 0
+    results = bucket_results(texts.filter("not often"), max(8, -(-total // bucket_bytes)), length).unionByName(frequent_results(texts.filter("often"), length))
     places = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<bigint>")))
     pieces = F.filter(F.arrays_zip("opens", "closes", "least"), lambda x: x["least"] < F.col("doc_id"))
     hits = (
-        runs.filter("mixed").join(results, ["h", "c"]).select("doc_id", F.explode(places).alias("at"), pieces.alias("pieces"))
-        .select("doc_id", "at", F.explode("pieces").alias("p"))
-        .select("doc_id", (F.col("at") + F.col("p.opens")).alias("s"), (F.col("at") + F.col("p.closes")).alias("e"))
+        runs.filter("mixed").join(results, ["h", "c"]).select("doc_id", "t", F.explode(places).alias("at"), pieces.alias("pieces"))
+        .select("doc_id", "t", "at", F.explode("pieces").alias("p"))
+        .select("doc_id", "t", (F.col("at") + F.col("p.opens")).alias("s"), (F.col("at") + F.col("p.closes")).alias("e"))
     )
-    whole = runs.filter("not mixed").select("doc_id", F.explode(places).alias("s"), "size").select("doc_id", "s", (F.col("s") + F.col("size")).alias("e"))
-    return whole.unionByName(hits).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    whole = runs.filter("not mixed").select("doc_id", "t", F.explode(places).alias("s"), "size").select("doc_id", "t", "s", (F.col("s") + F.col("size")).alias("e"))
+    return whole.unionByName(hits).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+
+
+def _tell(text: str) -> F.Column:
+    """Tells the texts of one doc_id apart."""
+    return F.hash(F.coalesce(F.col(text), F.lit("")))
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -421,12 +371,12 @@ def substring_dedup(docs: DataFrame, length: int = 50, spans: DataFrame | None =
 
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller doc_id; strings are
     judged on the input, never cross documents, and repeats inside one document alone stay. Texts are UTF-8 bytes; a
-    null text is empty. Shorter texts lose nothing. Rows that repeat a doc_id count as one document whose texts are
-    judged (and, where their spans differ, cut) together. A null doc_id stays whole. Other columns are not read.
+    null text is empty. Shorter texts lose nothing. Rows that repeat a doc_id are one document; each of its
+    texts is judged against documents of smaller doc_id. A null doc_id stays whole. Other columns are not read.
     """
     spans = repeated_spans(docs, length) if spans is None else spans
-    flat = spans.select("doc_id", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
-    joined = docs.select("doc_id", utf8("text").alias("text")).join(flat, "doc_id", "left")
+    flat = spans.select("doc_id", "t", F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
+    joined = docs.select("doc_id", _tell("text").alias("t"), utf8("text").alias("text")).join(flat, ["doc_id", "t"], "left").drop("t")
     schema = StructType(joined.schema.fields[:1] + StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary").fields)
 
     def work(batches):
