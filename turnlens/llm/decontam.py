@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ._shared import utf8
+from ._shared import stored, utf8
 from ._text import shingle_hashes, text_slices, word_hashes, word_spans
 
 _U = np.uint64
-BLOCKS = 8
+#: Blocks of a fingerprint, and windows handled at once.
+BLOCKS, RUN = 8, 1024
 _POP = np.array([bin(i).count("1") for i in range(256)], np.int64)
 
 
@@ -44,8 +46,7 @@ class Benchmark:
                 owners[h].append(k)
         self.df = {h: len(k) for h, k in owners.items()}
         self.shingles = np.array(sorted(owners), _U)
-        self.sizes_of = [sorted({sizes[k] for k in owners[h]}) for h in self.shingles.tolist()]
-        self.by_size = {}
+        self.by_size, place = {}, {}
         for m in sorted(set(sizes)):
             members = [k for k, n in enumerate(sizes) if n == m]
             prints = np.stack([self.fingerprint(self.sets[k]) for k in members])
@@ -53,6 +54,9 @@ class Benchmark:
             for b in range(BLOCKS):
                 near[b] = _POP[np.arange(256)[:, None] ^ prints[None, :, b].astype(np.int64)] <= radius // BLOCKS
             self.by_size[m] = (members, prints, near)
+            place |= {k: at for at, k in enumerate(members)}
+        #: By shingle and size: the items of that size that have the shingle, as places among the items of the size.
+        self.owners = [{m: np.array([place[k] for k in owners[h] if sizes[k] == m]) for m in sorted({sizes[k] for k in owners[h]})} for h in self.shingles.tolist()]
 
     def weight(self, shingle: int) -> float:
         """A shingle of several items says less about each of them; one of no item weighs like one of a single item."""
@@ -73,48 +77,56 @@ class Benchmark:
     def matches(self, shingles: np.ndarray, hits: np.ndarray, threshold: float) -> dict[int, tuple[float, int, int, int]]:
         """By item: (similarity, minus start, window's shingles, Hamming distance) of the best window of one text.
 
-        ``hits``: positions of benchmark shingles. A window without one shares nothing with any item, so windows are
-        fingerprinted where they hold a hit of an item of their size."""
+        ``hits``: positions of benchmark shingles. A window shares nothing with an item unless it holds a hit of it, so
+        windows are fingerprinted where they hold a hit of an item of their size, and looked up for such items only."""
         reach = defaultdict(list)
-        for p, at in zip(hits, np.searchsorted(self.shingles, shingles[hits]), strict=True):
-            for m in self.sizes_of[at]:
-                reach[m].append(p)
+        for p, at in zip(hits.tolist(), np.searchsorted(self.shingles, shingles[hits]).tolist(), strict=True):
+            for m, items in self.owners[at].items():
+                reach[m].append((p, items))
         best: dict[int, tuple[float, int, int, int]] = {}
         low, high = 0, len(shingles)
         weights = np.ones(high)
         for p in hits:
             weights[p] = self.weight(int(shingles[p]))
-        for m, places in reach.items():
-            wide = min(m, high - low)
-            opens = np.unique(np.clip((np.array(places)[:, None] - np.arange(wide)[None, :]).ravel(), 0, high - wide))
+        for m, found in reach.items():
+            wide, places = min(m, high - low), np.array([p for p, _ in found])
+            opens = np.unique(np.clip((places[:, None] - np.arange(wide)[None, :]).ravel(), 0, high - wide))
             members, prints, near = self.by_size[m]
-            for run in np.split(opens, np.flatnonzero(np.diff(opens) > 4 * wide) + 1):
-                a, b = run[0], run[-1] + wide
-                sums = np.zeros((b - a + 1, 64))
-                np.cumsum(_signs(shingles[a:b]) * weights[a:b, None], axis=0, out=sums[1:])
-                marks = np.packbits(sums[run - a + wide] - sums[run - a] > 1e-9, axis=1)
-                seen = np.zeros((len(run), len(members)), bool)
-                for block in range(BLOCKS):
-                    seen |= near[block][marks[:, block]]
-                rows, cols = np.nonzero(seen)
-                apart = _POP[marks[rows] ^ prints[cols]].sum(axis=1)
-                for r, c, d in zip(rows[apart <= self.radius], cols[apart <= self.radius], apart[apart <= self.radius], strict=True):
-                    window = dict(zip(*(x.tolist() for x in np.unique(shingles[run[r] : run[r] + wide], return_counts=True)), strict=True))
-                    found = (self.similarity(members[c], window), -int(run[r]), wide, int(d))
-                    if found[0] >= threshold and found > best.get(members[c], (0.0,)):
-                        best[members[c]] = found
+            cuts = np.flatnonzero(np.diff(opens) > 4 * wide) + 1
+            for whole in np.split(opens, cuts):
+                for run in np.split(whole, range(RUN, len(whole), RUN)):
+                    a, b = run[0], run[-1] + wide
+                    sums = np.zeros((b - a + 1, 64))
+                    np.cumsum(_signs(shingles[a:b]) * weights[a:b, None], axis=0, out=sums[1:])
+                    marks = np.packbits(sums[run - a + wide] - sums[run - a] > 1e-9, axis=1)
+                    codes = [np.zeros(0, np.int64)]
+                    for p, items in found[np.searchsorted(places, a) : np.searchsorted(places, b)]:
+                        first, last = np.searchsorted(run, (p - wide + 1, p + 1))
+                        codes.append((np.arange(first, last)[:, None] * len(members) + items[None, :]).ravel())
+                    rows, cols = np.divmod(np.unique(np.concatenate(codes)), len(members))
+                    seen = np.zeros(len(rows), bool)
+                    for block in range(BLOCKS):
+                        seen |= near[block][marks[rows, block], cols]
+                    rows, cols = rows[seen], cols[seen]
+                    apart = _POP[marks[rows] ^ prints[cols]].sum(axis=1)
+                    close = apart <= self.radius
+                    for r, c, d in zip(rows[close].tolist(), cols[close].tolist(), apart[close].tolist(), strict=True):
+                        window = dict(zip(*(x.tolist() for x in np.unique(shingles[run[r] : run[r] + wide], return_counts=True)), strict=True))
+                        got = (self.similarity(members[c], window), -int(run[r]), wide, int(d))
+                        if got[0] >= threshold and got > best.get(members[c], (0.0,)):
+                            best[members[c]] = got
         return best
 
 
-def _blocks(benchmark: DataFrame, block_items: int) -> list[list[tuple[int, bytes]]]:
-    """The benchmark, a stated query set, in blocks of a bounded number of items."""
+def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The benchmark, a stated query set, in blocks of a bounded number of items, one at a time."""
     rows = benchmark.select("item_id", utf8("text").alias("text")).filter("item_id is not null").distinct()
     count = rows.count()
     n = -(-count // block_items)
-    if n <= 1:
-        return [[(r[0], bytes(r[1])) for r in rows.collect()]] if count else []
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n))
-    return [[(r[0], bytes(r[1])) for r in rows.filter(part == k).collect()] for k in range(2 * n)]
+    parts = 1 if n <= 1 else 2 * n
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
+    for k in range(parts if count else 0):
+        yield [(r[0], bytes(r[1])) for r in rows.filter(part == k).collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, size: int = 5, radius: int = 22, block_items: int = 20_000) -> DataFrame:
@@ -124,10 +136,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     A window is as long as the item (the whole text where that is shorter). It counts if the weighted Jaccard
     similarity of the ``size``-word shingles (A-Z folded, multiplicities, 1 / number of items as the weight) is at
     least ``threshold``. Candidates are windows whose 64-bit SimHash is within ``radius`` bits of the item's: with
-    eight blocks of 8 bits, one block is within radius // 8 bits, and the block tables list all such items. Items and
+    eight blocks of 8 bits, one block is within radius // 8 bits, and the block tables tell all such items among those
+    that share a shingle with the window. Items and
     texts of fewer than ``size`` words match nothing; null texts count as empty. A document id that repeats gives its
     rows for each copy. The benchmark is a query set handled in blocks of at most about ``block_items`` items, each
-    block one pass over the documents, so what is broadcast has that bound.
+    block one pass over the documents whose result is stored, so what the driver and the tasks hold has that bound.
+    Other columns are not read; an empty table or benchmark gives an empty result.
     """
     source = docs.select(F.col("doc_id"), utf8("text").alias("text"))
     schema = StructType(source.schema.fields[:1] + StructType.fromDDL("item_id long, start_word long, end_word long, hamming long, similarity double").fields)
@@ -159,5 +173,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
                 kinds = (pa.int64(),) * 4 + (pa.float64(),)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, columns, kinds)], names=schema.names)
 
-        out = out.unionByName(source.mapInArrow(work, schema))
+        out = out.unionByName(stored(source.mapInArrow(work, schema), "found"))
+        index.destroy()
     return out
