@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +148,8 @@ def normalise(spark: SparkSession, path: str, out: str, level: int = 6) -> DataF
     def work(batches):
         for batch in batches:
             for source in batch.column(0).to_pylist():
-                name = re.sub(r"(\.txt|\.warc)*\.gz$", "", source.rpartition("/")[2]) + ".warc.gz"
+                stem = re.sub(r"(\.txt|\.warc)*\.gz$", "", source.rpartition("/")[2])
+                name = f"{stem}-{xxhash.xxh64_hexdigest(source)}.warc.gz"  # archives of one name may stand in two folders
                 target, offset, rows = f"{out}/{name}", 0, []
                 with open_stream(source) as stream, written_whole(target) as archive:
                     for fields, head, block in read_records(stream):
@@ -177,7 +179,9 @@ def payloads(index: DataFrame) -> DataFrame:
 
     Each record is inflated from its own offset. A response's length and digest are those of the payload read, and
     must be those that it states; a revisit has no payload, so they are what its HTTP and WARC headers state."""
-    places = index.select("archive", "offset", "length").repartition("archive")
+    archives = index.agg(F.count_distinct("archive")).first()[0]
+    # as many tasks as archives: without a number, these small rows would all be put into one
+    places = index.select("archive", "offset", "length").repartition(max(1, archives), "archive").sortWithinPartitions("archive", "offset")
 
     def number(text: str | None) -> int | None:
         found = re.fullmatch(r"<urn:page:(-?\d+)>", text or "")
