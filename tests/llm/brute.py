@@ -106,3 +106,26 @@ def substring_dedup(rows, length):
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[d] = (len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def repeated_chunks(rows, cut, least_run):
+    """doc_id -> [(start, end)]: runs of adjacent chunks (by ``cut``, ends of the chunks) that a smaller doc_id has."""
+    first, parts = {}, {}
+    for d, t in sorted(rows):
+        data, low, parts[d] = (t or "").encode(), 0, []
+        for end in cut(data):
+            parts[d].append((low, end, data[low:end]))
+            first.setdefault(data[low:end], d)
+            low = end
+    out = {}
+    for d, chunks in parts.items():
+        runs = []
+        for low, end, body in chunks:
+            if first[body] < d:
+                if runs and runs[-1][1] == low:
+                    runs[-1][1] = end
+                else:
+                    runs.append([low, end])
+        if runs := [(a, b) for a, b in runs if b - a >= least_run]:
+            out[d] = runs
+    return out
