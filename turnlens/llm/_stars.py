@@ -67,37 +67,36 @@ def difference_pairs(placed: DataFrame, contents: DataFrame, threshold: int, shi
     return found.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
 
 
-def star_links(members: DataFrame, contents: DataFrame, threshold: int, centres: int, shingles=F.col) -> DataFrame:
+def star_links(members: DataFrame, contents: DataFrame, threshold: int, centres: int, fits, kin=None, shingles=F.col) -> DataFrame:
     """Links (a < b) with the components that comparing all pairs of each bucket would give, without making them.
 
     Every bucket has up to ``centres`` centres, one for each class of a fixed hash: the member with the most company
-    (the least edited text of a family), then the smallest key. Members pair with the centres, unless their sizes rule
-    the similarity out. A bucket whose other members then lie in one component is settled; in the others the pairs that
-    may still be linked are found by ``difference_pairs`` from the first centre. So the work grows with the members of
-    a family and what sets them apart, not with its pairs.
+    (the least edited text of a family), then the smallest key. Members pair with the centres that they fit:
+    ``fits`` and ``kin`` are conditions on what is known ``about`` two keys. A bucket whose other members then lie in
+    one component is settled; in the others the pairs that may still be linked are found by ``difference_pairs`` from
+    the first centre, among the members that are its ``kin`` (all, if None). So the work grows with the members of a
+    family and what sets them apart, not with its pairs.
     """
-    rank = F.struct("company", (-F.col("key")).alias("minus"), "size")
+    rank = F.struct("company", (-F.col("key")).alias("minus"), "about")
     classes = members.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(centres)).alias("class"))
     stars = checkpoint(classes.agg(F.max(rank).alias("c")).drop("class"))
-    fits = threshold * F.greatest("size", "c.size") <= 100 * F.least("size", "c.size")
     pairs = (
-        members.join(stars, "bucket").filter((F.col("key") != -F.col("c.minus")) & fits)
+        members.join(stars, "bucket").filter((F.col("key") != -F.col("c.minus")) & fits(F.col("about"), F.col("c.about")))
         .select(F.least("key", -F.col("c.minus")).alias("a"), F.greatest("key", -F.col("c.minus")).alias("b")).distinct()
     )
     pairs = stored(pairs, "pairs")
     links = stored(verified(pairs, contents, threshold, shingles), "links")
-    # a key that has two contents is done with the one that was compared by its size
-    rest = members.join(stars.select("bucket", (-F.col("c.minus")).alias("key"), "c.size"), ["bucket", "key", "size"], "left_anti")
-    several = rest.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rest = checkpoint(rest.select("bucket", "key").join(several, "bucket", "left_semi"))
+    # a key that has two contents is done with the one that it was compared by
+    rest = members.join(stars.select("bucket", (-F.col("c.minus")).alias("key"), "c.about"), ["bucket", "key", "about"], "left_anti")
+    first = stars.groupBy("bucket").agg(F.max("c").alias("c"))
+    near = F.lit(True) if kin is None else kin(F.col("about"), F.col("c.about"))
+    rest = rest.join(first, "bucket").filter((F.col("key") != -F.col("c.minus")) & near).select((-F.col("c.minus")).alias("centre"), "key").distinct()
+    several = rest.groupBy("centre").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("centre")
+    rest = stored(rest.join(several, "centre"), "rest")
     if rest.isEmpty():
         return links
     found = components(links).withColumnRenamed("node", "key")
-    placed = checkpoint(rest.join(found, "key", "left").withColumn("component", F.coalesce("component", "key")))
-    unsettled = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("bucket")
-    first = stars.groupBy("bucket").agg(F.max("c").alias("c")).select("bucket", (-F.col("c.minus")).alias("centre"))
-    placed = stored(placed.join(unsettled, "bucket").join(first, "bucket").select("centre", "key", "component").filter("centre != key").distinct(), "placed")
-    if placed.isEmpty():
-        return links
-    more = stored(difference_pairs(placed, contents, threshold, shingles).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    placed = stored(rest.join(found, "key", "left").withColumn("component", F.coalesce("component", "key")), "placed")
+    unsettled = placed.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("centre")
+    more = stored(difference_pairs(placed.join(unsettled, "centre"), contents, threshold, shingles).join(pairs, ["a", "b"], "left_anti"), "pairs")
     return links.unionByName(stored(verified(more, contents, threshold, shingles), "links"))
