@@ -15,7 +15,7 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     the key. The rows are made and shuffled once; what is counted and what is joined read the same shuffle."""
     dealt = rows.repartition("bucket")
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("members"), F.min("key").alias("low"), F.max("key").alias("high"))
-    rows = stored(dealt.join(shared.filter("low < high").drop("low", "high"), "bucket"), "members")
+    rows = stored(dealt.join(shared.filter("low < high").drop("low", "high").hint("shuffle_hash"), "bucket"), "members")
     return checkpoint(rows.drop("members").join(rows.groupBy("key").agg(F.sum("members").alias("company")), "key"))
 
 
