@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from turnlens.operators import audio as A
 from turnlens.operators import finalize as Z
+from turnlens.operators import records as R
 from turnlens.operators import vectors as V
 from turnlens.plans import models
 from turnlens.sources import media
@@ -50,11 +51,10 @@ def test_resolution_is_all_or_nothing(spark):
 
 def test_priority_order(spark):
     kinds = {"confirmed": 0, "partial": 4, "fallback": 5, "targeted": 7, "upload": 10, "finalize": 15}
-    asked = ["upload", "partial", "confirmed", "fallback", "targeted", "upload", "finalize"]
-    rows = [(1, k, 0 if k == 0 else 1, kinds[kind], 100) for k, kind in enumerate(asked)]
-    out = Z.priority_schedule(spark.createDataFrame(rows, "coordinator long, seq long, arrival_ms long, priority long, run_ms long")).orderBy("start_ms").collect()
-    assert [asked[r["seq"]] for r in out] == ["upload", "confirmed", "partial", "fallback", "targeted", "upload", "finalize"]
-    assert [r["wait_ms"] for r in out[:3]] == [0, 99, 199]
+    asked = ["partial", "confirmed", "fallback", "targeted", "upload", "finalize", "partial"]
+    rows = [(1, k, kinds[kind]) for k, kind in enumerate(asked)]
+    out = R.pending_order(spark.createDataFrame(rows, "coordinator long, seq long, priority long")).orderBy("turn").collect()
+    assert [r["seq"] for r in out] == [1, 0, 6, 2, 3, 4, 5]
 
 
 def test_partial_requests_and_texts(spark):
@@ -80,9 +80,74 @@ def test_long_lines_and_bounded_join(spark):
     assert parts.select(Z.bounded_join("p", 10)).first()[0] == "aaa…\n\nbb"
 
 
+ALIGN = [
+    ("ab cd", "Ab, cd.", [10, 20, 30, 40, 50], [10, 20, 20, 30, 40, 50, 50]),
+    ("hello world", "hello World", list(range(11)), list(range(11))),
+    ("ab", "(ab", [5, 6], [5, 5, 6]),
+    ("abcd", "aXYZd", [1, 2, 3, 4], [1, 2, 2, 3, 4]),  # three characters over the two that they replace
+    ("abc", "abcd", [1, 2], [1, 2, 2, 2]), ("abc", "a", [1, 2], [1]), ("", "x", [], []), ("ab", "", [1, 2], []),
+]
+
+
 def test_align_punctuated(spark):
-    pairs = spark.createDataFrame([(1, "ab cd", "Ab, cd.", [10, 20, 30, 40, 50])], "id long, old string, new string, ts array<long>")
-    assert Z.align_punctuated(pairs).first()["ts"][1:] == [20, 20, 30, 40, 50, 50]
+    pairs = spark.createDataFrame([(k, o, n, t) for k, (o, n, t, _) in enumerate(ALIGN)], "id long, old string, new string, ts array<long>")
+    assert {r["id"]: r["ts"] for r in Z.align_punctuated(pairs).collect()} == {k: w for k, (*_, w) in enumerate(ALIGN)}
+
+
+def test_rescues_in_order(spark):
+    """Touching candidates: the earliest goes in; a word that the next sentence repeats goes, with its time."""
+    base = segs(spark, (0, 1000, 0, "Mot"), (1500, 2000, 0, "Ba bon"))
+    rows = [(1, 0, 1000, 1450, "hai la ba", [(1000 + 50 * k, 1050 + 50 * k) for k in range(9)]), (1, 1, 1300, 1340, "nua", None), (1, 2, 1360, 1400, "nua", None), (1, 3, 1390, 1450, "khac", None), (1, 4, 2100, 2200, "NUA", None)]
+    more = spark.createDataFrame(rows, "job_id long, ord long, start_ms long, end_ms long, text string, ts array<struct<s:long,e:long>>")
+    got = [(r["ord"], r["end_ms"], r["text"]) for r in Z.rescued(base, more).orderBy("ord").collect()]
+    assert got == [(0, 1300, "hai la"), (1, 1340, "nua"), (3, 1450, "khac")]
+    none = Z.rescued(base, more.filter("false"))
+    assert none.count() == 0 and none.columns == more.columns
+
+
+def test_rescue_gaps(spark):
+    base = segs(spark, (0, 1000, 0, "dau"), (6000, 7000, 0, "cuoi"))
+    vad = spark.createDataFrame([(1, 2000, 4000)], "job_id long, start_ms long, end_ms long")
+    durations = spark.createDataFrame([(1, 7000)], "job_id long, duration_ms long")
+    decoded = spark.createDataFrame([(1, 1000, 6000, 0, " giua cuoi", [(1500 + 500 * k, 2000 + 500 * k) for k in range(10)]), (1, 8000, 9000, 1, "khong", [(8000, 8100)] * 5)], "job_id long, gap_start_ms long, gap_end_ms long, ord long, text string, ts array<struct<s:long,e:long>>")
+    rows = {r["text"]: (r["start_ms"], r["end_ms"], r["origin"]) for r in Z.rescue_gaps(base, vad, durations, decoded).collect()}
+    # characters whose middle lies after 6000 go: " giua cuo", of which the word after the gap differs
+    assert rows == {"dau": (0, 1000, "kept"), "cuoi": (6000, 7000, "kept"), "giua cuo": (2000, 6000, "rescued")}
+
+
+def test_quiet_cuts(spark):
+    """Equal energy: the limit itself; else the middle of the quietest frame. A short rest stays with the part before."""
+    turns = spark.createDataFrame([(1, 0, 20_000), (2, 0, 20_000), (3, 0, 15_500), (4, 0, 900)], "job_id long, start_ms long, end_ms long")
+    loud = [1.0] * 20_000
+    quiet = list(loud)
+    quiet[14_000:14_040] = [0.0] * 40
+    audio = spark.createDataFrame([(1, [0.0] * 20_000), (2, quiet), (3, loud)], "job_id long, samples array<double>")
+    got = {}
+    for r in A.split_at_quiet(turns, audio, rate=1000).collect():
+        got.setdefault(r["job_id"], []).append((r["start_ms"], r["end_ms"]))
+    assert got[1] == [(0, 15_000), (15_000, 20_000)] and got[2] == [(0, 14_020), (14_020, 20_000)] and got[4] == [(0, 900)]
+    assert got[3] == [(0, 14_500), (14_500, 15_500)]  # cut so that a second is left
+
+
+def test_log_mel_against_plain_sums(spark):
+    import cmath
+    import math
+
+    rate, n, hop, mels = 8000, 32, 10, 6
+    x = [math.sin(k / 3) + 0.2 * math.cos(k) for k in range(75)]
+    rows = {(r["t"]): r["v"] for r in A.log_mel(spark.createDataFrame([(1, x), (2, [])], "id long, samples array<double>"), rate, n, hop, mels).collect()}
+    to_mel = lambda f: f * 3 / 200 if f < 1000 else 15 + 27 * math.log(f / 1000) / math.log(6.4)
+    to_hz = lambda m: m * 200 / 3 if m < 15 else 1000 * 6.4 ** ((m - 15) / 27)
+    edges = [to_hz(to_mel(rate / 2) * k / (mels + 1)) for k in range(mels + 2)]
+    wide = [0.0] * (n // 2) + x + [0.0] * (n // 2)
+    assert sorted(rows) == list(range(1 + 75 // hop))
+    for t, got in rows.items():
+        frame = [wide[t * hop + k] * (0.5 - 0.5 * math.cos(2 * math.pi * k / n)) for k in range(n)]
+        power = [abs(sum(v * cmath.exp(-2j * math.pi * f * k / n) for k, v in enumerate(frame))) ** 2 for f in range(n // 2 + 1)]
+        for m in range(mels):
+            a, b, c = edges[m : m + 3]
+            tri = [max(0.0, min((f * rate / n - a) / (b - a), (c - f * rate / n) / (c - b))) * 2 / (c - a) for f in range(n // 2 + 1)]
+            assert got[m] == pytest.approx(math.log(max(sum(p * w for p, w in zip(power, tri, strict=True)), 1e-10)), abs=1e-6)
 
 
 def test_audio(spark, tmp_path):
@@ -105,7 +170,7 @@ def test_audio(spark, tmp_path):
     got = {r["id"]: r["y"] for r in quiet.select("id", A.rms_normalize("samples").alias("y")).collect()}
     assert got[1] == pytest.approx([0.03, -0.03]) and got[2] == [0.0] and got[3] == [0.5]
     tone = spark.createDataFrame([(1, np.sin(np.arange(1600) / 5).tolist())], "id long, samples array<double>")
-    assert A.log_mel(tone).count() == 8
+    assert A.log_mel(tone).count() == 11
     assert len(A.resample(tone, 48, 16).first()["samples"]) == 533
 
 
@@ -140,3 +205,17 @@ def test_clusters(spark):
     assert got[3] == {0: 0}
     for job, n in ((1, 3), (2, 2)):
         assert len(set(got[job].values())) == n and all(got[job][k] == got[job][k % n] for k in got[job])
+
+
+def test_minor_clusters_are_dissolved(spark):
+    """Three vectors apart from nine others are too few for a speaker of their own; five are enough."""
+    rows = []
+    for job, few in ((1, 3), (2, 5), (3, 2)):
+        many = 9 if job < 3 else 2
+        rows += [(job, k, [1.0, 0.001 * k, 0.0]) for k in range(many)] + [(job, many + k, [0.0, 0.001 * k, 1.0]) for k in range(few)]
+    got = {}
+    for r in V.cluster_speakers(spark.createDataFrame(rows, "job_id long, ord long, embedding array<double>")).collect():
+        got.setdefault(r["job_id"], []).append((r["ord"], r["cluster"]))
+    names = {job: [c for _, c in sorted(x)] for job, x in got.items()}
+    assert names[1] == [0] * 12 and names[3] == [0] * 4
+    assert len(set(names[2][:9])) == 1 and len(set(names[2][9:])) == 1 and names[2][0] != names[2][9]

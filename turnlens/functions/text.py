@@ -49,13 +49,128 @@ def cosine(a, b) -> Column:
 
 
 def duration_seconds(c) -> Column:
-    """seconds from texts like 1h2m59.56s or 350ms; null if nothing matches."""
-    unit = F.create_map(*[F.lit(x) for pair in (("ms", 0.001), ("s", 1.0), ("m", 60.0), ("h", 3600.0)) for x in pair])
-    parts = F.regexp_extract_all(c, F.lit(r"([0-9.]+)(ms|s|m|h)"), F.lit(0))
-    value = lambda p: F.regexp_extract(p, r"^[0-9.]+", 0).cast("double") * unit[F.regexp_extract(p, r"[a-z]+$", 0)]
+    """seconds from texts like 1d2h3m4.5s (each number counts with the first letter after it); null if nothing
+    matches or a number is none."""
+    parts = F.regexp_extract_all(F.lower(c), F.lit(r"([0-9.]+)\s*([dhms])"), F.lit(0))
+    unit = F.create_map(*[F.lit(x) for pair in (("d", 86400.0), ("h", 3600.0), ("m", 60.0), ("s", 1.0)) for x in pair])
+    value = lambda p: F.regexp_extract(p, r"^[0-9.]+", 0).try_cast("double") * unit[F.right(p, F.lit(1))]
     return F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda s, p: s + value(p)))
 
 
+def retryable(status) -> Column:
+    """whether a call that failed with this status (null: none) may be made again."""
+    return F.col(status).isNull() | F.col(status).isin(408, 409, 429) | (F.col(status) >= 500)
+
+
+def retry_wait(attempt, retry_after) -> Column:
+    """seconds to wait: two to the power of the attempt, or half a second more than the answer asked for."""
+    back = F.pow(F.lit(2.0), F.col(attempt))
+    return F.greatest(back, F.coalesce(F.col(retry_after).try_cast("double") + 0.5, back))
+
+
+def requested_tokens(content, most) -> Column:
+    """half a token a character (one at least) and the tokens reserved for the answer."""
+    return (F.greatest(F.lit(1), F.ceil(F.length(content) / 2)) + F.greatest(F.lit(0), F.coalesce(most, F.lit(0)))).cast("long")
+
+
+#: How live recordings are named, and where their times are shown.
+LIVE, ZONE, NAMELESS = "realtime_", "Asia/Ho_Chi_Minh", "Tài liệu"
+
+
+def _base(name) -> Column:
+    return F.regexp_extract(name, r"([^/]*)/*$", 1)
+
+
+def _stem(name) -> Column:
+    return F.regexp_replace(_base(name), r"(?<=.)\.[^.]+$", "")
+
+
+def _local(at, pattern: str) -> Column:
+    return F.date_format(F.from_utc_timestamp(at, ZONE), pattern)
+
+
+def is_live_name(name) -> Column:
+    """whether a file name was made for a live recording."""
+    return F.startswith(_base(name), F.lit(LIVE))
+
+
+def display_name(name, at) -> Column:
+    """the name shown: the file's, or the local time of a live recording."""
+    return F.when(is_live_name(name), F.concat(F.lit("Ghi âm trực tiếp · "), _local(at, "dd/MM/yyyy HH:mm"))).otherwise(F.col(name))
+
+
+def export_label(name, at) -> Column:
+    """the same for file names: without an extension, and no slashes or colons in times."""
+    return F.when(is_live_name(name), F.concat(F.lit("Ghi âm "), _local(at, "dd-MM-yyyy HH-mm"))).otherwise(F.coalesce(F.nullif(_stem(name), F.lit("")), F.lit(NAMELESS)))
+
+
+def document_label(name, at) -> Column:
+    """the name inside an exported document."""
+    return F.when(is_live_name(name), display_name(name, at)).otherwise(F.coalesce(F.nullif(_stem(name), F.lit("")), F.lit(NAMELESS)))
+
+
+def export_title(name, at, mode) -> Column:
+    """the stem of an export: the label for full texts, else the file's stem; document where nothing is known."""
+    known = F.when(F.col(mode) == "full_text", F.concat(F.lit("Toàn văn - "), export_label(name, at))).otherwise(F.coalesce(F.nullif(_stem(name), F.lit("")), F.lit("document")))
+    return F.when(F.col(name).isNull() | F.col(at).isNull(), "document").otherwise(known)
+
+
+def encode_chars(c, alphabet: list[str]) -> Column:
+    """token ids of the characters; 0 for those that the alphabet lacks."""
+    ids = F.create_map(*[F.lit(x) for k, a in enumerate(alphabet) for x in (a, k)])
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return F.transform(chars, lambda x: F.coalesce(F.try_element_at(ids, x), F.lit(0)))
+
+
+def decode_chars(c, alphabet: list[str]) -> Column:
+    """the text of token ids; ids out of range are left out."""
+    tokens = F.array(*map(F.lit, alphabet))
+    return F.array_join(F.transform(F.filter(c, lambda i: (i >= 0) & (i < len(alphabet))), lambda i: F.get(tokens, i)), "")
+
+
+def chars_of_words(words) -> Column:
+    """(c, s, e) of every character of words (array of text, s, e), trimmed at both ends: each has its word's time."""
+    each = lambda w: F.transform(F.filter(F.split(w["text"], ""), lambda c: c != ""), lambda c: F.struct(c.alias("c"), w["s"].alias("s"), w["e"].alias("e")))
+    return _trimmed(F.flatten(F.transform(words, each)))
+
+
+def chars_of_tokens(tokens) -> Column:
+    """the same of sub-word tokens (array of text, s): a token lasts until the next one starts, the last one 80 ms;
+    the mark of a word's start is a space."""
+    col = F.col(tokens)
+    words = F.transform(col, lambda t, k: F.struct(F.replace(t["text"], F.lit("▁"), F.lit(" ")).alias("text"), t["s"].alias("s"), F.coalesce(F.get(col, k + 1)["s"], t["s"] + 80).alias("e")))
+    return chars_of_words(words)
+
+
+def _trimmed(chars) -> Column:
+    """Without white space at both ends."""
+    space = F.transform(chars, lambda x: x["c"].rlike(r"^\s$"))
+    first = F.array_position(space, False)
+    last = F.array_position(F.reverse(space), False)
+    return F.when(first == 0, F.slice(chars, 1, 0)).otherwise(F.slice(chars, first.cast("int"), (F.size(space) - last - first + 2).cast("int")))
+
+
+def chars_of_aligned(text, words) -> Column:
+    """(s, e) of every character of ``text`` by aligned units (array of text, s, e), found one after another; one
+    that is not found takes the next characters. Characters between two units last from the end of the one to the start
+    of the other (those before the first one as long as that), those after the last one as long as that."""
+    here = F.col(text)
+    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("last"), F.array().cast("array<struct<s:bigint,e:bigint>>").alias("out"))
+
+    def step(st, w):
+        found = F.position(w["text"], here, st["at"] + 1)
+        low = F.when(found > 0, found - 1).otherwise(st["at"])
+        high = F.least(F.length(here), low + F.length(w["text"]))
+        time = F.struct(w["s"].alias("s"), F.greatest(w["s"], w["e"]).alias("e"))
+        gap = F.when(st["last"].isNull(), time).otherwise(F.struct(st["last"]["e"].alias("s"), F.greatest(st["last"]["e"], w["s"]).alias("e")))
+        out = F.concat(st["out"], F.array_repeat(gap, low - st["at"]), F.array_repeat(time, high - low))
+        return F.when((st["at"] >= F.length(here)) | (w["text"] == ""), st).otherwise(F.struct(high.alias("at"), time.alias("last"), out.alias("out")))
+
+    zero = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"))
+    end = F.aggregate(words, start, step, lambda st: F.concat(st["out"], F.array_repeat(F.coalesce(st["last"], zero), F.length(here) - st["at"])))
+    return F.when((F.size(words) > 0) & (F.length(here) > 0), end).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
+
+
 def timing_weight(c) -> Column:
     """visible characters."""
     return F.length(F.regexp_replace(c, r"\s+", "")).cast("long")

@@ -40,23 +40,74 @@ def quietest_cut(frames: DataFrame, keys: list[str]) -> DataFrame:
     return frames.groupBy(*keys).agg(F.min_by("cut_ms", F.struct("rms", F.abs(F.col("target_ms") - F.col("cut_ms")), -F.col("cut_ms"))).alias("cut_ms"))
 
 
-def log_mel(audio: DataFrame, rate: int = 16_000, n_fft: int = 400, hop: int = 160, n_mels: int = 80) -> DataFrame:
-    """(id, t, v): log mel energies of (id, samples), floored at 1e-10."""
-    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
-    edges = hz(np.linspace(0, 2595 * np.log10(1 + rate / 1400), n_mels + 2))
+def mel_bank(rate: int, n_fft: int, n_mels: int) -> np.ndarray:
+    """Triangular filters of equal area on the mel scale that is linear up to 1 kHz (three mels for 200 Hz) and
+    logarithmic above (27 mels for a factor of 6.4)."""
+    knee, per = 1000.0, np.log(6.4) / 27
+    mel = lambda f: 3 * f / 200 if f < knee else 15 + np.log(f / knee) / per
+    marks = np.linspace(mel(0.0), mel(rate / 2), n_mels + 2)
+    edges = np.where(marks < 15, 200 * marks / 3, knee * np.exp(per * (np.maximum(marks, 15) - 15)))
     freqs = np.fft.rfftfreq(n_fft, 1 / rate)
     up = (freqs[None] - edges[:-2, None]) / (edges[1:-1, None] - edges[:-2, None])
     down = (edges[2:, None] - freqs[None]) / (edges[2:, None] - edges[1:-1, None])
-    bank = np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
+    return np.maximum(0, np.minimum(up, down)) * (2 / (edges[2:] - edges[:-2]))[:, None]
+
+
+def log_mel(audio: DataFrame, rate: int = 16_000, n_fft: int = 400, hop: int = 160, n_mels: int = 80) -> DataFrame:
+    """(id, t, v): log mel energies of (id, samples), floored at 1e-10. Frames are centred: half a window of zeros
+    is put before and after the samples, and a periodic Hann window is used. Without samples there are no frames."""
+    bank = mel_bank(rate, n_fft, n_mels)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
 
     def work(batches):
         for pdf in batches:
             for key, samples in zip(pdf["id"], pdf["samples"], strict=True):
-                x = np.asarray(samples, float)
-                if len(x) < n_fft:
+                if samples is None or not len(samples):
                     continue
-                cut = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * np.hanning(n_fft)
+                x = np.pad(np.asarray(samples, float), n_fft // 2)
+                cut = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * window
                 v = np.log(np.maximum((np.abs(np.fft.rfft(cut)) ** 2) @ bank.T, 1e-10))
                 yield pd.DataFrame({"id": key, "t": np.arange(len(v)), "v": v.tolist()})
 
     return audio.select("id", "samples").mapInPandas(work, "id long, t long, v array<double>")
+
+
+def split_at_quiet(turns: DataFrame, audio: DataFrame, rate: int = 16_000, most: int = 15_000, search: int = 2_000, least: int = 1_000) -> DataFrame:
+    """Speaker turns (job_id, start_ms, end_ms, ...) of more than ``most`` ms cut at the quietest frame (40 ms, every
+    10 ms) of the last ``search`` ms before the limit, then the nearest to it, then the latest. A rest under ``least`` ms
+    stays with the part before. ``audio``: job_id, samples. Each turn gets its own samples only."""
+    frame = 40 * rate // 1000
+
+    def cuts(start: int, end: int, x: np.ndarray) -> list[dict]:
+        sums = np.concatenate(([0.0], np.cumsum(np.asarray(x, float) ** 2)))
+        parts, now = [], start
+        while end - now > most:
+            target = now + most
+            low, high = max(now + least, target - search), min(target, end - least)
+            best = (0.0, 0, -target)
+            if high > low:
+                at = np.arange(low, high + 1, 10)
+                head = np.minimum((at - start) * rate // 1000, len(x))
+                tail = np.minimum(head + frame, len(x))
+                cut = np.minimum(high, at + 20)[tail > head]
+                if len(cut):
+                    rms = np.sqrt(((sums[tail] - sums[head]) / np.maximum(tail - head, 1))[tail > head])
+                    best = min(zip(rms.tolist(), np.abs(target - cut).tolist(), (-cut).tolist(), strict=True))
+            cut = -best[2] if -best[2] > now else target
+            parts.append([now, cut])
+            now = cut
+        if parts and end - now < least:
+            parts[-1][1] = end
+        elif end > now:
+            parts.append([now, end])
+        return [{"start_ms": a, "end_ms": b} for a, b in parts]
+
+    @F.pandas_udf("array<struct<start_ms:bigint,end_ms:bigint>>")
+    def split(start: pd.Series, end: pd.Series, samples: pd.Series) -> pd.Series:
+        return pd.Series([cuts(a, b, [] if x is None else x) for a, b, x in zip(start, end, samples, strict=True)])
+
+    at = lambda c: (F.col(c) * rate / 1000).cast("int")
+    own = F.slice("samples", at("start_ms") + 1, F.greatest(at("end_ms") - at("start_ms"), F.lit(0)))
+    joined = turns.join(audio.select("job_id", "samples"), "job_id", "left")
+    rest = [c for c in turns.columns if c not in ("start_ms", "end_ms")]
+    return joined.select(*rest, F.explode(split("start_ms", "end_ms", own)).alias("p")).select(*rest, "p.start_ms", "p.end_ms")

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.lines import line_pieces
+
+#: Positions of one block of a fold.
+BLOCK = 256
 
 
 def sentence_windows(sentences: DataFrame, size: int = 3) -> DataFrame:
@@ -36,17 +40,26 @@ def boundaries(embedded: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def smooth(embedded: DataFrame, alpha: float = 0.7) -> DataFrame:
-    """Exponential moving average of the similarities, a fold in order over one job's positions."""
+    """Exponential moving average of the similarities, in order within a job.
+
+    x(n) = alpha * s(n) + (1 - alpha) * x(n - 1). A job is cut into blocks of BLOCK positions; each is folded from zero,
+    and the value before a block counts with (1 - alpha) to the power of the place in it. The values at the ends of
+    blocks are folded the same way, so no array is longer than a block or the number of blocks."""
     sims = consecutive_similarity(embedded).filter("sim is not null")
-    per = sims.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("ord", "sim"))).alias("s"))
-    empty = F.array().cast("array<struct<ord:bigint,ema:double>>")
+    place = F.row_number().over(W.partitionBy("job_id").orderBy("ord")) - 1
+    rows = sims.withColumn("n", place).withColumns({"b": F.expr(f"n div {BLOCK}"), "x": F.when(F.col("n") == 0, F.col("sim")).otherwise(alpha * F.col("sim"))})
+    per = rows.groupBy("job_id", "b").agg(F.sort_array(F.collect_list(F.struct("n", "ord", "x"))).alias("s"))
 
-    def step(done, x):
-        last = F.get(done, F.size(done) - 1)["ema"]
-        ema = F.when(F.size(done) == 0, x["sim"]).otherwise(alpha * x["sim"] + (1 - alpha) * last)
-        return F.concat(done, F.array(F.struct(x["ord"].alias("ord"), ema.alias("ema"))))
+    def fold(upto):
+        return F.aggregate(F.slice("s", 1, upto), F.lit(0.0), lambda a, v: (1 - alpha) * a + v["x"])
 
-    return per.select("job_id", F.inline(F.aggregate("s", empty, step)))
+    own = per.withColumns({"own": F.transform("s", lambda v, k: F.struct(v["ord"].alias("ord"), k.alias("k"), fold(k + 1).alias("v")))})
+    ends = own.select("job_id", "b", F.element_at("own", -1)["v"].alias("v"), F.size("s").alias("m"))
+    chain = ends.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("b", "v", "m"))).alias("e"))
+    before = F.transform("e", lambda e, k: F.struct(e["b"].alias("b"), F.aggregate(F.slice("e", 1, k), F.lit(0.0), lambda a, v: F.pow(F.lit(1 - alpha), v["m"]) * a + v["v"]).alias("carry")))
+    carried = chain.select("job_id", F.inline(before))
+    rows = own.join(carried, ["job_id", "b"]).select("job_id", "carry", F.inline("own"))
+    return rows.select("job_id", "ord", (F.col("v") + F.pow(F.lit(1 - alpha), F.col("k") + 1) * F.col("carry")).alias("ema"))
 
 
 def adaptive_threshold(sims: DataFrame) -> DataFrame:
@@ -94,18 +107,23 @@ def pack_sentences(sentences: DataFrame, limit: int = 1500, overlap: int = 3) ->
 
 
 def pack_lines(docs: DataFrame, limit: int) -> DataFrame:
-    """C5 (lines within the limit): greedy packing of a text's lines into chunks of at most ``limit`` characters,
-    newlines counted. Longer lines are cut every ``limit`` characters. Returns doc_id, n_chunks, longest, total."""
-    cut = lambda line: F.when(F.length(line) <= limit, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s).{{1,{limit}}}"), F.lit(0)))
-    sizes = F.transform(F.flatten(F.transform(F.split("text", "\n", -1), cut)), lambda x: F.length(x).cast("long"))
-    zero = F.struct(F.lit(-1).cast("long").alias("now"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("longest"), F.lit(0).cast("long").alias("total"))
+    """Chunks of at most ``limit`` characters: a text's lines (over-long ones in the pieces of C6), packed greedily,
+    newlines counted. An empty text is one empty chunk. Returns doc_id, chunk, text."""
+    pieces = line_pieces(limit)
+    parts = F.flatten(F.transform(pieces(F.split("text", "\n", -1)), lambda p: p))
+    none = F.struct(F.lit(-1).alias("now"), F.array().cast("array<int>").alias("starts"))
 
     def step(s, x):
-        joins = (s["now"] >= 0) & (s["now"] + 1 + x <= limit)
-        now = F.when(joins, s["now"] + 1 + x).otherwise(x)
-        return F.struct(now.alias("now"), (s["n"] + F.when(joins, 0).otherwise(1)).alias("n"), F.greatest(s["longest"], now).alias("longest"), (s["total"] + x).alias("total"))
+        """Where chunks start, by the lengths of the pieces."""
+        joins = (s["now"] >= 0) & (s["now"] + 1 + x["n"] <= limit)
+        return F.struct(F.when(joins, s["now"] + 1 + x["n"]).otherwise(x["n"]).alias("now"), F.when(joins, s["starts"]).otherwise(F.array_append(s["starts"], x["k"])).alias("starts"))
 
-    return docs.select("doc_id", F.aggregate(sizes, zero, step).alias("s")).select("doc_id", F.col("s.n").alias("n_chunks"), F.col("s.longest").alias("longest"), F.col("s.total").alias("total"))
+    made = docs.filter("text is not null").select("doc_id", parts.alias("p"))
+    sizes = F.transform("p", lambda x, k: F.struct(F.length(x).alias("n"), k.alias("k")))
+    cut = made.select("doc_id", "p", F.aggregate(sizes, none, step)["starts"].alias("starts"))
+    ends = F.transform("starts", lambda a, i: F.coalesce(F.get("starts", i + 1), F.size("p")) - a)
+    rows = cut.select("doc_id", "p", F.posexplode(F.arrays_zip(F.col("starts").alias("a"), ends.alias("n"))).alias("chunk", "x"))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.array_join(F.slice("p", F.col("x.a") + 1, F.col("x.n")), "\n").alias("text"))
 
 
 def best_versions(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -141,8 +159,11 @@ def reduce_transcripts(log: DataFrame) -> DataFrame:
     by = W.partitionBy("session_id", "kind", "start_ms")
     delta = log.filter("kind = 'delta'").withColumn("rn", F.row_number().over(by.orderBy(F.desc("seq")))).filter("rn = 1").drop("rn")
     partial = log.filter("kind = 'partial'").withColumn("rn", F.row_number().over(by.orderBy(F.desc("end_ms"), F.desc("seq")))).filter("rn = 1").drop("rn")
-    d = delta.select(F.col("session_id").alias("_s"), F.col("start_ms").alias("_t"))
-    open_ = partial.join(d, (F.col("session_id") == F.col("_s")) & (F.col("_t") >= F.col("start_ms")) & (F.col("_t") <= F.col("end_ms")), "left_anti")
+    # the next confirmed start at or after each partial's start, by a union and one sort a session: no range join
+    starts = delta.select("session_id", "start_ms", F.lit(1).alias("_side"), F.col("start_ms").alias("_c"))
+    order = W.partitionBy("session_id").orderBy(F.desc("start_ms"), F.desc("_side")).rowsBetween(W.unboundedPreceding, 0)
+    both = partial.withColumns({"_side": F.lit(0), "_c": F.lit(None).cast(delta.schema["start_ms"].dataType)}).unionByName(starts, allowMissingColumns=True)
+    open_ = both.withColumn("_n", F.last("_c", ignorenulls=True).over(order)).filter("_side = 0 and (_n is null or _n > end_ms)").drop("_side", "_c", "_n")
     return delta.unionByName(open_)
 
 

@@ -10,12 +10,25 @@ from pyspark.sql import functions as F
 
 from ..functions.text import cosine
 
+#: Vectors of one block of a job's matrix.
+BLOCK = 256
+
 
 def similarity_pairs(embedded: DataFrame) -> DataFrame:
-    """Cosine similarity of every pair of vectors of a job (a job's matrix is the result asked for)."""
-    a = embedded.select("job_id", F.col("ord").alias("i"), F.col("embedding").alias("a"))
-    b = embedded.select("job_id", F.col("ord").alias("j"), F.col("embedding").alias("b"))
-    return a.join(b, "job_id").select("job_id", "i", "j", cosine("a", "b").alias("sim"))
+    """Cosine similarity of every pair of vectors of a job (a job's matrix is the result asked for).
+
+    The matrix is made in blocks: each vector goes to its block's row of blocks (job, block, other block) once, so a job
+    spreads over its blocks, and each vector is normalised once. Only i <= j are computed; the rest is mirrored."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda t, v: t + v.cast("double") * v.cast("double")))
+    unit = embedded.select("job_id", "ord", F.expr(f"ord div {BLOCK}").alias("block"), F.transform("embedding", lambda v: v.cast("double") / (norm + 1e-8)).alias("u"))
+    blocks = unit.groupBy("job_id").agg(F.max("block").alias("last"))
+    dealt = unit.join(blocks, "job_id")
+    rows = dealt.select("job_id", F.col("ord").alias("i"), F.col("u").alias("a"), F.col("block").alias("p"), F.explode(F.sequence("block", "last")).alias("q"))
+    columns = dealt.select("job_id", F.col("ord").alias("j"), F.col("u").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("p"), F.col("block").alias("q"))
+    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
+    half = rows.join(columns, ["job_id", "p", "q"]).filter("i <= j").select("job_id", "i", "j", dot.alias("sim"))
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return half.select("job_id", F.explode(both).alias("at"), "sim").select("job_id", "at.i", "at.j", "sim")
 
 
 def prune(pairs: DataFrame, pval: float = 0.012, least: int = 6) -> DataFrame:
@@ -109,9 +122,22 @@ def _merge_near(vectors: np.ndarray, label: np.ndarray, threshold: float) -> np.
     return np.unique(label, return_inverse=True)[1]
 
 
-def cluster_speakers(embedded: DataFrame, linkage: float = 0.4, merge: float = 0.8, most: int = 15, small: int = 40) -> DataFrame:
-    """Speaker clusters of each job: one vector is cluster 0, under ``small`` vectors average linkage,
-    else spectral; then near clusters merge. A job's vectors (one for each 1.5 s of one recording) are one group."""
+def _without_minor(vectors: np.ndarray, label: np.ndarray, minor: int) -> np.ndarray:
+    """E6 inside one job: clusters of at most ``minor`` vectors go to the nearest centroid of a larger one (cluster 0 if
+    there is none)."""
+    names, counts = np.unique(label, return_counts=True)
+    major = names[counts > minor]
+    if not len(major):
+        return np.zeros_like(label)
+    centre = np.stack([vectors[label == c].mean(axis=0) for c in major])
+    unit = centre / (np.linalg.norm(centre, axis=1, keepdims=True) + 1e-8)
+    return np.where(np.isin(label, major), label, major[np.argmax(vectors @ unit.T, axis=1)])
+
+
+def cluster_speakers(embedded: DataFrame, linkage: float = 0.4, merge: float = 0.8, most: int = 15, small: int = 40, minor: int = 4) -> DataFrame:
+    """Speaker clusters of each job: one vector is cluster 0, under ``small`` vectors average linkage,
+    else spectral; then clusters of at most ``minor`` vectors are dissolved, and near clusters merge. A job's vectors
+    (one for each 1.5 s of one recording) are one group."""
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
@@ -123,6 +149,8 @@ def cluster_speakers(embedded: DataFrame, linkage: float = 0.4, merge: float = 0
             label = _average_linkage(unit @ unit.T, linkage)
         else:
             label = _spectral(vectors, most)
+        if len(vectors) > 1:
+            label = _without_minor(vectors, label, minor)
         return pdf[["job_id", "ord"]].assign(cluster=_merge_near(vectors, label, merge).astype("int64"))
 
     return embedded.select("job_id", "ord", "embedding").groupBy("job_id").applyInPandas(work, "job_id long, ord long, cluster long")

@@ -40,14 +40,6 @@ def _candidates(spark, sf_dir):
     return s.select("job_id", "ord", F.col("end_ms").alias("start_ms"), (F.col("end_ms") + F.expr("(ord * 131) % 700") + 1).alias("end_ms"), F.when(F.col("ord") % 5 == 0, F.concat(F.lit("  "), "text", F.lit(" "))).otherwise(F.concat(F.lit("extra "), F.col("ord").cast("string"))).alias("text"))
 
 
-Q["J9_merge_rescued_sentences"] = (
-    lambda spark, sf_dir: Z.rescued(X.sentences(spark, sf_dir), _candidates(spark, sf_dir)).select("job_id", "ord", "start_ms", "end_ms"),
-    X.with_views(_S) + r""", c AS (SELECT job_id, ord, end_ms AS start_ms, end_ms + (ord * 131) % 700 + 1 AS end_ms, CASE WHEN ord % 5 = 0 THEN '  ' || text || ' ' ELSE 'extra ' || CAST(ord AS VARCHAR) END AS text FROM sentences),
-    n AS (SELECT *, lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS norm FROM c),
-    s AS (SELECT *, lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) AS norm FROM sentences),
-    f AS (SELECT * FROM n WHERE norm <> '' AND NOT EXISTS (SELECT 1 FROM s WHERE s.job_id = n.job_id AND s.start_ms < n.end_ms AND n.start_ms < s.end_ms) AND NOT EXISTS (SELECT 1 FROM s WHERE s.job_id = n.job_id AND s.norm = n.norm))
-    SELECT job_id, ord, start_ms, end_ms FROM (SELECT *, row_number() OVER (PARTITION BY job_id, norm ORDER BY start_ms, end_ms, ord) AS rn FROM f) AS t WHERE rn = 1""",
-)
 Q["I19_trim_boundary_word"] = (
     lambda spark, sf_dir: X.sentences(spark, sf_dir).withColumn("head", F.concat(F.lit("«"), F.regexp_extract("text", r"\S+\s*$", 0), F.lit(" and more"))).select("job_id", "ord", F.when(F.col("ord") % 2 == 0, Z.trim_boundary_word("text", "head")).otherwise(F.col("text")).alias("text")),
     X.with_views(_S) + r" SELECT job_id, ord, CASE WHEN ord % 2 = 0 THEN regexp_replace(regexp_replace(text, '\S+\s*$', ''), '\s+$', '') ELSE text END AS text FROM sentences",
@@ -72,10 +64,6 @@ Q["G9_resolution_stats"] = (
     X.with_views(*_ALL) + """ SELECT job_id, count(*) FILTER (WHERE action = 'keep') AS kept, count(*) FILTER (WHERE action = 'retranscribe') AS targeted, count(*) FILTER (WHERE outcome = 'replaced') AS replaced,
     count(*) FILTER (WHERE outcome = 'fallback') AS fallback, CAST(sum(asr_ms) AS BIGINT) AS asr_ms, round(CAST(sum(asr_ms) AS DOUBLE) / max(duration_ms), 6) AS ratio FROM rs JOIN dur USING (job_id) GROUP BY job_id""",
 )
-Q["I6_split_long_turns"] = (
-    lambda spark, sf_dir: I.limit_duration(I.speaker_turns(X.diar(spark, sf_dir), _durations(spark, sf_dir)).select("job_id", "start_ms", "end_ms"), 1500, 100),
-    None,
-)
 Q["I7_quietest_cut"] = (
     lambda spark, sf_dir: A.quietest_cut(X.frames(spark, sf_dir).select("job_id", F.expr("frame div 20").alias("turn"), (F.col("frame") * 100).alias("cut_ms"), (F.expr("frame div 20") * 2000 + 1500).alias("target_ms"), F.col("prob").alias("rms")), ["job_id", "turn"]),
     X.with_views(_S, X.FRAMES) + " SELECT job_id, frame // 20 AS turn, min_by(frame * 100, row(prob, abs(frame // 20 * 2000 + 1500 - frame * 100), -frame)) AS cut_ms FROM frames GROUP BY job_id, frame // 20",
@@ -90,12 +78,6 @@ Q["S15_resample"] = (
     """WITH k AS (SELECT vec_id AS id, embedding, unnest(range(len(embedding) * 32 // 48)) AS pos FROM embeddings), p AS (SELECT id, pos, embedding, pos * 48 / 32.0e0 AS place, CAST(floor(pos * 48 / 32.0e0) AS INT) AS low FROM k)
     SELECT id, pos, round(CAST(embedding[low + 1] AS DOUBLE) + (CAST(embedding[CAST(least(low + 2, len(embedding)) AS INT)] AS DOUBLE) - CAST(embedding[low + 1] AS DOUBLE)) * (place - low), 6) AS x FROM p""",
 )
-Q["W8_log_mel"] = (
-    lambda spark, sf_dir: A.log_mel(X.embedded(spark, sf_dir).select(F.col("vec_id").alias("id"), F.flatten(F.array_repeat("embedding", 8)).alias("samples"))).select("id", "t", F.size("v").alias("n_mels")),
-    None,
-)
-
-
 def _partials(spark, sf_dir):
     s = X.sentences(spark, sf_dir).withColumn("w", F.split(T.strip("text"), r"\s+"))
     step = s.select((F.col("job_id") * 1000 + F.col("ord")).alias("utterance"), "w", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
@@ -118,10 +100,6 @@ Q["T13_compact_job_log"] = (
     SELECT l.job, id, max_by(value, seq) AS value FROM l LEFT JOIN c ON l.job = c.job WHERE kind = 'upsert' AND (cut IS NULL OR seq > cut) GROUP BY l.job, id""",
 )
 _PRIORITY = "CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 4 WHEN 'purchase' THEN 5 WHEN 'signup' THEN 10 ELSE 15 END"
-Q["T15_priority_schedule"] = (
-    lambda spark, sf_dir: Z.priority_schedule(X.events(spark, sf_dir).selectExpr("user_id AS coordinator", "event_id AS seq", "event_id * 10 AS arrival_ms", f"CAST({_PRIORITY} AS BIGINT) AS priority", "CAST(event_id % 4000 + 200 AS BIGINT) AS run_ms")),
-    None,
-)
 Q["C6_split_long_lines"] = (lambda spark, sf_dir: Z.split_long_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), 300), None)
 Q["C8_bounded_join"] = (
     lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", Z.bounded_join(F.split("text", "\n", -1), 400).alias("joined")),
@@ -129,43 +107,6 @@ Q["C8_bounded_join"] = (
     q AS (SELECT *, array_to_string(c, chr(10) || chr(10)) AS w, greatest(1, greatest(1, 400 - 2 * (len(c) - 1)) // greatest(len(c), 1)) AS share FROM p)
     SELECT doc_id, CASE WHEN length(w) <= 400 THEN w ELSE left(array_to_string(list_transform(c, lambda x: CASE WHEN length(x) <= share THEN x ELSE left(x, share - 1) || '…' END), chr(10) || chr(10)), 400) END AS joined FROM q""",
 )
-Q["F7_document_heading"] = (
-    lambda spark, sf_dir: X.sentences(spark, sf_dir).select("job_id", "ord", F.concat(F.when(F.col("ord") % 2 == 0, F.lit("# ")).otherwise(F.lit("")), F.regexp_extract("text", r"^[^.\n]*", 0), F.lit(" ##\nbody")).alias("md")).select("job_id", "ord", F.upper(F.coalesce(F.nullif(T.strip(F.regexp_replace(F.regexp_extract("md", r"^# ([^\n]*)", 1), r"[ \t]+#+[ \t]*$", "")), F.lit("")), F.lit("document"))).alias("title")),
-    X.with_views(_S) + r""", m AS (SELECT job_id, ord, CASE WHEN ord % 2 = 0 THEN '# ' ELSE '' END || regexp_extract(text, '^[^.\n]*') || ' ##' || chr(10) || 'body' AS md FROM sentences)
-    SELECT job_id, ord, replace(upper(coalesce(nullif(trim(regexp_replace(regexp_extract(md, '^# ([^\n]*)', 1), '[ \t]+#+[ \t]*$', '')), ''), 'document')), 'ẞ', 'SS') AS title FROM m""",
-)
-Q["F10_word_to_char_times"] = (
-    lambda spark, sf_dir: X.sentences(spark, sf_dir).withColumn("w", F.split("text", " ")).select("job_id", "ord", "start_ms", F.explode(F.flatten(F.transform("w", lambda x, i: F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: i)))).alias("word")).groupBy("job_id", "ord", (F.col("start_ms") + F.col("word") * 80).alias("char_start")).agg(F.count("*").alias("n")),
-    X.with_views(_S) + """ SELECT job_id, ord, start_ms + k * 80 AS char_start, length(w) AS n FROM (SELECT job_id, ord, start_ms, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS k FROM sentences) AS t WHERE length(w) > 0""",
-)
-Q["F11_align_punctuated"] = (
-    lambda spark, sf_dir: Z.align_punctuated(X.sentences(spark, sf_dir).select((F.col("job_id") * 1000 + F.col("ord")).alias("id"), F.regexp_replace("text", "[.,]", "").alias("old"), F.col("text").alias("new")).withColumn("ts", F.transform(F.sequence(F.lit(1), F.length("old")), lambda k: (k * 10).cast("long")))).select("id", F.size("ts").cast("long").alias("n"), F.array_max("ts").alias("last")),
-    None,
-)
-Q["K3_update_by_id"] = (
-    lambda spark, sf_dir: X.sentences(spark, sf_dir).join(X.sentences(spark, sf_dir).filter("ord % 2 = 0").select("job_id", "ord", (F.col("speaker") + 5).alias("new")), ["job_id", "ord"], "left").select("job_id", "ord", F.coalesce("new", "speaker").alias("speaker")),
-    X.with_views(_S) + " SELECT job_id, ord, CASE WHEN ord % 2 = 0 THEN speaker + 5 ELSE speaker END AS speaker FROM sentences",
-)
-Q["K6_upsert_live_document"] = (
-    lambda spark, sf_dir: X.events(spark, sf_dir).groupBy("user_id", F.col("event_type").alias("mode")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("document")),
-    "SELECT user_id, event_type AS mode, max_by(event_id, row(ts, event_id)) AS document FROM events GROUP BY user_id, event_type",
-)
-Q["K10_markdown_report"] = (
-    lambda spark, sf_dir: X.sentences(spark, sf_dir).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("ord", "speaker", "text"))).alias("p")).select("job_id", F.concat(F.lit("# Meeting "), F.col("job_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("p", lambda x: F.concat(F.lit("- **S"), x["speaker"].cast("string"), F.lit("** "), F.left(x["text"], F.lit(40)))), "\n")).alias("report")),
-    X.with_views(_S) + " SELECT job_id, '# Meeting ' || CAST(job_id AS VARCHAR) || chr(10) || chr(10) || string_agg('- **S' || CAST(speaker AS VARCHAR) || '** ' || left(text, 40), chr(10) ORDER BY ord) AS report FROM sentences GROUP BY job_id",
-)
-Q["P2_build_sentence_info"] = (
-    lambda spark, sf_dir: X.sentences(spark, sf_dir).join(X.vad(spark, sf_dir).select("job_id", "ord", F.col("start_ms").alias("vs"), F.col("end_ms").alias("ve")), ["job_id", "ord"], "left").select("job_id", "ord", F.coalesce(F.when(F.col("ord") % 2 == 0, F.col("vs")), "start_ms").alias("start_ms"), F.coalesce(F.when(F.col("ord") % 2 == 0, F.col("ve")), "end_ms").alias("end_ms"), "text").filter(T.strip("text") != ""),
-    X.with_views(_S, _V) + " SELECT s.job_id, s.ord, coalesce(CASE WHEN s.ord % 2 = 0 THEN v.start_ms END, s.start_ms) AS start_ms, coalesce(CASE WHEN s.ord % 2 = 0 THEN v.end_ms END, s.end_ms) AS end_ms, text FROM sentences s LEFT JOIN vad v USING (job_id, ord) WHERE trim(text) <> ''",
-)
-Q["P8_fallback_segment"] = (
-    lambda spark, sf_dir: X.sentences(spark, sf_dir).groupBy("job_id").agg(F.count_if(F.col("role") == "system").alias("n"), F.max("end_ms").alias("d")).select("job_id", F.when(F.col("n") == 0, F.lit("fallback")).otherwise("sentences").alias("origin"), F.when(F.col("n") == 0, F.col("d")).otherwise(0).cast("long").alias("end_ms")),
-    X.with_views(_S) + " SELECT job_id, CASE WHEN count(*) FILTER (WHERE role = 'system') = 0 THEN 'fallback' ELSE 'sentences' END AS origin, CASE WHEN count(*) FILTER (WHERE role = 'system') = 0 THEN max(end_ms) ELSE 0 END AS end_ms FROM sentences GROUP BY job_id",
-)
-Q["G8_metrics_by_kind"] = (
-    lambda spark, sf_dir: X.events(spark, sf_dir).groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")),
-    "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY event_type, CAST(ts AS DATE)",
-)
 Q["G11_processing_count"] = (
     lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/orders.parquet").agg(F.count_if(F.col("o_orderstatus") != "F").alias("processing")),
     "SELECT count(*) FILTER (WHERE o_orderstatus <> 'F') AS processing FROM orders",
@@ -174,14 +115,6 @@ Q["L4_timeline_sort"] = (
     lambda spark, sf_dir: X.diar(spark, sf_dir).withColumn("place", F.expr("row_number() over (partition by job_id order by start_ms, end_ms, seg_ord)").cast("long")).select("job_id", "seg_ord", "place"),
     X.with_views(_S, _D) + " SELECT job_id, seg_ord, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms, seg_ord) AS place FROM diar",
 )
-Q["U5_unsupported_options"] = (
-    lambda spark, sf_dir: X.sentences(spark, sf_dir).select("job_id", "ord", F.array_join(F.array_sort(F.array_except(F.split(F.lower(T.strip("text")), r"\s+"), F.array(*map(F.lit, ("the", "of", "and", "is"))))), " ").alias("others")),
-    X.with_views(_S) + r" SELECT job_id, ord, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '\s+'), lambda x: x NOT IN ('the', 'of', 'and', 'is')))), ' ') AS others FROM sentences",
-)
-Q["C14_parse_llm_rows"] = (
-    lambda spark, sf_dir: X.events(spark, sf_dir).select("event_id", F.from_json(F.concat(F.lit('[{"title":"t'), F.col("event_id").cast("string"), F.lit('","start":'), F.expr("cast(event_id % 9 as string)"), F.lit('},{"title":""},{"start":3}]')), "array<struct<title:string,start:double>>").alias("rows")).select("event_id", F.inline("rows")).filter("title is not null and title <> ''"),
-    "SELECT event_id, 't' || CAST(event_id AS VARCHAR) AS title, CAST(event_id % 9 AS DOUBLE) AS start FROM events",
-)
 Q["C11_normalize_title"] = (
     lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(F.slice(F.split(T.strip("text"), r"\s+"), 1, 14), " ").alias("title")),
     r"SELECT doc_id, array_to_string(regexp_split_to_array(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+')[1:14], ' ') AS title FROM documents",

@@ -100,18 +100,6 @@ Q["W9_circle_pad"] = (
     _emb(lambda e: e.select("vec_id", F.posexplode(T.circle_pad("embedding", 150)).alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("x"))),
     "SELECT vec_id, pos, CAST(embedding[CAST(pos % len(embedding) AS INT) + 1] AS DOUBLE) AS x FROM (SELECT vec_id, embedding, unnest(range(150)) AS pos FROM embeddings) AS t",
 )
-Q["S5_scp_list"] = (
-    _sent(lambda s: s.select("job_id", "ord", F.regexp_extract(T.strip("text"), r"^(\S+)\s+(.*)$", 1).alias("key"), F.regexp_extract(T.strip("text"), r"^(\S+)\s+(.*)$", 2).alias("path")).filter("key <> ''")),
-    X.with_views(_S) + r" SELECT * FROM (SELECT job_id, ord, regexp_extract(trim(text), '^(\S+)\s+(.*)$', 1) AS key, regexp_extract(trim(text), '^(\S+)\s+(.*)$', 2) AS path FROM sentences) AS t WHERE key <> ''",
-)
-Q["S7_jsonl_skip_malformed"] = (
-    _ev(lambda e: e.select("event_id", F.expr("try_parse_json(CASE WHEN event_id % 5 = 0 THEN concat('[', props) ELSE props END)").alias("v")).filter("v is not null").select("event_id", F.expr("try_variant_get(v, '$.k', 'bigint')").alias("k"))),
-    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id % 5 <> 0",
-)
-Q["S8_pad_batch"] = (
-    _sent(lambda s: s.select("job_id", "ord", F.length("text").cast("long").alias("length"), F.max(F.length("text")).over(W.partitionBy("job_id")).cast("long").alias("padded")).withColumn("zeros", F.col("padded") - F.col("length"))),
-    X.with_views(_S) + " SELECT job_id, ord, length(text) AS length, max(length(text)) OVER (PARTITION BY job_id) AS padded, max(length(text)) OVER (PARTITION BY job_id) - length(text) AS zeros FROM sentences",
-)
 Q["S11_job_segment_scan"] = (
     _sent(lambda s: s.filter("job_id = 7").select("job_id", "ord", "start_ms", "end_ms")),
     X.with_views(_S) + " SELECT job_id, ord, start_ms, end_ms FROM sentences WHERE job_id = 7",
@@ -142,13 +130,6 @@ Q["P7_non_blank"] = (
     _docs(lambda d: d.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.length(T.strip("line")) > 0).groupBy("doc_id").agg(F.count("*").alias("n_lines"))),
     r"SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) AS t WHERE length(regexp_replace(line, '^\s+|\s+$', '', 'g')) > 0 GROUP BY doc_id",
 )
-Q["P9_derived_status"] = (
-    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").join(
-        spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("s")), F.col("c_custkey") == F.col("o_custkey"), "left"
-    ).select("c_custkey", F.when(F.col("s").isNull(), "failed").when(F.col("s") == "F", "done").otherwise("processing").alias("status")),
-    """SELECT c_custkey, CASE WHEN s IS NULL THEN 'failed' WHEN s = 'F' THEN 'done' ELSE 'processing' END AS status FROM customer LEFT JOIN (
-      SELECT o_custkey, max_by(o_orderstatus, row(o_orderdate, o_orderkey)) AS s FROM orders GROUP BY o_custkey) AS o ON c_custkey = o_custkey""",
-)
 Q["P10_validate_transcript"] = (
     lambda spark, sf_dir: R.violations(
         X.sentences(spark, sf_dir).selectExpr("job_id", "ord", "start_ms - CASE WHEN ord % 5 = 0 THEN 300 ELSE 0 END AS start_ms", "end_ms + CASE WHEN ord % 7 = 6 THEN 90000 ELSE 0 END AS end_ms", "CASE WHEN ord % 4 = 3 THEN ' ' ELSE text END AS text"),
@@ -162,15 +143,7 @@ Q["P12_needs_punctuation"] = (
     _docs(lambda d: d.withColumn("marks", F.length("text") - F.length(F.translate("text", ".!?。！？", ""))).select("doc_id", ((F.length("text") >= 80) & ((F.col("marks") == 0) | (F.length("text") / F.when(F.col("marks") > 0, F.col("marks")) > 240))).alias("needed")).select("doc_id", F.coalesce("needed", F.lit(False)).alias("needed"))),
     "WITH m AS (SELECT doc_id, length(text) AS n, length(text) - length(translate(text, '.!?。！？', '')) AS marks FROM documents) SELECT doc_id, n >= 80 AND (marks = 0 OR CAST(n AS DOUBLE) / marks > 240) AS needed FROM m",
 )
-Q["P13_media_type_rule"] = (
-    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.when(F.lower("url").rlike(r"\.(mp4|webm|mov)$"), "video").when(F.lower("url").rlike(r"\.(wav|mp3|m4a)$"), "audio").otherwise("other").alias("media")),
-    r"SELECT page_id, CASE WHEN regexp_matches(lower(url), '\.(mp4|webm|mov)$') THEN 'video' WHEN regexp_matches(lower(url), '\.(wav|mp3|m4a)$') THEN 'audio' ELSE 'other' END AS media FROM pages",
-)
 # joins
-Q["J10_as_of_playback"] = (
-    lambda spark, sf_dir: R.as_of(X.events(spark, sf_dir).select("user_id", "ts", "event_id"), X.events(spark, sf_dir).filter("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("last_signup")), ["user_id"], "ts", "last_signup").select("event_id", "last_signup"),
-    "SELECT e.event_id, s.event_id AS last_signup FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON e.user_id = s.user_id AND e.ts >= s.ts",
-)
 Q["J11_apply_speaker_updates"] = (
     _sent(lambda s: s.alias("s").join(s.filter("ord % 3 = 1").select("job_id", "ord", F.when(F.col("ord") % 2 == 1, F.col("speaker") + 10).alias("new"), F.lit(True).alias("hit")), ["job_id", "ord"], "left").select("job_id", "ord", F.when(F.col("hit"), F.col("new")).otherwise(F.col("speaker")).alias("speaker"))),
     X.with_views(_S) + " SELECT job_id, ord, CASE WHEN ord % 3 = 1 THEN CASE WHEN ord % 2 = 1 THEN speaker + 10 END ELSE speaker END AS speaker FROM sentences",
@@ -179,10 +152,6 @@ Q["J12_source_job_navigation"] = (
     lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet"), F.col("c_custkey") == F.col("o_custkey")).join(spark.read.parquet(f"{sf_dir}/nation.parquet"), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_name", "n_name"),
     "SELECT o_orderkey, c_name, n_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey",
 )
-Q["J13_meeting_report"] = (
-    lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/customer.parquet").join(spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.col("o_orderkey"))), ",").alias("orders")), "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("orders", F.lit("")).alias("orders")),
-    "SELECT c_custkey, coalesce(n, 0) AS n, coalesce(orders, '') AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey) AS o ON c_custkey = o_custkey",
-)
 Q["J14_changed_rows"] = (
     _sent(lambda s: s.join(s.select("job_id", "ord", F.when(F.col("ord") % 4 == 2, None).otherwise(F.col("speaker") * (F.col("ord") % 2).cast("int")).alias("new")), ["job_id", "ord"]).filter(~F.col("speaker").eqNullSafe(F.col("new"))).select("job_id", "ord", "speaker", "new")),
     X.with_views(_S) + " SELECT * FROM (SELECT job_id, ord, speaker, CASE WHEN ord % 4 = 2 THEN NULL ELSE speaker * CAST(ord % 2 AS INT) END AS new FROM sentences) AS t WHERE speaker IS DISTINCT FROM new",
@@ -192,11 +161,6 @@ Q["K2_generated_ids"] = (
     _sent(lambda s: s.select("job_id", "ord", F.row_number().over(W.partitionBy("job_id").orderBy("start_ms", "end_ms", "ord")).cast("long").alias("segment_id"))),
     X.with_views(_S) + " SELECT job_id, ord, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms, ord) AS segment_id FROM sentences",
 )
-Q["K4_replace_segments"] = (
-    _sent(lambda s: s.filter("ord % 3 <> 1").select("job_id", "ord", "start_ms", "end_ms", F.lit("kept").alias("origin")).unionByName(s.filter("ord % 3 = 1").select("job_id", "ord", F.explode(F.array(F.lit(0), F.lit(1))).alias("h"), "start_ms", "end_ms").select("job_id", "ord", F.when(F.col("h") == 0, F.col("start_ms")).otherwise(F.expr("(start_ms + end_ms) div 2")).alias("start_ms"), F.when(F.col("h") == 0, F.expr("(start_ms + end_ms) div 2")).otherwise(F.col("end_ms")).alias("end_ms"), F.lit("new").alias("origin")))),
-    X.with_views(_S) + """ SELECT job_id, ord, start_ms, end_ms, 'kept' AS origin FROM sentences WHERE ord % 3 <> 1
-    UNION ALL SELECT job_id, ord, start_ms, (start_ms + end_ms) // 2, 'new' FROM sentences WHERE ord % 3 = 1 UNION ALL SELECT job_id, ord, (start_ms + end_ms) // 2, end_ms, 'new' FROM sentences WHERE ord % 3 = 1""",
-)
 Q["K5_idempotent_insert"] = (
     _sent(lambda s: R.best_versions(s.unionByName(s.filter("ord % 2 = 0")).select("job_id", "start_ms", "end_ms", "ord"), ["job_id", "start_ms", "end_ms"], [F.col("ord")]).filter("rn = 1").drop("rn")),
     X.with_views(_S) + " SELECT job_id, start_ms, end_ms, min(ord) AS ord FROM sentences GROUP BY job_id, start_ms, end_ms",
@@ -248,7 +212,6 @@ Q["C3_pack_sentences"] = (
     SELECT f.job_id, f.chunk - 1 AS chunk, a.start_ms, b.end_ms, f.i - greatest(0, f.made - 3) AS n_sentences FROM f
     JOIN p a ON a.job_id = f.job_id AND a.i = greatest(0, f.made - 3) JOIN p b ON b.job_id = f.job_id AND b.i = f.i - 1 WHERE f.i > 0 AND f.made >= 0""",
 )
-Q["C5_chunk_on_lines"] = (_docs(lambda d: R.pack_lines(d, 500)), None)
 Q["C7_representative_sample"] = (
     _docs(lambda d: d.select("doc_id", T.representative_sample("text", 400).alias("sample"))),
     """SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE left(text, 130) || chr(10) || '...' || chr(10) ||
@@ -289,10 +252,6 @@ Q["G6_snr_estimate"] = (
     X.with_views(_E, _RMS) + """, q AS (SELECT job_id, quantile_cont(rms, 0.2) AS noise, quantile_cont(rms, 0.8) AS speech FROM fr GROUP BY job_id)
     SELECT job_id, round(noise, 6) AS noise, round(speech, 6) AS speech, round(CASE WHEN speech <= 0 THEN 0.0e0 WHEN noise <= 1e-8 THEN 100.0e0 ELSE greatest(0.0e0, least(100.0e0, 20 * log10(speech / noise))) END, 4) AS snr_db FROM q""",
 )
-Q["G7_coordinator_metrics"] = (
-    _ev(lambda e: e.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 11 == 0).alias("failed"), F.round(F.avg("value"), 6).alias("avg_wait"), F.round(F.avg(F.when(F.col("event_id") % 11 != 0, F.col("value"))), 6).alias("avg_run"))),
-    "SELECT event_type AS kind, count(*) AS n, count(*) FILTER (WHERE event_id % 11 = 0) AS failed, round(avg(value), 6) AS avg_wait, round(avg(CASE WHEN event_id % 11 <> 0 THEN value END), 6) AS avg_run FROM events GROUP BY event_type",
-)
 Q["G12_cluster_centroids"] = (
     _emb(lambda e: V.centroids(e).select(F.col("label"), F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"), "size")),
     "SELECT label, dim, round(avg(CAST(x AS DOUBLE)), 6) AS mean, count(*) AS size FROM (SELECT label, unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings) AS t GROUP BY label, dim",
@@ -341,10 +300,6 @@ Q["U3_replay_union"] = (
     _sent(lambda s: s.select("job_id", F.lit(1).alias("part"), F.col("ord").alias("seq"), F.lit("segment").alias("kind")).unionByName(s.groupBy("job_id").agg(F.count("*").alias("seq")).select("job_id", F.lit(2).alias("part"), "seq", F.lit("done").alias("kind"))).unionByName(s.select("job_id").distinct().select("job_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit("status").alias("kind")))),
     X.with_views(_S) + " SELECT job_id, 1 AS part, ord AS seq, 'segment' AS kind FROM sentences UNION ALL SELECT job_id, 2, count(*), 'done' FROM sentences GROUP BY job_id UNION ALL SELECT DISTINCT job_id, 0, CAST(0 AS BIGINT), 'status' FROM sentences",
 )
-Q["U2_coverage_set_equality"] = (
-    lambda spark, sf_dir: X.sentences(spark, sf_dir).select("job_id", "ord").exceptAll(X.vad(spark, sf_dir).select("job_id", "ord")),
-    X.with_views(_S, _V) + " SELECT job_id, ord FROM sentences EXCEPT ALL SELECT job_id, ord FROM vad",
-)
 Q["T8_confirmed_end"] = (
     _sent(lambda s: s.select("job_id", "ord", F.max("end_ms").over(W.partitionBy("job_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)).alias("confirmed_end_ms"))),
     X.with_views(_S) + " SELECT job_id, ord, max(end_ms) OVER (PARTITION BY job_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS confirmed_end_ms FROM sentences",
@@ -364,11 +319,6 @@ Q["T14_last_events_per_subscriber"] = (
     _ev(lambda e: R.best_versions(e, ["user_id"], [F.desc("ts"), F.desc("event_id")]).filter("rn <= 20").select("user_id", "event_id", "rn")),
     "SELECT * FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) AS t WHERE rn <= 20",
 )
-Q["T20_latency_metrics"] = (
-    _ev(lambda e: e.withColumn("gap_ms", F.expr("(unix_micros(cast(ts as timestamp)) - unix_micros(cast(lag(ts) over (partition by user_id order by ts, event_id) as timestamp))) div 1000")).groupBy("user_id").agg(F.count("gap_ms").alias("n"), F.round(F.avg("gap_ms"), 3).alias("mean_ms"), F.round(F.percentile("gap_ms", 0.5), 3).alias("p50_ms"), F.round(F.percentile("gap_ms", 0.95), 3).alias("p95_ms"))),
-    """WITH g AS (SELECT user_id, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) // 1000 AS gap FROM events)
-    SELECT user_id, count(gap) AS n, round(avg(gap), 3) AS mean_ms, round(quantile_cont(CAST(gap AS DOUBLE), 0.5), 3) AS p50_ms, round(quantile_cont(CAST(gap AS DOUBLE), 0.95), 3) AS p95_ms FROM g GROUP BY user_id""",
-)
 Q["T21_event_sessions"] = (
     _ev(lambda e: R.sessionize(e, "user_id", "ts", 6 * 3600).groupBy("user_id", "session").agg(F.count("*").alias("n"))),
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS f FROM events),
@@ -393,4 +343,3 @@ Q["E6_reassign_minor_clusters"] = (
     n AS (SELECT r.job_id, r.vec_id, c.label AS new_label, row_number() OVER (PARTITION BY r.job_id, r.vec_id ORDER BY list_dot_product(CAST(embedding AS DOUBLE[]), c) / ((sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) + 1e-8) * (sqrt(list_dot_product(c, c)) + 1e-8)) DESC, c.label) AS rn FROM r JOIN c ON r.job_id = c.job_id WHERE r.size <= 4)
     SELECT r.job_id, r.vec_id, coalesce(n.new_label, r.label) AS label FROM r LEFT JOIN n ON r.job_id = n.job_id AND r.vec_id = n.vec_id AND n.rn = 1""",
 )
-Q["E8_cluster_speakers"] = (_emb(V.cluster_speakers), None)

@@ -9,13 +9,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 
 def read_scp(spark: SparkSession, path: str) -> DataFrame:
     """(key, path) of the lines with two parts."""
-    line = F.regexp_replace("value", r"^\s+|\s+$", "")
-    parts = spark.read.text(path).select(F.regexp_extract(line, r"^(\S+)\s+(.*)$", 1).alias("key"), F.regexp_extract(line, r"^(\S+)\s+(.*)$", 2).alias("path"))
-    return parts.filter("key <> ''")
+    return scp_entries(spark.read.text(path), "value").drop("value")
+
+
+def scp_entries(lines: DataFrame, column: str) -> DataFrame:
+    """``lines`` with key and path, those without two parts left out."""
+    line = F.regexp_replace(column, r"^\s+|\s+$", "")
+    part = lambda k: F.regexp_extract(line, r"^(\S+)\s+(.*)$", k)
+    return lines.withColumns({"key": part(1), "path": part(2)}).filter("key <> ''")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -23,6 +29,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
 
 
+def json_entries(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """``lines`` with the fields of ``schema``, malformed and blank lines left out."""
+    rows = lines.withColumn("_v", F.from_json(column, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    return rows.filter((F.trim(column) != "") & F.col("_v._bad").isNull()).select(*lines.columns, "_v.*").drop("_bad")
+
+
 def _decode(content: bytes, rate: int) -> np.ndarray:
     with wave.open(io.BytesIO(content)) as f:
         if f.getsampwidth() != 2:
@@ -38,28 +50,41 @@ def _decode(content: bytes, rate: int) -> np.ndarray:
 def load_audio(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
     """(path, n_samples, samples, error) of WAV files: channels averaged, linearly resampled. A file that
     cannot be decoded gives no samples and its error."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("id"), "content")
+    return decode_audio(files, rate).withColumnRenamed("id", "path")
+
+
+def decode_audio(files: DataFrame, rate: int = 16_000) -> DataFrame:
+    """Samples of WAV contents at hand: ``files`` (id, content) gives (id, n_samples, samples, error)."""
 
     def work(frames):
         for pdf in frames:
             out = []
-            for name, content in zip(pdf["path"], pdf["content"], strict=True):
+            for name, content in zip(pdf["id"], pdf["content"], strict=True):
                 try:
                     x = _decode(bytes(content), rate)
                     out.append((name, len(x), x.tolist(), None))
                 except Exception as error:  # noqa: BLE001
                     out.append((name, 0, [], str(error)))
-            yield pd.DataFrame(out, columns=["path", "n_samples", "samples", "error"])
+            yield pd.DataFrame(out, columns=["id", "n_samples", "samples", "error"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(work, "path string, n_samples long, samples array<float>, error string")
+    kind = files.schema["id"].dataType.simpleString()
+    return files.select("id", "content").mapInPandas(work, f"id {kind}, n_samples long, samples array<float>, error string")
 
 
 def pcm_to_float(content) -> F.Column:
     """Little-endian 16-bit PCM as floats in [-1, 1); null for an odd number of bytes."""
-    n = F.octet_length(content)
 
-    def sample(k):
-        raw = F.conv(F.hex(F.col(content).substr(2 * k + 1, F.lit(1))), 16, 10).cast("int") + 256 * F.conv(F.hex(F.col(content).substr(2 * k + 2, F.lit(1))), 16, 10).cast("int")
-        return (F.when(raw >= 32768, raw - 65536).otherwise(raw) / 32768.0).cast("float")
+    @F.pandas_udf(ArrayType(FloatType()))
+    def decode(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None or len(b) % 2 else np.frombuffer(b, "<i2").astype(np.float32) / 32768)
+
+    return decode(content)
+
 
-    return F.when(n % 2 == 0, F.when(n == 0, F.array().cast("array<float>")).otherwise(F.transform(F.sequence(F.lit(0), (n / 2 - 1).cast("int")), sample)))
+def pad_batch(rows: DataFrame, key: str, samples: str) -> DataFrame:
+    """``rows`` with padded (samples filled up with zeros to the longest of the batch ``key``) and length."""
+    longest = rows.groupBy(key).agg(F.max(F.size(samples)).alias("_most"))
+    zero = F.lit(0.0).cast(rows.schema[samples].dataType.elementType)
+    padded = F.concat(samples, F.array_repeat(zero, F.col("_most") - F.size(samples)))
+    return rows.join(longest, key).withColumns({"padded": padded, "length": F.size(samples)}).drop("_most")
