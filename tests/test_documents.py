@@ -130,3 +130,14 @@ def test_replacements_are_all_or_nothing(spark):
     assert rows([(2, 0, 0, 0.0, 0.5, 3, "c", False)]) == [*ok, (2, 0, 500, 3, "c", True)]
     for broken in ([], [(2, 0, 0, 0.0, 0.5, 3, " ", True)], [(2, 0, 0, 0.6, 0.9, 3, "z", True)], [(2, 0, 0, 0.0, 0.5, 3, "c", False), (2, 5, 0, 0.0, 0.1, 0, "q", False)], [(2, 0, k, 0.0, 0.5, 3, "c", False) for k in (0, 1)]):
         assert rows(broken) == [*ok, (2, 0, 500, 0, "c", False)]
+
+
+def test_diarize(spark):
+    """Two voices in turn come out as their stretches, met in the middle of the chunks that overlap."""
+    from turnlens.operators.diarize import diarize
+
+    segments = spark.createDataFrame([(1, 0, 0, 12_000), (1, 1, 12_000, 24_000), (2, 0, 0, 1_000)], "job_id long, ord long, start_ms long, end_ms long")
+    embed = lambda c: c.withColumn("embedding", F.when(F.col("start_ms") < 12_000, F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
+    rows = sorted((r["job_id"], r["start_ms"], r["end_ms"], r["speaker"]) for r in diarize(segments, embed).collect())
+    assert [(j, a, b) for j, a, b, _ in rows] == [(1, 0, 12_000), (1, 12_000, 24_000), (2, 0, 1_000)] and rows[0][3] != rows[1][3]
+    assert diarize(segments.filter("false"), embed).count() == 0

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audio as A
+from ..operators import diarize as N
 from ..operators import documents as D
 from ..operators import finalize as Z
 from ..operators import records as R
 from ..operators import transcripts as P
 from ..operators import vectors as V
 from ..sources import media as M
+from ..streaming import sessions as L
 from . import fixtures as X
 from .interval_queries import _DUR, _I15, _J6, _OV, _PLAN, _SPK
 
@@ -381,3 +383,44 @@ def _quiet(spark, sf_dir):
 
 Q["I6_split_long_turns"] = (_quiet, None)
 Q["E8_cluster_speakers"] = (lambda spark, sf_dir: V.cluster_speakers(X.embedded(spark, sf_dir)), None)
+
+
+# live sessions
+_PACKETS = "SELECT user_id % 20 AS session_id, event_id AS seq, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'put' ELSE 'get' END AS kind FROM events"
+Q["T2_bounded_queue"] = (
+    lambda spark, sf_dir: L.accepted_packets(spark.sql(_PACKETS.replace("FROM events", "FROM {events}"), events=X.events(spark, sf_dir)), 20),
+    "WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS rn FROM (" + _PACKETS + """) AS t),
+    f AS (SELECT session_id, seq, rn, CASE WHEN kind = 'put' THEN 1 ELSE 0 END AS depth, kind = 'put' AS taken FROM p WHERE rn = 1
+      UNION ALL SELECT p.session_id, p.seq, p.rn, CASE WHEN p.kind = 'put' THEN least(20, f.depth + 1) ELSE greatest(0, f.depth - 1) END, p.kind = 'put' AND f.depth < 20 FROM f JOIN p ON p.session_id = f.session_id AND p.rn = f.rn + 1)
+    SELECT session_id, seq FROM f WHERE taken""",
+)
+Q["T7_recognition_windows"] = (
+    lambda spark, sf_dir: L.recognition_windows(X.vad(spark, sf_dir).withColumn("reason", F.lit("speech_end"))),
+    X.with_views(_S, _V) + " SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) - 1 AS window, start_ms, end_ms, end_ms - start_ms AS duration_ms, 'speech_end' AS reason FROM vad WHERE end_ms > start_ms",
+)
+Q["T8_confirmed_end"] = (
+    _sent(lambda s: L.confirmations(s.select(F.col("job_id").alias("session_id"), F.col("ord").alias("seq"), "end_ms", (F.col("ord") % 4 != 1).alias("ok")))),
+    X.with_views(_S) + """ SELECT job_id AS session_id, ord AS seq, CAST(count(*) FILTER (WHERE ord % 4 <> 1) OVER w AS BIGINT) AS confirmed, CAST(count(*) FILTER (WHERE ord % 4 = 1) OVER w AS BIGINT) AS failed,
+      max(CASE WHEN ord % 4 <> 1 THEN end_ms END) OVER w AS confirmed_end_ms FROM sentences WINDOW w AS (PARTITION BY job_id ORDER BY ord ROWS UNBOUNDED PRECEDING)""",
+)
+Q["T9_evict_confirmed"] = (
+    lambda spark, sf_dir: L.evicted(X.vad(spark, sf_dir).select(F.col("job_id").alias("session_id"), "start_ms", "end_ms"), X.sentences(spark, sf_dir).filter("job_id % 4 <> 0 and ord < 3").groupBy(F.col("job_id").alias("session_id")).agg(F.max("end_ms").alias("confirmed_end_ms"))),
+    X.with_views(_S, _V) + """, c AS (SELECT job_id, max(end_ms) AS c FROM sentences WHERE job_id % 4 <> 0 AND ord < 3 GROUP BY job_id)
+    SELECT v.job_id AS session_id, greatest(start_ms, coalesce(c, start_ms)) AS start_ms, end_ms FROM vad v LEFT JOIN c ON v.job_id = c.job_id WHERE c IS NULL OR end_ms > c""",
+)
+Q["T11_stale_generations"] = (
+    lambda spark, sf_dir: L.current_work(X.events(spark, sf_dir).selectExpr("user_id % 50 AS key", "event_id AS seq", "event_id div 400 + event_id % 3 AS generation")),
+    """SELECT key, seq, generation FROM (SELECT *, max(generation) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM (SELECT user_id % 50 AS key, event_id AS seq, event_id // 400 + event_id % 3 AS generation FROM events) AS t) AS u WHERE b IS NULL OR generation >= b""",
+)
+_JOBLOG = "SELECT user_id % 60 AS job, event_id AS seq, CASE WHEN event_id % 97 = 0 THEN 'done' ELSE 'upsert' END AS kind, event_id % 9 AS id FROM events"
+Q["T21_snapshot_and_tail"] = (
+    lambda spark, sf_dir: L.replayed(spark.sql(_JOBLOG.replace("FROM events", "FROM {events}"), events=X.events(spark, sf_dir)), spark.range(60).select(F.col("id").alias("job"), F.explode(F.array(F.lit(1), F.lit(2))).alias("subscriber")).selectExpr("job", "subscriber", "cast(subscriber * 300 + job as bigint) AS since")),
+    "WITH l AS (" + _JOBLOG + """), s AS (SELECT unnest(range(60)) AS job), b AS (SELECT job, n AS subscriber, CAST(n * 300 + job AS BIGINT) AS since FROM s CROSS JOIN (SELECT unnest([1, 2]) AS n) AS q),
+    e AS (SELECT job, min(seq) AS last FROM l WHERE kind = 'done' GROUP BY job), j AS (SELECT l.job, subscriber, seq, kind, id, since FROM l JOIN b ON l.job = b.job LEFT JOIN e ON l.job = e.job WHERE last IS NULL OR seq <= last)
+    SELECT job, subscriber, seq, kind, id, CASE WHEN seq <= since THEN 'snapshot' ELSE 'tail' END AS part FROM (SELECT *, max(seq) OVER (PARTITION BY job, subscriber, id, seq <= since) AS n FROM j) AS t WHERE seq > since OR seq = n""",
+)
+Q["E9_diarize"] = (
+    lambda spark, sf_dir: N.diarize(X.vad(spark, sf_dir), lambda c: c.withColumn("embedding", F.array(*[F.sin(F.expr("start_ms div 4000 % 3") * 2.0 + k) + F.sin(F.col("start_ms") * 0.37 + k) * 0.05 for k in range(6)]))),
+    None,
+)
+Q["K11_report_json"] = (lambda spark, sf_dir: _report(spark, sf_dir).select("meeting_id", F.to_json(F.struct("*")).alias("json")), None)

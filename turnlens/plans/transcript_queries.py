@@ -300,14 +300,6 @@ Q["U3_replay_union"] = (
     _sent(lambda s: s.select("job_id", F.lit(1).alias("part"), F.col("ord").alias("seq"), F.lit("segment").alias("kind")).unionByName(s.groupBy("job_id").agg(F.count("*").alias("seq")).select("job_id", F.lit(2).alias("part"), "seq", F.lit("done").alias("kind"))).unionByName(s.select("job_id").distinct().select("job_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit("status").alias("kind")))),
     X.with_views(_S) + " SELECT job_id, 1 AS part, ord AS seq, 'segment' AS kind FROM sentences UNION ALL SELECT job_id, 2, count(*), 'done' FROM sentences GROUP BY job_id UNION ALL SELECT DISTINCT job_id, 0, CAST(0 AS BIGINT), 'status' FROM sentences",
 )
-Q["T8_confirmed_end"] = (
-    _sent(lambda s: s.select("job_id", "ord", F.max("end_ms").over(W.partitionBy("job_id").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)).alias("confirmed_end_ms"))),
-    X.with_views(_S) + " SELECT job_id, ord, max(end_ms) OVER (PARTITION BY job_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS confirmed_end_ms FROM sentences",
-)
-Q["T11_stale_generations"] = (
-    _ev(lambda e: e.withColumns({"gen": F.expr("event_id % 9"), "top": F.max(F.expr("event_id % 9")).over(W.partitionBy("user_id"))}).filter("gen = top").select("event_id", "user_id", "gen")),
-    "SELECT event_id, user_id, gen FROM (SELECT event_id, user_id, event_id % 9 AS gen, max(event_id % 9) OVER (PARTITION BY user_id) AS top FROM events) AS t WHERE gen = top",
-)
 _LOG = """lg AS (SELECT user_id % 40 AS session_id, event_id AS seq, CASE WHEN event_type IN ('click', 'purchase') THEN 'delta' ELSE 'partial' END AS kind, (event_id * 37) % 500 * 10 AS start_ms, (event_id * 37) % 500 * 10 + 50 + event_id % 90 AS end_ms FROM events)"""
 Q["T12_reduce_transcripts"] = (
     _ev(lambda e: R.reduce_transcripts(e.selectExpr("user_id % 40 AS session_id", "event_id AS seq", "CASE WHEN event_type IN ('click', 'purchase') THEN 'delta' ELSE 'partial' END AS kind", "(event_id * 37) % 500 * 10 AS start_ms", "(event_id * 37) % 500 * 10 + 50 + event_id % 90 AS end_ms"))),
