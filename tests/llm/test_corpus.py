@@ -81,6 +81,95 @@ def test_quality(docs, corpus, empty):
     assert quality.quality_rules(empty, VOCABULARY).count() == 0
 
 
+def test_fertility(docs, corpus, spark):
+    """Characters per token, byte-fallback share, entropy and the verdict, from the tokens themselves."""
+    import math
+    from collections import Counter
+
+    enc = quality.encoder(VOCABULARY)
+    made = [("raw bytes " * 2 + "".join(chr(0x1F300 + k % 700) for k in range(300)) + " word" * 60, "en"), ("the " * 400, "en"), ("#$ %& word " * 60, "en"), ("ok", None)]
+    table = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(9000 + k, t, lang) for k, (t, lang) in enumerate(made)], "doc_id long, text string, lang string"))
+    texts = {d: (t, lang) for d, t, lang, *_ in corpus} | {9000 + k: x for k, x in enumerate(made)}
+    reasons = set()
+    for r in quality.quality_rules(table, VOCABULARY).collect():
+        t, lang = texts[r["doc_id"]]
+        ids = enc.encode_ordinary(t or "")
+        whole = [enc.decode_single_token_bytes(i) for i in ids]
+        share = sum(b.decode(errors="replace").encode() != b for b in whole) / max(len(ids), 1)
+        entropy = -sum(n / len(ids) * math.log2(n / len(ids)) for n in Counter(ids).values())
+        assert (r["n_tokens"], r["chars_per_token"]) == (len(ids), pytest.approx(len(t or "") / max(len(ids), 1)))
+        assert r["byte_fallback_share"] == pytest.approx(share) and r["token_entropy"] == pytest.approx(entropy, abs=1e-9)
+        low, high, most, least = quality.BANDS.get(lang, quality.BANDS[r["script"]])
+        bad = not low <= r["chars_per_token"] <= high or share > most or entropy < least * math.log2(min(max(len(ids), 2), 2048))
+        assert r["fertility_failed"] == bad and r["kept"] == (not bad and not r["base_failed"])
+        reasons.add(r["reason"])
+    assert {"few_words", "repeats", "byte_fallback"} <= reasons or {"few_words", "repeats", "chars_per_token_low"} <= reasons
+
+
+def odd_tables(spark):
+    """Rows with nulls in every column, repeated rows, one id with two texts, and no rows at all."""
+    long = "some words that are long enough to be found again in another text of this table, whatever comes before or after. " * 2
+    rows = [(1, long, "en", "a", 1), (1, long, "en", "a", 1), (2, "x " + long, None, None, None), (2, "other " + long + "end", "fr", "b", 2), (None, long, None, None, None), (None, None, None, None, None), (3, None, "en", "a", 0), (4, "", "de", "a", 0)]
+    table = clashing(spark.createDataFrame(rows, SCHEMA))
+    return rows, table, table.filter("false")
+
+
+def test_odd_input(spark):
+    """Every operator gives a result for every row, null ids lose nothing, and columns that are there already stay."""
+    rows, table, none = odd_tables(spark)
+    bench = spark.createDataFrame([(1, rows[0][1]), (None, "q"), (2, None), (1, rows[0][1])], "item_id long, text string")
+    for t, n in ((table, len(rows)), (none, 0)):
+        assert mixing.mix(t, block_rows=2).count() == n and quality.quality_rules(t, VOCABULARY).count() == n
+        assert pii.find_pii(t).count() == n and lines.line_report(t).count() == n and neardup.near_duplicates(t).count() == n
+        assert suffix.substring_dedup(t).count() == n and lines.remove_lines(t).columns == t.columns
+        found = decontam.contaminated(t, bench).collect()
+        assert {r["doc_id"] for r in found} == ({1, 2, None} if n else set())
+        assert (tokens.token_counts(t, VOCABULARY).count() > 0) == (n > 0)
+    near = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(table).collect() if r["doc_id"] is not None)
+    assert near == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 1, False), (3, 3, True), (4, 4, True)]
+    cut = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix.substring_dedup(table).collect()}
+    size = len(rows[0][1])
+    assert cut[1, size] == 0 and cut[None, size] == 0 and cut[2, size + 2] == size and cut[2, size + 9] == size and cut[3, 0] == cut[4, 0] == 0
+    spans = {(r["doc_id"], r["n_removed"]) for r in substring.repeated_passages(table).collect()}
+    assert {d for d, _ in spans} == {2} and len(spans) <= 2
+    kept = {(r["doc_id"], r["text"]) for r in substring.remove_passages(table).collect()}
+    assert (1, rows[0][1]) in kept and (None, rows[0][1]) in kept and (None, None) in kept
+    stay = [(r["doc_id"], r["text"]) for r in lines.remove_lines(table).collect()]
+    assert sorted(t is None for _, t in stay) == sorted(r[1] is None for r in rows) and (None, rows[0][1]) in stay
+    assert len(lines.remove_lines(table, least_words=50).collect()) <= len(rows)
+
+
+def test_odd_pages(spark):
+    rows = [(1, "u", "<a>"), (1, "u", "<a>"), (2, None, "<a>"), (None, "v", "<a>"), (None, None, None), (3, "w", None)]
+    table = clashing(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(table).collect())
+    assert got == [("1", 3, "response", None), ("1", 3, "response", None), ("2", 3, "revisit", 1), ("3", 0, "response", None), ("None", 0, "response", None), ("None", 3, "response", None)]
+
+
+def test_line_recall(spark):
+    """Of pairs of lines at similarity 0.8 or little more, of all lengths, nearly all share a bucket and pass the sketch."""
+    draw = random.Random(6)
+    rows, pairs = [], []
+    while len(pairs) < 400:
+        n = draw.choice([12, 25, 40, 80, 200, 600])
+        line = "".join(draw.choice("abcdefghij klmnop") for _ in range(n))
+        other = list(line)
+        for _ in range(max(1, n // 60)):
+            other[draw.randrange(n)] = draw.choice("xyz")
+        a, b = dense(line), dense("".join(other))
+        if 0.8 <= len(a & b) / len(a | b) < 0.86:
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), line), (len(rows) + 1, "".join(other))]
+    table = spark.createDataFrame(rows, "h long, line string")
+    buckets, about = {}, {r["key"]: r["about"] for r in lines.sketches(table).collect()}
+    for r in lines.band_rows(table).collect():
+        buckets.setdefault(r["key"], set()).add(r["bucket"])
+    apart = lambda a, b: (a["a"] ^ b["a"]).bit_count() + (a["b"] ^ b["b"]).bit_count()
+    met = [bool(buckets[a] & buckets[b]) and apart(about[a], about[b]) <= lines.FAR for a, b in pairs]
+    print("recall of lines at 0.80 to 0.86:", sum(met) / len(met))
+    assert sum(met) >= 0.97 * len(met)
+
+
 def test_quality_bands(spark):
     draw = random.Random(2)
     good = " ".join(draw.choice("the of and people water house little river they were walking under morning light because something".split()) + draw.choice(["", ","]) for _ in range(80))

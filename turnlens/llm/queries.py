@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from . import decontam, lines, mixing, neardup, pii, quality, substring, suffix, tokens, warc
 from ._shared import documents
 
-#: The vocabulary that measures fertility and counts tokens; any file of base64 ranks will do.
+#: The vocabulary that measures fertility and counts tokens, unless the session's spark.turnlens.vocabulary names another
+#: file of base64 ranks.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 
+def vocabulary(spark: SparkSession) -> str:
+    return spark.conf.get("spark.turnlens.vocabulary", VOCABULARY)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pfair mix of the sources by the square root of their sizes, in blocks of 64 documents."""
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source"), alpha=0.5, block_rows=64)
@@ -21,7 +26,7 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    return quality.quality_rules(docs, VOCABULARY).drop("text")
+    return quality.quality_rules(docs, vocabulary(spark)).drop("text")
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +59,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(documents(spark, sf_dir), VOCABULARY)
+    return tokens.token_counts(documents(spark, sf_dir), vocabulary(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
