@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._graph import components
 from ._shared import checkpoint, stored
 
 
@@ -35,35 +34,33 @@ def verified(pairs: DataFrame, contents: DataFrame, threshold: int, shingles) ->
 
 
 def difference_pairs(placed: DataFrame, contents: DataFrame, threshold: int, shingles) -> DataFrame:
-    """(a < b): all pairs of one bucket that can still be linked, given (centre, key, component).
+    """(a < b): all pairs of keys of one centre that can still be linked, given (centre, key, linked: with the centre).
 
     Let D(x) be the shingles in x or the centre c but not in both. Sets x and y with s = |x| + |y| are linked only if
     they share o >= (|D(x)| + |D(y)| - s * (100 - threshold) / (100 + threshold)) / 2 members of D(x) and D(y), and then
     o >= |D(y)| - |y| * (100 - threshold) / threshold. If x is not linked with c, 2 * o > |D(y)| + (|c| - |y|) * (100 -
     threshold) / (100 + threshold) > 0 for every y: without a shared member y would be less similar to x than c is. So, D being in one order for all, the pair shares
     one of the first |D| - o + 1 members on either side (prefix filter). First come those that c lacks, which are rare.
-    Pairs of which both are linked with c are in one component already.
+    Pairs of which both are linked with c are in one component already and left out.
     """
-    pairs = placed.select(F.col("centre").alias("a"), F.col("key").alias("b"), "component").distinct()
+    pairs = placed.select(F.col("centre").alias("a"), F.col("key").alias("b"), "linked")
     both = _with_sets(pairs, contents, shingles).withColumn("extra", F.array_except("sb", "sa"))
-    same = F.size("sb") - F.size("extra")
-    linked = 100 * same >= threshold * (F.size("sa") + F.size("extra"))
     d = F.concat(F.sort_array("extra"), F.sort_array(F.array_except("sa", "sb")))
-    apart = both.select("a", "b", "component", F.size("sa").alias("c_n"), F.size("sb").alias("n"), linked.alias("linked"), d.alias("d"), F.size("d").alias("all"))
+    apart = both.select("a", "b", F.size("sa").alias("c_n"), F.size("sb").alias("n"), "linked", d.alias("d"), F.size("d").alias("all"))
     far = (100 - threshold) / (100 + threshold)
     half = F.floor((F.col("all") + (F.col("c_n") - F.col("n")) * far) / 2 - 1e-6) + 1
     least = F.ceil(F.col("all") - F.col("n") * ((100 - threshold) / threshold) - 1e-6)
     least = F.when(F.col("linked"), F.greatest(half, least)).otherwise(least)  # the other one of a linked member is not linked
     prefix = F.slice("d", 1, F.greatest(F.lit(0), F.col("all") - least + 1).cast("int"))
-    apart = apart.select("a", "b", "component", "n", "linked", "all", F.posexplode(prefix).alias("place", "e"))
+    apart = apart.select("a", "b", "n", "linked", "all", F.posexplode(prefix).alias("place", "e"))
     apart = stored(apart, "differences")
     often = apart.groupBy("a", "e").agg(F.count("*").alias("often"), F.min("linked").alias("linked")).filter("often > 1 and not linked").select("a", "e")
     ranked = stored(apart.join(often, ["a", "e"]), "ranked")
-    x, y = (ranked.select("a", "e", *[F.col(c).alias(f"{side}_{c}") for c in ("b", "component", "n", "linked", "all", "place")]) for side in "xy")
+    x, y = (ranked.select("a", "e", *[F.col(c).alias(f"{side}_{c}") for c in ("b", "n", "linked", "all", "place")]) for side in "xy")
     least = F.ceil((F.col("x_all") + F.col("y_all") - (F.col("x_n") + F.col("y_n")) * far) / 2 - 1e-6)
     fits = (F.col("x_place") <= F.col("x_all") - least) & (F.col("y_place") <= F.col("y_all") - least)
     once = F.col("y_linked") | (F.col("x_b") < F.col("y_b"))
-    found = x.filter("not x_linked").join(y, ["a", "e"]).filter((F.col("x_component") != F.col("y_component")) & once & fits)
+    found = x.filter("not x_linked").join(y, ["a", "e"]).filter((F.col("x_b") != F.col("y_b")) & once & fits)
     return found.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
 
 
@@ -72,9 +69,9 @@ def star_links(members: DataFrame, contents: DataFrame, threshold: int, centres:
 
     Every bucket has up to ``centres`` centres, one for each class of a fixed hash: the member with the most company
     (the least edited text of a family), then the smallest key. Members pair with the centres that they fit:
-    ``fits`` and ``kin`` are conditions on what is known ``about`` two keys. A bucket whose other members then lie in
-    one component is settled; in the others the pairs that may still be linked are found by ``difference_pairs`` from
-    the first centre, among the members that are its ``kin`` (all, if None). So the work grows with the members of a
+    ``fits`` and ``kin`` are conditions on what is known ``about`` two keys. Where members are then not linked with the
+    first centre, the pairs that may still be linked are found by ``difference_pairs`` from it, among the members that
+    are its ``kin`` (all, if None). So the work grows with the members of a
     family and what sets them apart, not with its pairs.
     """
     rank = F.struct("company", (-F.col("key")).alias("minus"), "about")
@@ -91,12 +88,9 @@ def star_links(members: DataFrame, contents: DataFrame, threshold: int, centres:
     first = stars.groupBy("bucket").agg(F.max("c").alias("c"))
     near = F.lit(True) if kin is None else kin(F.col("about"), F.col("c.about"))
     rest = rest.join(first, "bucket").filter((F.col("key") != -F.col("c.minus")) & near).select((-F.col("c.minus")).alias("centre"), "key").distinct()
-    several = rest.groupBy("centre").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high").select("centre")
-    rest = stored(rest.join(several, "centre"), "rest")
-    if rest.isEmpty():
-        return links
-    found = components(links).withColumnRenamed("node", "key")
-    placed = stored(rest.join(found, "key", "left").withColumn("component", F.coalesce("component", "key")), "placed")
-    unsettled = placed.groupBy("centre").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("centre")
-    more = stored(difference_pairs(placed.join(unsettled, "centre"), contents, threshold, shingles).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    known = links.select(F.col("a").alias("centre"), F.col("b").alias("key")).unionByName(links.select(F.col("b").alias("centre"), F.col("a").alias("key")))
+    placed = stored(rest.join(known.withColumn("linked", F.lit(True)), ["centre", "key"], "left").fillna(False, "linked"), "placed")
+    # where all are linked with the centre, or there is one alone, nothing is left to compare
+    open_ = placed.groupBy("centre").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("free")).filter("n > 1 and free > 0").select("centre")
+    more = stored(difference_pairs(placed.join(open_, "centre"), contents, threshold, shingles).join(pairs, ["a", "b"], "left_anti"), "pairs")
     return links.unionByName(stored(verified(more, contents, threshold, shingles), "links"))
