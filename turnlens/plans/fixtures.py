@@ -35,8 +35,9 @@ vad AS (
   SELECT job_id, ord, start_ms + (ord * 71) % 400 AS start_ms, end_ms + (ord * 89) % 700 AS end_ms
   FROM sentences WHERE (job_id + ord) % 3 <> 0)"""
 
+#: Jobs of 120 vectors (three minutes, one for each 1.5 s), so that more data are more jobs, not longer ones.
 EMBEDDED = """
-embedded AS (SELECT vec_id, CAST(vec_id % 10 AS BIGINT) AS job_id, vec_id // 10 AS ord, label, embedding FROM embeddings)"""
+embedded AS (SELECT vec_id, CAST(vec_id // 120 AS BIGINT) AS job_id, CAST(vec_id % 120 AS BIGINT) AS ord, label, embedding FROM embeddings)"""
 
 #: Voice probabilities, one frame of 100 ms after another, eight to a sentence.
 FRAMES = """
@@ -77,7 +78,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "embeddings").selectExpr("vec_id", "CAST(vec_id % 10 AS BIGINT) AS job_id", "vec_id div 10 AS ord", "label", "embedding")
+    return _table(spark, sf_dir, "embeddings").selectExpr("vec_id", "CAST(vec_id div 120 AS BIGINT) AS job_id", "CAST(vec_id % 120 AS BIGINT) AS ord", "label", "embedding")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
