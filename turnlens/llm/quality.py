@@ -175,6 +175,7 @@ def quality_rules(docs: DataFrame, vocabulary: str, text: str = "text", lang: st
             )
 
     rated = clean.mapInArrow(work, out_schema)
+    free = next(name for k in range(len(clean.columns) + 1) if (name := f"band_{k}") not in clean.columns)
     band = F.coalesce(
         *[F.when(F.col(key) == name, F.array(*map(F.lit, map(float, limits)))) for key in ([lang] if lang in clean.columns else []) for name, limits in bands.items()],
         *[F.when(F.col("script") == name, F.array(*map(F.lit, map(float, limits)))) for name, limits in bands.items()],
@@ -183,14 +184,14 @@ def quality_rules(docs: DataFrame, vocabulary: str, text: str = "text", lang: st
     room = F.log2(F.least(F.greatest(F.col("n_tokens"), F.lit(2)), F.lit(2048)).cast("double"))
     base = F.when(F.col("n_words") < 50, "few_words").when(100 * F.col("n_repeat_words") > 50 * F.col("n_words"), "repeats")
     fertility = (
-        F.when(F.col("chars_per_token") < F.col("__band")[0], "chars_per_token_low")
-        .when(F.col("chars_per_token") > F.col("__band")[1], "chars_per_token_high")
-        .when(F.col("byte_fallback_share") > F.col("__band")[2], "byte_fallback")
-        .when(F.col("token_entropy") < F.col("__band")[3] * room, "token_entropy")
+        F.when(F.col("chars_per_token") < F.col(free)[0], "chars_per_token_low")
+        .when(F.col("chars_per_token") > F.col(free)[1], "chars_per_token_high")
+        .when(F.col("byte_fallback_share") > F.col(free)[2], "byte_fallback")
+        .when(F.col("token_entropy") < F.col(free)[3] * room, "token_entropy")
     )
     return (
-        rated.withColumn("__band", band)
+        rated.withColumn(free, band)
         .withColumns({"base_failed": base.isNotNull(), "fertility_failed": fertility.isNotNull(), "reason": F.coalesce(base, fertility)})
         .withColumn("kept", F.col("reason").isNull())
-        .drop("__band")
+        .drop(free)
     )

@@ -27,7 +27,9 @@ GRAM = 16
 #: fits beside a hash in 64 bits.
 STRETCH, BLOCK = 1 << 20, 1 << 14
 #: An anchor with more contexts than this (in slices) has its strings compared by their digests, not in one bucket.
-MOST_CONTEXTS = 4096
+MOST_CONTEXTS = 512
+#: A start and a size (which is at most a stretch) in one number.
+SPAN = 1 << 21
 #: Symbols in one number, symbols compared at least, and symbols beside the number of a group of ties (27 bits).
 _PACK, _DEPTH, _STEP = 7, 56, 4
 
@@ -139,12 +141,12 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
 
 
 def anchored_runs(source: DataFrame, length: int) -> DataFrame:
-    """(h, c, doc_id, t, at, size, more): contexts of anchors, c being a digest of the context.
+    """(h, c, doc_id, t, place): contexts of anchors, c being a digest of the context, place its start and size.
 
-    Where texts of one slice have equal contexts, the least document goes on (with the places of further copies inside
-    a text in ``more``); in the others every byte of the context is repeated, so their merged spans come as rows with a
-    null c and a spread-out h. So a passage that very many documents share is one row a slice."""
-    schema = StructType(StructType.fromDDL("h long, c long").fields + source.schema.fields[:2] + StructType.fromDDL("at long, size int, more array<long>").fields)
+    Where texts of one slice have equal contexts, the least document goes on; in the others every byte of the context is
+    repeated, so their merged spans come as rows with a null c and a spread-out h. So a passage that very many documents
+    share is one row a slice."""
+    schema = StructType(StructType.fromDDL("h long, c long").fields + source.schema.fields[:2] + StructType.fromDDL("place long").fields)
 
     def work(batches):
         for batch in batches:
@@ -153,17 +155,11 @@ def anchored_runs(source: DataFrame, length: int) -> DataFrame:
             for row, at, h, c, _place, size, _buf in _found(batch, length):
                 order = np.lexsort((at, tells[row], ids[row], c, h))
                 row, at, h, c, size = (x[order] for x in (row, at, h, c, size))
-                doc, tell = ids[row], tells[row]
+                doc = ids[row]
                 group = _first_of(h, c)
                 own = doc == doc[np.flatnonzero(group)][np.cumsum(group) - 1]
-                heads = np.flatnonzero(_first_of(h[own], c[own], tell[own]))
-                ends = np.append(heads[1:], own.sum())
-                a, first = at[own], row[own][heads]
-                more = pa.array([None if e - s == 1 else a[s + 1 : e] for s, e in zip(heads.tolist(), ends.tolist(), strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[own][heads]), pa.array(c[own][heads]), keys.take(pa.array(first)), marks.take(pa.array(first)), pa.array(a[heads]), pa.array(size[own][heads].astype(np.int32)), more],
-                    names=schema.names,
-                )
+                kept = row[own]
+                yield pa.RecordBatch.from_arrays([pa.array(h[own]), pa.array(c[own]), keys.take(pa.array(kept)), marks.take(pa.array(kept)), pa.array(at[own] * SPAN + size[own])], names=schema.names)
                 if own.all():
                     continue
                 row, at, size = row[~own], at[~own], size[~own]
@@ -174,11 +170,8 @@ def anchored_runs(source: DataFrame, length: int) -> DataFrame:
                 row = row[np.searchsorted(base + at, s)]
                 shift = (row - row[0]) * (1 << 40)
                 spread = mix64((ids[row].astype(_U) << _U(20)) ^ s.astype(_U)).view(np.int64)
-                nothing = pa.nulls(len(s))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread), nothing.cast(pa.int64()), keys.take(pa.array(row)), marks.take(pa.array(row)), pa.array(s - shift), pa.array((e - s).astype(np.int32)), nothing.cast(pa.list_(pa.int64()))],
-                    names=schema.names,
-                )
+                nothing = pa.nulls(len(s)).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(spread), nothing, keys.take(pa.array(row)), marks.take(pa.array(row)), pa.array((s - shift) * SPAN + e - s)], names=schema.names)
 
     return source.mapInArrow(work, schema)
 
@@ -331,21 +324,20 @@ def repeated_spans(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
     counts = anchor_counts(source, length).groupBy("h").agg(F.min("least").alias("least"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.sum("m").alias("m"))
     shared = stored(counts.filter("n > 1").select("h", "least", F.expr("low < high").alias("mixed"), (F.col("m") > MOST_CONTEXTS).alias("often")), "anchors")
     runs = anchored_runs(source, length).join(shared, "h", "left").filter("c is null or mixed or doc_id > least")
-    runs = stored(runs.drop("least").fillna(False, ["mixed", "often"]), "runs")
-    first = F.min(F.struct("doc_id", "t", "at", "size")).alias("first")
-    wanted = stored(runs.filter("mixed").groupBy("h", "c", "often").agg(first).select("h", "c", "often", "first.*"), "contexts")
-    texts = wanted.join(source, ["doc_id", "t"]).select("h", "c", "often", F.col("doc_id").alias("least"), F.substring("text", (F.col("at") + 1).cast("int"), F.col("size")).alias("ctx"))
-    texts = stored(texts, "texts")
-    total = wanted.filter("not often").agg(F.sum("size")).first()[0] or 0
+    place = {"at": F.expr(f"place div {SPAN}"), "size": F.expr(f"place % {SPAN}")}
+    runs = stored(runs.drop("least").fillna(False, ["mixed", "often"]), "runs").withColumns(place).drop("place")
+    mixed = runs.filter("mixed")
+    total = mixed.filter("not often").agg(F.sum("size")).first()[0] or 0
+    wanted = mixed.groupBy("h", "c", "often").agg(F.min(F.struct("doc_id", "t", "at", "size")).alias("first")).select("h", "c", "often", "first.*")
+    context = F.substring("text", (F.col("at") + 1).cast("int"), F.col("size").cast("int"))
+    texts = stored(wanted.join(source, ["doc_id", "t"]).select("h", "c", "often", F.col("doc_id").alias("least"), context.alias("ctx")), "texts")
     results = bucket_results(texts.filter("not often"), max(8, -(-total // bucket_bytes)), length).unionByName(frequent_results(texts.filter("often"), length))
-    places = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<bigint>")))
     pieces = F.filter(F.arrays_zip("opens", "closes", "least"), lambda x: x["least"] < F.col("doc_id"))
     hits = (
-        runs.filter("mixed").join(results, ["h", "c"]).select("doc_id", "t", F.explode(places).alias("at"), pieces.alias("pieces"))
-        .select("doc_id", "t", "at", F.explode("pieces").alias("p"))
+        mixed.join(results, ["h", "c"]).select("doc_id", "t", "at", F.explode(pieces).alias("p"))
         .select("doc_id", "t", (F.col("at") + F.col("p.opens")).alias("s"), (F.col("at") + F.col("p.closes")).alias("e"))
     )
-    whole = runs.filter("not mixed").select("doc_id", "t", F.explode(places).alias("s"), "size").select("doc_id", "t", "s", (F.col("s") + F.col("size")).alias("e"))
+    whole = runs.filter("not mixed").select("doc_id", "t", F.col("at").alias("s"), (F.col("at") + F.col("size")).alias("e"))
     return whole.unionByName(hits).groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
 
