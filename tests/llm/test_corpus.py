@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import time
+from bisect import bisect_left
 
 import numpy as np
 import pytest
@@ -203,6 +204,25 @@ def test_token_counts(docs, corpus, rule):
         ids = enc.encode_ordinary(t)
         assert sum(r["n_tokens"] for r in got) == pytest.approx(len(ids))
         if rule != "first":
+            section = [max(s for s, r in enumerate(got) if r["start_char"] <= k) for k in range(len(t))]
+            firsts, n = [], 0  # the byte at which each character starts
+            for c in t:
+                firsts.append(n)
+                n += len(c.encode())
+            want, at = [0.0] * len(got), 0
+            for i in ids:
+                size = len(enc.decode_single_token_bytes(i))
+                own = [section[k] for k in range(bisect_left(firsts, at), bisect_left(firsts, at + size))]
+                own = own or [section[max(bisect_left(firsts, at) - 1, 0)]]
+                at += size
+                if rule == "last":
+                    want[own[-1]] += 1
+                elif rule == "most":
+                    want[max(sorted(set(own)), key=own.count)] += 1
+                else:
+                    for x in own:
+                        want[x] += 1 / len(own)
+            assert [r["n_tokens"] for r in got] == pytest.approx(want)
             continue
         want, at = [0] * len(got), 0
         for i in ids:  # the section of the character that the token's first new character is
