@@ -26,8 +26,9 @@ GRAM = 16
 #: Bytes of one stretch of text; grams are hashed in blocks whose arrays stay in a core's cache, and a place in a block
 #: fits beside a hash in 64 bits.
 STRETCH, BLOCK = 1 << 20, 1 << 14
-#: An anchor with more contexts than this (in slices) has its strings compared by their digests, not in one bucket.
-MOST_CONTEXTS = 512
+#: An anchor with more contexts than this (in slices; 1.4 MB of text at most) has its strings compared by their digests,
+#: not in one bucket.
+MOST_CONTEXTS = 16_384
 #: A start and a size (which is at most a stretch) in one number.
 SPAN = 1 << 21
 #: Symbols in one number, symbols compared at least, and symbols beside the number of a group of ties (27 bits).
@@ -332,6 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 2
     context = F.substring("text", (F.col("at") + 1).cast("int"), F.col("size").cast("int"))
     texts = stored(wanted.join(source, ["doc_id", "t"]).select("h", "c", "often", F.col("doc_id").alias("least"), context.alias("ctx")), "texts")
     results = bucket_results(texts.filter("not often"), max(8, -(-total // bucket_bytes)), length).unionByName(frequent_results(texts.filter("often"), length))
+    results = stored(results, "results")
     pieces = F.filter(F.arrays_zip("opens", "closes", "least"), lambda x: x["least"] < F.col("doc_id"))
     hits = (
         mixed.join(results, ["h", "c"]).select("doc_id", "t", "at", F.explode(pieces).alias("p"))
