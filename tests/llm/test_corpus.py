@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from turnlens.llm import decontam, lines, mixing, neardup, pii, quality, substring, suffix, tokens, warc
+from turnlens.llm import _stars, decontam, lines, mixing, neardup, pii, quality, substring, suffix, tokens, warc
 from turnlens.llm._graph import components
 from turnlens.llm.queries import VOCABULARY
 
@@ -262,10 +262,78 @@ def test_couples_in_a_large_family(spark):
     want = {d: c for d, (_, c) in brute.near_components(rows, 3, 85).items()}
     # alike enough to share buckets, but each linked to the other of its couple only
     assert len(set(want.values())) > 100
-    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, centres=1).collect()
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+def versions(n, lines_only=False):
+    """2 * n near copies of a text A and n of a version B of it, the versions about 0.7 alike."""
+    draw, unit = random.Random(12), "abcdefghijklmnopqrstuvwxyz"
+    base = [draw.choice(unit) for _ in range(300)] if lines_only else [f"w{k}" for k in range(200)]
+    other = list(base)
+    for place in range(10, len(base), len(base) // (9 if lines_only else 12)):
+        other[place] = "#" if lines_only else f"v{place}"
+    rows = []
+    for k in range(3 * n):
+        text = list(base if k % 3 else other)
+        for place in draw.sample(range(len(text)), 2):
+            text[place] = draw.choice(unit.upper()) if lines_only else f"x{k}_{place}"
+        rows.append((k, ("" if lines_only else " ").join(text)))
+    return rows
+
+
+@pytest.fixture
+def pairs(monkeypatch):
+    """The pairs that are compared, counted."""
+    counts, plain = [], _stars.compared
+
+    def counted(pools, *args):
+        counts.append(pools.count())
+        return plain(pools, *args)
+
+    monkeypatch.setattr(_stars, "compared", counted)
+    return counts
+
+
+@pytest.mark.parametrize("fuzzy_lines", [False, True])
+def test_pairs_grow_with_the_members_of_a_version(spark, pairs, fuzzy_lines):
+    made = {}
+    for n in (50, 100, 200):
+        pairs.clear()
+        rows = versions(n, fuzzy_lines)
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        if fuzzy_lines:
+            left = set(range(3 * n)) - {r["doc_id"] for r in lines.repeated_lines(table).collect()}
+        else:
+            left = {r["doc_id"] for r in neardup.near_duplicates(table, 3, 85).filter("kept").collect()}
+        made[n] = sum(pairs)
+        if n <= 50:
+            want = {d for d, t in rows} - {d for d, _ in line_brute(rows)} if fuzzy_lines else {d for d, (_, c) in brute.near_components(rows, 3, 85).items() if c == d}
+            assert left == want
+        assert len(left) < 0.1 * n + 2
+    print("pairs compared:", made)
+    assert made[200] <= 2.5 * made[100] and made[100] <= 2.5 * made[50] and made[200] < 20 * 600
+
+
+def test_recall_of_lines_end_to_end(spark):
+    """Families of lines, with shared beginnings, versions, chains and couples: components against brute force."""
+    draw, rows = random.Random(31), []
+    letters = "abcdefghijklmnopqrstuvwxyz     "
+    head = "".join(draw.choice(letters) for _ in range(40))
+    for family in range(60):
+        base = head * (family % 3 == 0) + "".join(draw.choice(letters) for _ in range(draw.choice([20, 40, 60, 120])))
+        for _ in range(draw.choice([2, 4, 12])):
+            line = list(base)
+            for _ in range(draw.choice([0, 1, 1, 2, 3])):
+                line[draw.randrange(len(line))] = draw.choice("XYZ")
+            rows.append((len(rows), "".join(line)))
+    want = {d for d, _ in line_brute(rows)}
+    got = {r["doc_id"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = len(got & want) / len(want)
+    print("recall of lines, end to end:", recall)
+    assert recall >= 0.99 and got <= want
+
+
 def test_optimal_densification():
     for n in (1, 2, 5, 100, 5000):
         sig = neardup.signature(np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)))

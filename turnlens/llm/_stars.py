@@ -1,7 +1,9 @@
-"""Similarity joins inside buckets: star-shaped candidate pairs, then an exact filter on differences from a centre."""
+"""Similarity joins inside buckets: rounds of star-shaped candidate pairs, split by what sets members apart from a centre."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,79 +20,91 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return checkpoint(rows.drop("members").join(rows.groupBy("key").agg(F.sum("members").alias("company")), "key"))
 
 
-def _with_sets(pairs: DataFrame, contents: DataFrame, shingles) -> DataFrame:
-    """The pairs (a, b, ...) with the shingle sets sa and sb."""
-    left = contents.select(F.col("key").alias("a"), F.col("content").alias("ca"))
-    right = contents.select(F.col("key").alias("b"), F.col("content").alias("cb"))
-    return pairs.join(left, "a").join(right, "b").select(*pairs.columns, shingles("ca").alias("sa"), shingles("cb").alias("sb"))
+def _pools(rows: DataFrame, fits, known: list[DataFrame]) -> DataFrame:
+    """(centre, key, rank, alone): who is compared with whom, from the members (key, rank) of groups and the best rank
+    ``top`` of the group. Groups of one centre are one pool. A pool of one pair needs no more than that pair, so it goes
+    if the two do not fit, or if the pair is ``known``."""
+    pairs = rows.select((-F.col("top.minus")).alias("centre"), "key", "rank", "top").filter("key != centre").distinct()
+    pairs = stored(pairs, "pairs")
+    sizes = pairs.groupBy("centre").agg((F.count("*") == 1).alias("alone"))
+    pools = pairs.join(sizes, "centre").filter(~F.col("alone") | fits(F.col("rank.about"), F.col("top.about"))).drop("top")
+    if known:
+        seen = reduce(DataFrame.unionByName, known).withColumn("alone", F.lit(True))
+        pools = pools.join(seen, ["centre", "key", "alone"], "left_anti")
+    return pools
 
 
-def verified(pairs: DataFrame, contents: DataFrame, threshold: int, shingles) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets have 100 * intersection >= threshold * union. ``shingles`` makes the
-    set (distinct) of a content."""
-    both = _with_sets(pairs, contents, shingles)
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return shared.filter(100 * F.col("n") >= threshold * (F.col("sum") - F.col("n"))).select("a", "b")
+def compared(pools: DataFrame, contents: DataFrame, threshold: int, shingles) -> DataFrame:
+    """(centre, key, rank, linked, d, gap) for the pairs of ``pools``, over whole shingle sets.
 
+    Linked is 100 * intersection >= threshold * union. ``d`` is D(x), the shingles in x or the centre but not in both,
+    null where the pool has no other member; ``gap`` is |D(x)| - |x| * (100 - threshold) / (100 + threshold).
+    """
+    left = contents.select(F.col("key").alias("centre"), F.col("content").alias("c_content"))
+    both = pools.join(left, "centre").join(contents, "key")
+    both = both.select("centre", "key", "rank", "alone", shingles("c_content").alias("c"), shingles("content").alias("x"))
+    both = both.withColumn("extra", F.array_except("x", "c"))
+    both = both.withColumns({"n": F.size("x"), "missing": F.size("c") - F.size("x") + F.size("extra")})
+    union = F.col("n") + F.col("missing")
+    linked = 100 * (F.col("n") - F.size("extra")) >= threshold * union
+    d = F.when(~F.col("alone"), F.concat("extra", F.array_except("c", "x")))
+    gap = F.size("extra") + F.col("missing") - F.col("n") * ((100 - threshold) / (100 + threshold))
+    return both.select("centre", "key", "rank", linked.alias("linked"), d.alias("d"), gap.alias("gap"))
 
-def difference_pairs(placed: DataFrame, contents: DataFrame, threshold: int, shingles) -> DataFrame:
-    """(a < b): all pairs of keys of one centre that can still be linked, given (centre, key, linked: with the centre).
 
-    Let D(x) be the shingles in x or the centre c but not in both. Sets x and y with s = |x| + |y| are linked only if
-    they share o >= (|D(x)| + |D(y)| - s * (100 - threshold) / (100 + threshold)) / 2 members of D(x) and D(y), and then
-    o >= |D(y)| - |y| * (100 - threshold) / threshold. If x is not linked with c, 2 * o > |D(y)| + (|c| - |y|) * (100 -
-    threshold) / (100 + threshold) > 0 for every y: without a shared member y would be less similar to x than c is. So, D being in one order for all, the pair shares
-    one of the first |D| - o + 1 members on either side (prefix filter). First come those that c lacks, which are rare.
-    Pairs of which both are linked with c are in one component already and left out.
+def _groups(now: DataFrame) -> DataFrame:
+    """(key, rank, top): members of the groups that are to be compared on, with the best rank of the group.
+
+    Sets x and y are linked only if they share half of gap(x) + gap(y) members of D(x) and D(y), and at least one unless
+    both are linked with the centre. So, with each D in one order, the pair shares one of the first |D| - that + 1 members
+    on either side: the prefix. D is ordered by how many members of the pool have a shingle in it: what all but the centre
+    have comes last, and what two members have alone comes first. Members are dealt to classes by gap, linked ones to a
+    class of their own, and each has a prefix for every class, by the least gap in it. A group is what two classes (or one)
+    have with one shingle in such prefixes.
     """
-    pairs = placed.select(F.col("centre").alias("a"), F.col("key").alias("b"), "linked")
-    both = _with_sets(pairs, contents, shingles).withColumn("extra", F.array_except("sb", "sa"))
-    d = F.concat(F.sort_array("extra"), F.sort_array(F.array_except("sa", "sb")))
-    apart = both.select("a", "b", F.size("sa").alias("c_n"), F.size("sb").alias("n"), "linked", d.alias("d"), F.size("d").alias("all"))
-    far = (100 - threshold) / (100 + threshold)
-    half = F.floor((F.col("all") + (F.col("c_n") - F.col("n")) * far) / 2 - 1e-6) + 1
-    least = F.ceil(F.col("all") - F.col("n") * ((100 - threshold) / threshold) - 1e-6)
-    least = F.when(F.col("linked"), F.greatest(half, least)).otherwise(least)  # the other one of a linked member is not linked
-    prefix = F.slice("d", 1, F.greatest(F.lit(0), F.col("all") - least + 1).cast("int"))
-    apart = apart.select("a", "b", "n", "linked", "all", F.posexplode(prefix).alias("place", "e"))
-    apart = stored(apart, "differences")
-    often = apart.groupBy("a", "e").agg(F.count("*").alias("often"), F.min("linked").alias("linked")).filter("often > 1 and not linked").select("a", "e")
-    ranked = stored(apart.join(often, ["a", "e"]), "ranked")
-    x, y = (ranked.select("a", "e", *[F.col(c).alias(f"{side}_{c}") for c in ("b", "n", "linked", "all", "place")]) for side in "xy")
-    least = F.ceil((F.col("x_all") + F.col("y_all") - (F.col("x_n") + F.col("y_n")) * far) / 2 - 1e-6)
-    fits = (F.col("x_place") <= F.col("x_all") - least) & (F.col("y_place") <= F.col("y_all") - least)
-    once = F.col("y_linked") | (F.col("x_b") < F.col("y_b"))
-    found = x.filter("not x_linked").join(y, ["a", "e"]).filter((F.col("x_b") != F.col("y_b")) & once & fits)
-    return found.select(F.least("x_b", "y_b").alias("a"), F.greatest("x_b", "y_b").alias("b")).distinct()
-
-
-def star_links(members: DataFrame, contents: DataFrame, threshold: int, centres: int, fits, kin=None, shingles=F.col) -> DataFrame:
+    # where all are linked with the centre, or there is one alone, nothing is left to compare
+    now = now.withColumn("class", F.when(F.col("linked"), 0).otherwise(1 + F.floor(F.log2(F.greatest(F.lit(1.0), F.col("gap"))))).cast("int"))
+    classes = now.groupBy("centre", "class").agg(F.min("gap").alias("least"), F.count("*").alias("n"))
+    classes = classes.groupBy("centre").agg(F.collect_list(F.struct("class", "least")).alias("classes"), F.sum("n").alias("n"), F.max("class").alias("high")).filter("n > 1 and high > 0")
+    other = F.filter("classes", lambda c: ~F.col("linked") | (c["class"] > 0))
+    # places are counted from the end of D, since what nobody shares comes first: the last `rest` are left out
+    rest = F.transform(other, lambda c: F.named_struct(F.lit("class"), c["class"], F.lit("rest"), F.greatest(F.lit(1), F.ceil((F.col("gap") + c["least"]) / 2 - 1e-6)) - 1))
+    apart = now.join(classes.select("centre", "classes"), "centre").select("centre", "key", "rank", "class", rest.alias("others"), F.explode("d").alias("e"))
+    apart = stored(apart, "apart")
+    often = apart.groupBy("centre", "e").agg(F.count("*").alias("often"), F.max("class").alias("high")).filter("often > 1")
+    last = W.partitionBy("centre", "key", "rank").orderBy(F.desc("often"), F.desc("e"))
+    rows = apart.join(often, ["centre", "e"]).withColumn("place", F.row_number().over(last)).filter("high > 0")
+    met = F.filter("others", lambda c: F.col("place") > c["rest"])
+    rows = rows.select("centre", "e", "key", "rank", "class", F.explode(met).alias("o"))
+    rows = rows.select("centre", "e", "key", "rank", "class", F.least("class", "o.class").alias("one"), F.greatest("class", "o.class").alias("two"))
+    rows = stored(rows, "shared")
+    by = ["centre", "e", "one", "two"]
+    groups = rows.groupBy(*by).agg(F.max("rank").alias("top"), F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    groups = groups.filter("n > 1 and low = one and high = two").select(*by, "top")
+    return rows.join(groups, by).select("key", "rank", "top")
+
+
+def star_links(members: DataFrame, contents: DataFrame, threshold: int, fits, shingles=F.col) -> DataFrame:
     """Links (a < b) with the components that comparing all pairs of each bucket would give, without making them.
 
-    Every bucket has up to ``centres`` centres, one for each class of a fixed hash: the member with the most company
-    (the least edited text of a family), then the smallest key. Members pair with the centres that they fit:
-    ``fits`` and ``kin`` are conditions on what is known ``about`` two keys. Where members are then not linked with the
-    first centre, the pairs that may still be linked are found by ``difference_pairs`` from it, among the members that
-    are its ``kin`` (all, if None). So the work grows with the members of a
-    family and what sets them apart, not with its pairs.
+    The centre of a bucket is the member of the best rank: the most company (the least edited text of a family), then the
+    smallest key. All others are compared with it. Two members that are not linked with the centre, or one of which is
+    not, can be linked with each other only if they share enough of the shingles that set them apart from it
+    (``_groups``). Such a shared shingle makes a group, groups are buckets of the next round, and so on until no group has a member that
+    its centre is not linked with. Every pair of a bucket is thus compared, or linked through a centre, or shown to be
+    unlike. Centres descend in rank from round to round, so the rounds end. A version of a family, whose members share
+    what sets them apart, is one star of the next round, so pairs grow with the members of a family, not with their square.
+
+    ``fits`` is a condition on what is known ``about`` two keys, without which they are not linked. ``shingles`` makes the
+    set (distinct) of a content. A key that has two contents is linked if either is.
     """
-    rank = F.struct("company", (-F.col("key")).alias("minus"), "about")
-    classes = members.groupBy("bucket", F.pmod(F.xxhash64("key"), F.lit(centres)).alias("class"))
-    stars = checkpoint(classes.agg(F.max(rank).alias("c")).drop("class"))
-    pairs = (
-        members.join(stars, "bucket").filter((F.col("key") != -F.col("c.minus")) & fits(F.col("about"), F.col("c.about")))
-        .select(F.least("key", -F.col("c.minus")).alias("a"), F.greatest("key", -F.col("c.minus")).alias("b")).distinct()
-    )
-    pairs = stored(pairs, "pairs")
-    links = stored(verified(pairs, contents, threshold, shingles), "links")
-    # a key that has two contents is done with the one that it was compared by
-    rest = members.join(stars.select("bucket", (-F.col("c.minus")).alias("key"), "c.about"), ["bucket", "key", "about"], "left_anti")
-    first = stars.groupBy("bucket").agg(F.max("c").alias("c"))
-    near = F.lit(True) if kin is None else kin(F.col("about"), F.col("c.about"))
-    rest = rest.join(first, "bucket").filter((F.col("key") != -F.col("c.minus")) & near).select((-F.col("c.minus")).alias("centre"), "key").distinct()
-    known = links.select(F.col("a").alias("centre"), F.col("b").alias("key")).unionByName(links.select(F.col("b").alias("centre"), F.col("a").alias("key")))
-    placed = stored(rest.join(known.withColumn("linked", F.lit(True)), ["centre", "key"], "left").fillna(False, "linked"), "placed")
-    # where all are linked with the centre, or there is one alone, nothing is left to compare
-    open_ = placed.groupBy("centre").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("free")).filter("n > 1 and free > 0").select("centre")
-    more = stored(difference_pairs(placed.join(open_, "centre"), contents, threshold, shingles).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(stored(verified(more, contents, threshold, shingles), "links"))
+    rows = members.select("bucket", "key", F.struct("company", (-F.col("key")).alias("minus"), "about").alias("rank"))
+    pools = _pools(rows.join(rows.groupBy("bucket").agg(F.max("rank").alias("top")), "bucket"), fits, [])
+    links, known = [], []
+    while True:
+        now = stored(compared(pools, contents, threshold, shingles), "compared")
+        links.append(now.filter("linked").select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b")))
+        known.append(now.select("centre", "key"))
+        pools = stored(_pools(_groups(now), fits, known), "pools")
+        if pools.isEmpty():
+            return reduce(DataFrame.unionByName, links)
