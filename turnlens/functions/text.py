@@ -215,7 +215,22 @@ def circle_pad(array, n: int) -> Column:
     return F.slice(whole, 1, n)
 
 
+def fixed(name: str, digits: int) -> Column:
+    """Seconds with ``digits`` (1 or 2) decimals of whole milliseconds: ms / 1000 as a double, rounded by its exact value.
+
+    Only ties in decimal need the exact value: the double is split in halves of 26 bits, so that 1000 times each half is
+    exact, and so is the difference from ms. It tells on which side of the tie the double lies; on it, even digits win."""
+    ms, unit = F.abs(F.col(name)), 10 ** (3 - digits)
+    whole, rest = F.floor(ms / unit), ms % unit
+    v = ms / F.lit(1000.0)
+    high = v * 134217729.0 - (v * 134217729.0 - v)
+    side = (high * 1000.0 - ms) + (v - high) * 1000.0
+    up = (rest * 2 > unit) | ((rest * 2 == unit) & ((side > 0) | ((side == 0) & (whole % 2 == 1))))
+    n = (whole + F.when(up, 1).otherwise(0)).cast("long")
+    sign = F.when(F.col(name) < 0, "-").otherwise("")
+    return F.concat(sign, F.floor(n / 10**digits).cast("string"), F.lit("."), F.lpad((n % 10**digits).cast("string"), digits, "0"))
+
+
 def stamped_line(start_ms, speaker, text) -> Column:
     """[seconds with two decimals] speaker: text."""
-    cents = F.floor((F.col(start_ms) + 5) / 10).cast("long")
-    return F.format_string("[%d.%02d] %s: %s", F.floor(cents / 100).cast("long"), cents % 100, F.col(speaker), F.col(text))
+    return F.concat(F.lit("["), fixed(start_ms, 2), F.lit("] "), F.col(speaker), F.lit(": "), F.col(text))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .finalize import bounded_join
+from .scans import cut_lineage, numbered
 from .transcripts import ordered_join, pack_lines
 
 #: Fixed values of outlines: sections and label characters at most, topics at most, words of a title at most.
@@ -25,7 +26,7 @@ def transcript_text(sentences: DataFrame, style: str) -> DataFrame:
         named = sentences.withColumn("name", F.coalesce(F.col("speaker").cast("string"), F.lit("UNKNOWN")))
         line = F.when(T.strip("text") != "", T.stamped_line("start_ms", "name", "text"))
     elif style == "seconds":
-        named, line = sentences, F.concat(F.format_string("[%.1fs] ", F.col("start_ms") / 1000.0), who, "text")
+        named, line = sentences, F.concat(F.lit("["), T.fixed("start_ms", 1), F.lit("s] "), who, "text")
     else:
         named, line = sentences, F.concat(T.time_range("start_ms", "end_ms"), F.lit(" "), who, "text")
     return ordered_join(named, line, "\n", "text")
@@ -33,19 +34,20 @@ def transcript_text(sentences: DataFrame, style: str) -> DataFrame:
 
 def chunks_markdown(chunks: DataFrame) -> DataFrame:
     """C4: (job_id, markdown) of chunks (job_id, chunk, start_ms, end_ms, markdown), in order."""
-    stamp = lambda c: F.format_string("%.2f", F.col(c) / 1000.0)
-    head = F.concat(F.lit("## CHUNK "), F.col("chunk").cast("string"), F.lit(" ["), stamp("start_ms"), F.lit(" → "), stamp("end_ms"), F.lit("]\n"))
+    head = F.concat(F.lit("## CHUNK "), F.col("chunk").cast("string"), F.lit(" ["), T.fixed("start_ms", 2), F.lit(" → "), T.fixed("end_ms", 2), F.lit("]\n"))
     return ordered_join(chunks, F.concat(head, "markdown", F.lit("\n---")), "\n", "markdown", by="chunk")
 
 
 def chunk_lines(packed: DataFrame, sentences: DataFrame) -> DataFrame:
     """C4: the chunks of ``pack_sentences`` with their ``markdown``: the lines of the sentences from each chunk's first,
-    in order. ``sentences``: job_id, ord, start_ms, line (null where blank)."""
-    first = sentences.select("job_id", F.col("start_ms"), F.col("ord").alias("first"))
-    places = packed.join(first, ["job_id", "start_ms"]).select("job_id", "chunk", "start_ms", "end_ms", F.explode(F.expr("sequence(first, first + n_sentences - 1)")).alias("ord"))
-    lines = places.join(sentences.select("job_id", "ord", "line"), ["job_id", "ord"])
-    parts = F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("ord", "line"))))
-    return lines.groupBy("job_id", "chunk", "start_ms", "end_ms").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("markdown"))
+    in order. ``sentences``: job_id, ord, line (null where blank). Sentences may start at one time, and ``ord`` may have
+    holes: they are counted by their places."""
+    rows = cut_lineage(numbered(sentences.select("job_id", "ord", "line"), ["job_id"], "ord"))
+    first = packed.join(rows.select("job_id", F.col("ord").alias("first"), F.col("place").alias("low")), ["job_id", "first"])
+    places = first.select("job_id", "chunk", "start_ms", "end_ms", F.explode(F.expr("sequence(low, low + n_sentences - 1)")).alias("place"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("place", "line"))))
+    lines = places.join(rows, ["job_id", "place"]).groupBy("job_id", "chunk", "start_ms", "end_ms")
+    return lines.agg(F.array_join(F.transform(parts, lambda p: p["line"]), "\n").alias("markdown"))
 
 
 def json_object(c) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lines import line_pieces
+from .scans import chain, counted_upto, cut_lineage, numbered, running
 
 #: Positions of one block of a fold.
 BLOCK = 256
@@ -75,35 +76,27 @@ def ordered_join(rows: DataFrame, value: Column, separator: str, name: str, by:
 
 def pack_sentences(sentences: DataFrame, limit: int = 1500, overlap: int = 3) -> DataFrame:
     """Chunks of consecutive sentences under ``limit`` tokens of markdown, each led by the ``overlap`` sentences
-    before it. A sentence that does not fit even alone with its overlap starts no chunk and is skipped as a start.
-
-    Greedy and in order, so one job is one group (its sentences only: ids, times and lengths travel, not texts)."""
-    line = F.when(T.strip("text") == "", F.lit(-1)).otherwise(F.length("line")).cast("long")
-    small = sentences.select("job_id", "ord", "start_ms", "end_ms", line.alias("size"))
-
-    def work(key, table):
-        import pyarrow as pa
-
-        table = table.sort_by("ord")
-        start, end, size = (table.column(c).to_pylist() for c in ("start_ms", "end_ms", "size"))
-        out, i, n = [], 0, len(size)
-        while i < n:
-            low, first = max(0, i - overlap), i
-            lengths = [x for x in size[low:i] if x >= 0]
-            total, count = sum(lengths), len(lengths)
-            while i < n:
-                more = (total + max(size[i], 0), count + (size[i] >= 0))
-                if max(1, (more[0] + max(0, more[1] - 1) + 3) // 4) > limit:
-                    break
-                (total, count), i = more, i + 1
-            if i == first:
-                i += 1
-                continue
-            out.append((key[0].as_py(), len(out), start[low], end[i - 1], i - low))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["job_id", "chunk", "start_ms", "end_ms", "n_sentences"])
-
-    return small.groupBy("job_id").applyInArrow(work, "job_id long, chunk long, start_ms long, end_ms long, n_sentences long")
+    before it: job_id, chunk, first (the ord of the first one), start_ms, end_ms, n_sentences. A sentence that does not fit
+    even alone with its overlap starts no chunk and is skipped as a start.
+
+    Greedy and in order. Four characters are a token, and lines are joined by one character, so a chunk ends where the
+    running length passes that before its overlap by 4 * limit + 1: a range search. Each sentence thus knows where the chunk
+    ends that it would start, and the chunks are the chain from the first sentence on (``scans``): one long job needs no
+    group of its own."""
+    size = F.when(T.strip("text") == "", 0).otherwise(F.length("line") + 1).cast("long")
+    rows = numbered(sentences.select("job_id", "ord", "start_ms", "end_ms", size.alias("size")), ["job_id"], "ord")
+    rows = cut_lineage(running(rows, ["job_id"], "place", F.col("size"), "w"))
+    head = rows.select("job_id", F.col("place").alias("low"), (F.col("w") - F.col("size")).alias("w0"), "start_ms", F.col("ord").alias("first"))
+    starts = rows.select("job_id", "place", F.greatest(F.lit(0), F.col("place") - overlap).alias("low")).join(head, ["job_id", "low"])
+    starts = counted_upto(rows, starts.withColumn("w", F.col("w0") + 4 * limit + 1), ["job_id"], "w", "end", width=4 * limit + 2)
+    last = rows.groupBy("job_id").agg(F.max("place").alias("last"))
+    starts = starts.join(last, "job_id").withColumn("fits", F.col("end") > F.col("place"))
+    after = F.when(F.col("fits"), F.col("end")).otherwise(F.col("place") + 1)
+    starts = cut_lineage(starts.withColumn("next", F.when(after <= F.col("last"), after)))
+    found = chain(starts.select("job_id", "place", "next", (F.col("place") == 0).alias("first")), ["job_id"])
+    made = numbered(starts.filter("fits").join(found, ["job_id", "place"]), ["job_id"], "place", "chunk")
+    ends = rows.select("job_id", (F.col("place") + 1).alias("end"), "end_ms")
+    return made.join(ends, ["job_id", "end"]).select("job_id", "chunk", "first", "start_ms", "end_ms", (F.col("end") - F.col("low")).alias("n_sentences"))
 
 
 def pack_lines(docs: DataFrame, limit: int) -> DataFrame:
@@ -131,6 +124,14 @@ def best_versions(rows: DataFrame, keys: list[str], order: list[Column]) -> Data
     return rows.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
 
 
+def best_rows(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """K7: each row with ``kept``: whether it is the first of its key by the greatest ``order`` (a struct that tells all rows
+    of a key apart). The maxima are combined before the shuffle, so a key may hold any part of the rows."""
+    best = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max(order).alias("_best"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(best, same).select(*rows.columns, order.eqNullSafe(F.col("_best")).alias("kept"))
+
+
 def violations(sentences: DataFrame, durations: DataFrame) -> DataFrame:
     """P10: one row per rule that a sentence breaks."""
     joined = sentences.join(durations, "job_id", "left")

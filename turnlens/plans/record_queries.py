@@ -15,6 +15,7 @@ from ..operators import vectors as V
 from ..sources import media as M
 from ..streaming import sessions as L
 from . import fixtures as X
+from . import transcript_queries as tq
 from .interval_queries import _DUR, _I15, _J6, _OV, _PLAN, _SPK
 
 _S, _D, _V = X.SENTENCES, X.DIAR, X.VAD
@@ -318,9 +319,13 @@ Q["F17_retry_rules"] = (
 
 
 # documents
+_C4 = tq.Q["C3_pack_sentences"][1].replace("SELECT f.job_id, f.chunk - 1 AS chunk, a.start_ms, b.end_ms, f.i - greatest(0, f.made - 3) AS n_sentences FROM f", "SELECT f.job_id, f.chunk - 1 AS chunk, a.start_ms, b.end_ms, a.i AS low, f.i AS high FROM f")
 Q["C4_chunks_markdown"] = (
-    _sent(lambda s: D.chunks_markdown(D.chunk_lines(P.pack_sentences(_lines(s), 150), _lines(s))).select("job_id", F.regexp_count("markdown", F.lit(r"(?m)^## CHUNK [0-9]+ \[[0-9.]+ → [0-9.]+\]$")).cast("long").alias("n_chunks"), F.regexp_count("markdown", F.lit(r"(?m)^---$")).cast("long").alias("n_ends"))),
-    None,
+    _sent(lambda s: D.chunks_markdown(D.chunk_lines(P.pack_sentences(_lines(s), 150), _lines(s)))),
+    "WITH k AS (" + _C4 + "), " + _S + """, s AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1 AS i FROM sentences),
+    m AS (SELECT k.job_id, chunk, k.start_ms, k.end_ms, coalesce(string_agg(CASE WHEN trim(text) <> '' THEN """ + tq._SQL_MD.replace("start_ms", "s.start_ms") + """ END, chr(10) ORDER BY s.i), '') AS md
+      FROM k JOIN s ON s.job_id = k.job_id AND s.i >= low AND s.i < high GROUP BY k.job_id, chunk, k.start_ms, k.end_ms)
+    SELECT job_id, string_agg(printf('## CHUNK %d [%.2f → %.2f]', chunk, start_ms / 1000.0e0, end_ms / 1000.0e0) || chr(10) || md || chr(10) || '---', chr(10) ORDER BY chunk) AS markdown FROM m GROUP BY job_id""",
 )
 
 

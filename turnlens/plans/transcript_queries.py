@@ -166,7 +166,7 @@ Q["K5_idempotent_insert"] = (
     X.with_views(_S) + " SELECT job_id, start_ms, end_ms, min(ord) AS ord FROM sentences GROUP BY job_id, start_ms, end_ms",
 )
 Q["K7_unique_documents"] = (
-    _docs(lambda d: R.best_versions(d, ["source", "lang"], [F.desc(F.length(T.strip("text"))), F.desc("doc_id")]).select("doc_id", (F.col("rn") == 1).alias("kept"))),
+    _docs(lambda d: R.best_rows(d.select("doc_id", "source", "lang", F.length(T.strip("text")).alias("size")), ["source", "lang"], F.struct("size", "doc_id")).select("doc_id", "kept")),
     r"SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY length(regexp_replace(text, '^\s+|\s+$', '', 'g')) DESC, doc_id DESC) = 1 AS kept FROM documents",
 )
 Q["K8_cascade_delete"] = (
@@ -187,7 +187,7 @@ Q["C1_count_tokens"] = (
     _docs(lambda d: d.select("doc_id", T.count_tokens("text").alias("tokens"))),
     "SELECT doc_id, CAST(greatest(1, (length(text) + 3) // 4) AS BIGINT) AS tokens FROM documents",
 )
-_SQL_MD = "printf('[%d.%02d] %s: %s', (start_ms + 5) // 1000, (start_ms + 5) // 10 % 100, 'S' || CAST(speaker AS VARCHAR), text)"
+_SQL_MD = "printf('[%.2f] %s: %s', start_ms / 1000.0e0, 'S' || CAST(speaker AS VARCHAR), text)"
 
 
 def _named(s):
@@ -199,7 +199,7 @@ Q["C2_sentence_markdown"] = (
     X.with_views(_S) + " SELECT job_id, string_agg(" + _SQL_MD + ", chr(10) ORDER BY ord) AS markdown FROM sentences WHERE trim(text) <> '' GROUP BY job_id",
 )
 Q["C3_pack_sentences"] = (
-    _sent(lambda s: R.pack_sentences(_named(s), 150)),
+    _sent(lambda s: R.pack_sentences(_named(s), 150).drop("first")),
     "WITH RECURSIVE " + _S + """, o AS (SELECT job_id, start_ms, end_ms, row_number() OVER (PARTITION BY job_id ORDER BY ord) - 1 AS i, count(*) OVER (PARTITION BY job_id) AS n,
       CASE WHEN trim(text) = '' THEN -1 ELSE length(""" + _SQL_MD + """) END AS z FROM sentences),
     p AS (SELECT job_id, i, n, start_ms, end_ms, z, sum(greatest(z, 0)) OVER w AS cz, sum(CASE WHEN z >= 0 THEN 1 ELSE 0 END) OVER w AS cn FROM o WINDOW w AS (PARTITION BY job_id ORDER BY i)),

@@ -1,4 +1,4 @@
-"""Voice endpointing (T3, T4, T5): hysteresis over frames, the same state machine in batch and in Structured Streaming."""
+"""Voice endpointing (T3, T4, T5): hysteresis over frames, in batch by marks, in Structured Streaming as a state machine."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.scans import BLOCK, numbered
+
 OUTPUT = "job_id long, start_ms long, end_ms long, reason string"
 _STATE = "now long, run long, quiet long, start long, speaking boolean"
 
@@ -65,20 +69,58 @@ class Endpointing:
 _FRESH = (0, 0, 0, 0, False)
 
 
+def _marks(frames: DataFrame, config: Endpointing, on: int, off: int) -> DataFrame:
+    """(job_id, place, speech): where speech starts and ends, in turn. Speech is on after the last place of ``on`` frames of
+    speech in a row unless one of ``off`` quiet frames in a row follows. Blocks of frames, each with the end of the one
+    before, are searched side by side; of a block only its changes go on to the job's order."""
+    width = max(BLOCK, 4 * max(on, off))
+    place = F.col("place")
+    again = F.pmod(place, F.lit(width)) >= width - max(on, off) + 1
+    blocks = F.array_compact(F.array(F.lit(0).cast("bigint"), F.when(again, F.lit(1).cast("bigint"))))
+    dealt = frames.select("job_id", "place", "prob", F.explode(blocks).alias("next")).withColumn("b", F.floor(place / width) + F.col("next"))
+    order = W.partitionBy("job_id", "b").orderBy("place")
+    row = lambda c, n: F.count_if(c).over(order.rowsBetween(1 - n, 0)) == n
+    found = dealt.withColumns({"speech": row(F.col("prob") >= config.start_prob, on), "quiet": row(F.col("prob") < config.end_prob, off)})
+    found = found.filter("next = 0 and (speech or quiet)").select("job_id", "b", "place", "speech")
+    changes = found.withColumn("was", F.lag("speech").over(order)).filter("was is null or was <> speech").drop("was")
+    was = F.coalesce(F.lag("speech").over(W.partitionBy("job_id").orderBy("place")), F.lit(False))
+    return changes.select("job_id", "place", "speech", was.alias("was")).filter("was <> speech").drop("was")
+
+
 def endpoints(frames: DataFrame, config: Endpointing = Endpointing()) -> DataFrame:
-    """T3 over complete sessions (job_id, frame, prob): one group is one session, in frame order."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = _FRESH, []
-        for prob in pdf.sort_values("frame")["prob"]:
-            state, done = config.step(state, prob)
-            out.append(done)
-        out.append(config.stop(state))
-        made = pd.DataFrame([x for x in out if x], columns=["start_ms", "end_ms", "reason"])
-        made.insert(0, "job_id", pdf["job_id"].iloc[0])
-        return made.astype({"start_ms": "int64", "end_ms": "int64"})
-
-    return frames.groupBy("job_id").applyInPandas(work, OUTPUT)
+    """T3 over complete sessions (job_id, frame, prob), in frame order; frames count from the first one on.
+
+    The state machine of ``Endpointing`` without its groups: utterances are what lies between the marks of ``_marks``, and
+    cuts at the longest window are counted from an utterance's start. A null probability is neither speech nor quiet."""
+    step = config.frame
+    on, off, window = (-(-x // step) for x in (config.min_speech, config.min_silence, config.max_window))
+    rows = numbered(frames.select("job_id", "frame", "prob"), ["job_id"], "frame")
+    order = W.partitionBy("job_id").orderBy("place")
+    marks = _marks(rows, config, on, off).withColumn("until", F.lead("place").over(order)).filter("speech")
+    now = (F.col("place") + 1) * step
+    quiet = (F.col("until") + 1) * step
+    said = marks.withColumns({"now": now, "quiet": quiet, "end": F.least(quiet, quiet - off * step + config.post_roll)})
+    start = F.greatest(F.coalesce(F.lag("end").over(order), F.lit(0)), F.col("now") - on * step - config.pre_roll, F.lit(0))
+    total = rows.groupBy("job_id").agg((F.max("place") + 1).alias("n"))
+    said = said.withColumn("start", start).join(total, "job_id")
+    first = F.greatest("now", F.ceil((F.col("start") + config.max_window) / step) * step)
+    limit = F.coalesce(F.col("quiet") - step, F.col("n") * step)
+    cuts = F.when(first <= limit, F.sequence(first, limit, F.lit(window * step).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    said = said.withColumn("cuts", cuts)
+    ends = F.concat("cuts", F.array(F.coalesce("end", F.col("n") * step)))
+    last = F.when(F.col("end").isNull(), "session_stop").otherwise("speech_end")
+    reason = F.concat(F.array_repeat(F.lit("max_window"), F.size("cuts")), F.array(last))
+    pieces = F.arrays_zip(F.concat(F.array("start"), "cuts").alias("start_ms"), ends.alias("end_ms"), reason.alias("reason"))
+    made = said.select("job_id", F.inline(pieces)).filter("reason <> 'session_stop' or end_ms > start_ms")
+    # a run of speech that is not confirmed when the session stops counts, unless speech is on
+    tail = rows.join(total, "job_id").filter(F.col("place") >= F.col("n") - on)
+    tail = tail.groupBy("job_id", "n").agg(F.max(F.when(F.col("prob") >= config.start_prob, F.lit(None)).otherwise(F.col("place"))).alias("other"))
+    tail = tail.withColumn("run", F.col("n") - 1 - F.coalesce("other", F.lit(-1))).filter("run > 0")
+    done = said.groupBy("job_id").agg(F.max("end").alias("ended"), F.bool_or(F.col("end").isNull()).alias("open"))
+    tail = tail.join(done, "job_id", "left").filter("not coalesce(open, false)")
+    begun = F.greatest(F.coalesce("ended", F.lit(0)), F.col("n") * step - F.col("run") * step - config.pre_roll, F.lit(0))
+    stops = tail.select("job_id", begun.alias("start_ms"), (F.col("n") * step).alias("end_ms"), F.lit("session_stop").alias("reason"))
+    return made.unionByName(stops)
 
 
 class EndpointProcessor(StatefulProcessor):

@@ -6,29 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.scans import carried, numbered
+
 #: Events folded at once.
 RUN = 256
 
 
 def accepted_packets(events: DataFrame, limit: int) -> DataFrame:
     """The packets (session_id, seq) that a queue of ``limit`` takes: ``events`` (session_id, seq, kind: put or get) in
-    order; a put on a full queue is dropped (the newest goes), a get on an empty one does nothing. A session's events
-    are folded in runs, of which only the depth is carried on."""
-    per = events.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("seq", (F.col("kind") == "put").alias("put")))).alias("e"))
-    none = F.array().cast("array<bigint>")
-
-    def step(s, e):
-        takes = e["put"] & (s["depth"] < limit)
-        depth = F.when(takes, s["depth"] + 1).when(e["put"], s["depth"]).otherwise(F.greatest(F.lit(0), s["depth"] - 1))
-        return F.struct(depth.alias("depth"), F.when(takes, F.array_append(s["out"], e["seq"])).otherwise(s["out"]).alias("out"))
-
-    def run(s, first):
-        part = F.aggregate(F.slice("e", first, F.lit(RUN)), F.struct(s["depth"].alias("depth"), none.alias("out")), step)
-        return F.transform(F.array(part), lambda p: F.struct(p["depth"].alias("depth"), F.array_append(s["parts"], p["out"]).alias("parts")))[0]
-
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<array<bigint>>").alias("parts"))
-    taken = F.flatten(F.aggregate(F.sequence(F.lit(1), F.size("e"), F.lit(RUN)), start, run)["parts"])
-    return per.select("session_id", F.explode(taken).alias("seq"))
+    order; a put on a full queue is dropped (the newest goes), a get on an empty one does nothing.
+
+    Each event maps the depth x to min(max(x + a, lo), hi), and such maps are closed under composition. Blocks of RUN
+    events are folded to one map each, the maps are scanned, and each block is then run from its own depth."""
+    shift = lambda a, lo, hi: F.named_struct(F.lit("a"), a.cast("long"), F.lit("lo"), lo.cast("long"), F.lit("hi"), hi.cast("long"))
+    clamp = lambda x, m: F.least(F.greatest(x, m["lo"]), m["hi"])
+    then = lambda f, g: shift(f["a"] + g["a"], clamp(f["lo"] + g["a"], g), clamp(f["hi"] + g["a"], g))
+    none, full = F.lit(0), F.lit(limit)
+    rows = numbered(events.select("session_id", "seq", (F.col("kind") == "put").alias("put")), ["session_id"], "seq")
+    e = F.sort_array(F.collect_list(F.struct("place", "seq", "put")))
+    blocks = rows.groupBy("session_id", F.expr(f"place div {RUN}").alias("block")).agg(e.alias("e"))
+    whole = F.aggregate("e", shift(none, none, full), lambda m, x: then(m, shift(F.when(x["put"], 1).otherwise(-1), none, full)))
+    carry = carried(blocks.select("session_id", "block", whole.alias("value")), ["session_id"], "block", shift(none, none, full), then)
+
+    def step(s, x):
+        takes = x["put"] & (s["depth"] < limit)
+        depth = F.when(x["put"], F.least(s["depth"] + 1, full)).otherwise(F.greatest(none, s["depth"] - 1))
+        return F.named_struct(F.lit("depth"), depth.cast("long"), F.lit("out"), F.when(takes, F.array_append(s["out"], x["seq"])).otherwise(s["out"]))
+
+    start = F.named_struct(F.lit("depth"), clamp(F.col("carry.a"), F.col("carry")), F.lit("out"), F.array().cast("array<bigint>"))
+    return blocks.join(carry, ["session_id", "block"]).select("session_id", F.explode(F.aggregate("e", start, step)["out"]).alias("seq"))
 
 
 def recognition_windows(endpoints: DataFrame) -> DataFrame:
