@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._shared import checkpoint, stored
@@ -34,54 +33,71 @@ def _pools(rows: DataFrame, fits, known: list[DataFrame]) -> DataFrame:
     return pools
 
 
+def _with_sets(rows: DataFrame, contents: DataFrame, shingles) -> DataFrame:
+    """The rows (centre, key, ...) with the shingle sets c and x of their contents."""
+    left = contents.select(F.col("key").alias("centre"), F.col("content").alias("c_content"))
+    return rows.join(left, "centre").join(contents, "key").select(*rows.columns, shingles("c_content").alias("c"), shingles("content").alias("x"))
+
+
 def compared(pools: DataFrame, contents: DataFrame, threshold: int, shingles) -> DataFrame:
-    """(centre, key, rank, linked, d, gap) for the pairs of ``pools``, over whole shingle sets.
+    """(centre, key, rank, linked, apart, gap) for the pairs of ``pools``, over whole shingle sets.
 
-    Linked is 100 * intersection >= threshold * union. ``d`` is D(x), the shingles in x or the centre but not in both,
-    null where the pool has no other member; ``gap`` is |D(x)| - |x| * (100 - threshold) / (100 + threshold).
+    Linked is 100 * intersection >= threshold * union. ``apart`` is |D(x)|, the number of shingles that x or the centre
+    has but not both; ``gap`` is |D(x)| - |x| * (100 - threshold) / (100 + threshold).
     """
-    left = contents.select(F.col("key").alias("centre"), F.col("content").alias("c_content"))
-    both = pools.join(left, "centre").join(contents, "key")
-    both = both.select("centre", "key", "rank", "alone", shingles("c_content").alias("c"), shingles("content").alias("x"))
-    both = both.withColumn("extra", F.array_except("x", "c"))
-    both = both.withColumns({"n": F.size("x"), "missing": F.size("c") - F.size("x") + F.size("extra")})
-    union = F.col("n") + F.col("missing")
-    linked = 100 * (F.col("n") - F.size("extra")) >= threshold * union
-    d = F.when(~F.col("alone"), F.concat("extra", F.array_except("c", "x")))
-    gap = F.size("extra") + F.col("missing") - F.col("n") * ((100 - threshold) / (100 + threshold))
-    return both.select("centre", "key", "rank", linked.alias("linked"), d.alias("d"), gap.alias("gap"))
-
-
-def _groups(now: DataFrame) -> DataFrame:
+    both = _with_sets(pools.drop("alone"), contents, shingles)
+    both = both.select("centre", "key", "rank", F.size("c").alias("c_n"), F.size("x").alias("n"), F.size(F.array_intersect("x", "c")).alias("both"))
+    apart = F.col("c_n") + F.col("n") - 2 * F.col("both")
+    linked = 100 * F.col("both") >= threshold * (F.col("c_n") + F.col("n") - F.col("both"))
+    return both.select("centre", "key", "rank", linked.alias("linked"), apart.alias("apart"), (apart - F.col("n") * ((100 - threshold) / (100 + threshold))).alias("gap"))
+
+
+def _differences(rows: DataFrame, contents: DataFrame, shingles) -> DataFrame:
+    """The rows with d: D(x)."""
+    both = _with_sets(rows, contents, shingles)
+    return both.select(*rows.columns, F.concat(F.array_except("x", "c"), F.array_except("c", "x")).alias("d"))
+
+
+#: Pools of more members have the shingles that many members have last in their order; so many members, about, tell which.
+LARGE, TOLD_BY = 32, 16
+
+
+def _groups(now: DataFrame, contents: DataFrame, shingles) -> DataFrame:
     """(key, rank, top): members of the groups that are to be compared on, with the best rank of the group.
 
     Sets x and y are linked only if they share half of gap(x) + gap(y) members of D(x) and D(y), and at least one unless
     both are linked with the centre. So, with each D in one order, the pair shares one of the first |D| - that + 1 members
-    on either side: the prefix. D is ordered by how many members of the pool have a shingle in it: what all but the centre
-    have comes last, and what two members have alone comes first. Members are dealt to classes by gap, linked ones to a
-    class of their own, and each has a prefix for every class, by the least gap in it. A group is what two classes (or one)
-    have with one shingle in such prefixes.
+    on either side: the prefix. Members are dealt to classes by gap, linked ones to a class of their own; the least gap and
+    the largest D of a class bound what a member must share with any of it, and rule most classes out. A group is what two
+    classes (or one) have with one shingle in such prefixes. In large pools, shingles that many members have in D (those
+    that the centre lacks and others have) come last in the order, so groups are small; any order gives the same links.
     """
-    # where all are linked with the centre, or there is one alone, nothing is left to compare
-    now = now.withColumn("class", F.when(F.col("linked"), 0).otherwise(1 + F.floor(F.log2(F.greatest(F.lit(1.0), F.col("gap"))))).cast("int"))
-    classes = now.groupBy("centre", "class").agg(F.min("gap").alias("least"), F.count("*").alias("n"))
-    classes = classes.groupBy("centre").agg(F.collect_list(F.struct("class", "least")).alias("classes"), F.sum("n").alias("n"), F.max("class").alias("high")).filter("n > 1 and high > 0")
-    other = F.filter("classes", lambda c: ~F.col("linked") | (c["class"] > 0))
-    # places are counted from the end of D, since what nobody shares comes first: the last `rest` are left out
-    rest = F.transform(other, lambda c: F.named_struct(F.lit("class"), c["class"], F.lit("rest"), F.greatest(F.lit(1), F.ceil((F.col("gap") + c["least"]) / 2 - 1e-6)) - 1))
-    apart = now.join(classes.select("centre", "classes"), "centre").select("centre", "key", "rank", "class", rest.alias("others"), F.explode("d").alias("e"))
-    apart = stored(apart, "apart")
-    often = apart.groupBy("centre", "e").agg(F.count("*").alias("often"), F.max("class").alias("high")).filter("often > 1")
-    last = W.partitionBy("centre", "key", "rank").orderBy(F.desc("often"), F.desc("e"))
-    rows = apart.join(often, ["centre", "e"]).withColumn("place", F.row_number().over(last)).filter("high > 0")
-    met = F.filter("others", lambda c: F.col("place") > c["rest"])
-    rows = rows.select("centre", "e", "key", "rank", "class", F.explode(met).alias("o"))
-    rows = rows.select("centre", "e", "key", "rank", "class", F.least("class", "o.class").alias("one"), F.greatest("class", "o.class").alias("two"))
-    rows = stored(rows, "shared")
+    level = F.when(F.col("linked"), 0).otherwise(1 + F.floor(2 * F.log2(F.greatest(F.lit(1.0), F.col("gap"))))).cast("int")
+    now = now.withColumn("class", level)
+    classes = now.groupBy("centre", "class").agg(F.min("gap").alias("least"), F.max("apart").alias("most"), F.count("*").alias("n"))
+    classes = classes.groupBy("centre").agg(F.collect_list(F.struct("class", "least", "most", "n")).alias("classes"), F.sum("n").alias("n"), F.max("class").alias("high"))
+    rows = now.join(classes.filter("n > 1 and high > 0"), "centre")
+    need = lambda c: F.greatest(F.lit(1), F.ceil((F.col("gap") + c["least"]) / 2 - 1e-6)).cast("int")
+    free = lambda c: (~F.col("linked") | (c["class"] > 0)) & ((c["class"] != F.col("class")) | (c["n"] > 1))
+    some = F.filter("classes", lambda c: free(c) & (need(c) <= F.least(F.col("apart"), c["most"])))
+    others = F.transform(some, lambda c: F.named_struct(F.lit("class"), c["class"], F.lit("prefix"), F.col("apart") - need(c) + 1))
+    rows = rows.select("centre", "key", "rank", "class", "n", others.alias("others")).filter(F.size("others") > 0)
+    rows = stored(rows, "open")
+    told = _differences(rows.filter((F.col("n") > LARGE) & (F.pmod(F.xxhash64("key"), F.col("n")) < TOLD_BY)).select("centre", "key"), contents, shingles)
+    often = told.select("centre", F.explode("d").alias("e")).groupBy("centre", "e").agg(F.count("*").alias("often")).filter(f"often > {TOLD_BY // 4}")
+    often = stored(often.groupBy("centre").agg(F.collect_list("e").alias("often")), "often")
+    made = _differences(rows, contents, shingles).join(often, "centre", "left")
+    often = F.coalesce("often", F.array().cast("array<bigint>"))
+    order = F.concat(F.sort_array(F.array_except("d", often)), F.sort_array(F.array_intersect("d", often)))
+    longest = F.array_max(F.transform("others", lambda c: c["prefix"]))
+    made = made.select("centre", "key", "rank", "class", "others", F.posexplode(F.slice(order, 1, longest)).alias("place", "e"))
+    made = made.select("centre", "e", "key", "rank", "class", F.explode(F.filter("others", lambda c: F.col("place") < c["prefix"])).alias("o"))
+    made = made.select("centre", "e", "key", "rank", "class", F.least("class", "o.class").alias("one"), F.greatest("class", "o.class").alias("two"))
+    made = stored(made, "shared")
     by = ["centre", "e", "one", "two"]
-    groups = rows.groupBy(*by).agg(F.max("rank").alias("top"), F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+    groups = made.groupBy(*by).agg(F.max("rank").alias("top"), F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     groups = groups.filter("n > 1 and low = one and high = two").select(*by, "top")
-    return rows.join(groups, by).select("key", "rank", "top")
+    return made.join(groups, by).select("key", "rank", "top")
 
 
 def star_links(members: DataFrame, contents: DataFrame, threshold: int, fits, shingles=F.col) -> DataFrame:
@@ -105,6 +121,6 @@ def star_links(members: DataFrame, contents: DataFrame, threshold: int, fits, sh
         now = stored(compared(pools, contents, threshold, shingles), "compared")
         links.append(now.filter("linked").select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b")))
         known.append(now.select("centre", "key"))
-        pools = stored(_pools(_groups(now), fits, known), "pools")
+        pools = stored(_pools(_groups(now, contents, shingles), fits, known), "pools")
         if pools.isEmpty():
             return reduce(DataFrame.unionByName, links)
