@@ -20,13 +20,14 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
 
 
 def _pools(rows: DataFrame, fits, known: list[DataFrame]) -> DataFrame:
-    """(centre, key, rank, alone): who is compared with whom, from the members (key, rank) of groups and the best rank
-    ``top`` of the group. Groups of one centre are one pool. A pool of one pair needs no more than that pair, so it goes
-    if the two do not fit, or if the pair is ``known``."""
-    pairs = rows.select((-F.col("top.minus")).alias("centre"), "key", "rank", "top").filter("key != centre").distinct()
-    pairs = stored(pairs, "pairs")
-    sizes = pairs.groupBy("centre").agg((F.count("*") == 1).alias("alone"))
-    pools = pairs.join(sizes, "centre").filter(~F.col("alone") | fits(F.col("rank.about"), F.col("top.about"))).drop("top")
+    """(centre, key, rank, alone): who is compared with whom, from the members (key, rank) of groups, the rank ``top`` of
+    their centre, and ``ends``: whether nothing is left of the group after that. Groups of one centre are one pool. A pair
+    of an ended group, or of a pool of one pair, goes if the two do not fit, or if it is ``known``."""
+    pairs = rows.select((-F.col("top.minus")).alias("centre"), "key", "rank", "top", "ends").filter("key != centre")
+    pairs = stored(pairs.groupBy("centre", "key", "rank", "top").agg(F.bool_and("ends").alias("ends")), "pairs")
+    sizes = pairs.filter("not ends").groupBy("centre").agg((F.count("*") == 1).alias("one"))
+    pools = pairs.join(sizes, "centre", "left").withColumn("alone", F.col("ends") | F.col("one"))
+    pools = pools.filter(~F.col("alone") | fits(F.col("rank.about"), F.col("top.about"))).select("centre", "key", "rank", "alone")
     if known:
         seen = reduce(DataFrame.unionByName, known).withColumn("alone", F.lit(True))
         pools = pools.join(seen, ["centre", "key", "alone"], "left_anti")
@@ -40,16 +41,16 @@ def _with_sets(rows: DataFrame, contents: DataFrame, shingles) -> DataFrame:
 
 
 def compared(pools: DataFrame, contents: DataFrame, threshold: int, shingles) -> DataFrame:
-    """(centre, key, rank, linked, apart, gap) for the pairs of ``pools``, over whole shingle sets.
+    """(centre, key, rank, alone, linked, apart, gap) for the pairs of ``pools``, over whole shingle sets.
 
     Linked is 100 * intersection >= threshold * union. ``apart`` is |D(x)|, the number of shingles that x or the centre
     has but not both; ``gap`` is |D(x)| - |x| * (100 - threshold) / (100 + threshold).
     """
-    both = _with_sets(pools.drop("alone"), contents, shingles)
-    both = both.select("centre", "key", "rank", F.size("c").alias("c_n"), F.size("x").alias("n"), F.size(F.array_intersect("x", "c")).alias("both"))
+    both = _with_sets(pools, contents, shingles)
+    both = both.select("centre", "key", "rank", "alone", F.size("c").alias("c_n"), F.size("x").alias("n"), F.size(F.array_intersect("x", "c")).alias("both"))
     apart = F.col("c_n") + F.col("n") - 2 * F.col("both")
     linked = 100 * F.col("both") >= threshold * (F.col("c_n") + F.col("n") - F.col("both"))
-    return both.select("centre", "key", "rank", linked.alias("linked"), apart.alias("apart"), (apart - F.col("n") * ((100 - threshold) / (100 + threshold))).alias("gap"))
+    return both.select("centre", "key", "rank", "alone", linked.alias("linked"), apart.alias("apart"), (apart - F.col("n") * ((100 - threshold) / (100 + threshold))).alias("gap"))
 
 
 def _differences(rows: DataFrame, contents: DataFrame, shingles) -> DataFrame:
@@ -60,10 +61,14 @@ def _differences(rows: DataFrame, contents: DataFrame, shingles) -> DataFrame:
 
 #: Pools of more members have the shingles that many members have last in their order; so many members, about, tell which.
 LARGE, TOLD_BY = 32, 16
+#: In groups of at most so many members, each is a centre for those of lower rank, and the group ends there. It doubles from
+#: round to round, so that groups which stars do not split do not go on for long.
+FEW = 8
 
 
-def _groups(now: DataFrame, contents: DataFrame, shingles) -> DataFrame:
-    """(key, rank, top): members of the groups that are to be compared on, with the best rank of the group.
+def _groups(now: DataFrame, contents: DataFrame, shingles, few: int) -> DataFrame:
+    """(key, rank, top, ends): members of the groups that are to be compared on, with the best rank of the group; in groups
+    of at most ``few`` members, with every better rank, which ends the group.
 
     Sets x and y are linked only if they share half of gap(x) + gap(y) members of D(x) and D(y), and at least one unless
     both are linked with the centre. So, with each D in one order, the pair shares one of the first |D| - that + 1 members
@@ -73,7 +78,7 @@ def _groups(now: DataFrame, contents: DataFrame, shingles) -> DataFrame:
     that the centre lacks and others have) come last in the order, so groups are small; any order gives the same links.
     """
     level = F.when(F.col("linked"), 0).otherwise(1 + F.floor(2 * F.log2(F.greatest(F.lit(1.0), F.col("gap"))))).cast("int")
-    now = now.withColumn("class", level)
+    now = now.filter("not alone").withColumn("class", level)
     classes = now.groupBy("centre", "class").agg(F.min("gap").alias("least"), F.max("apart").alias("most"), F.count("*").alias("n"))
     classes = classes.groupBy("centre").agg(F.collect_list(F.struct("class", "least", "most", "n")).alias("classes"), F.sum("n").alias("n"), F.max("class").alias("high"))
     rows = now.join(classes.filter("n > 1 and high > 0"), "centre")
@@ -96,8 +101,13 @@ def _groups(now: DataFrame, contents: DataFrame, shingles) -> DataFrame:
     made = stored(made, "shared")
     by = ["centre", "e", "one", "two"]
     groups = made.groupBy(*by).agg(F.max("rank").alias("top"), F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-    groups = groups.filter("n > 1 and low = one and high = two").select(*by, "top")
-    return made.join(groups, by).select("key", "rank", "top")
+    groups = groups.filter("n > 1 and low = one and high = two").select(*by, "top", "n")
+    large = made.join(groups.filter(F.col("n") > few).select(*by, "top"), by).select("key", "rank", "top", F.lit(False).alias("ends"))
+    small = made.join(groups.filter(F.col("n") <= few).select(*by), by)
+    better = small.select(*by, F.col("rank").alias("top"), F.col("class").alias("other"))
+    apart = (F.col("one") == F.col("two")) | (F.col("class") != F.col("other"))
+    small = small.join(better, by).filter((F.col("rank") < F.col("top")) & apart)
+    return large.unionByName(small.select("key", "rank", "top", F.lit(True).alias("ends")))
 
 
 def star_links(members: DataFrame, contents: DataFrame, threshold: int, fits, shingles=F.col) -> DataFrame:
@@ -107,7 +117,7 @@ def star_links(members: DataFrame, contents: DataFrame, threshold: int, fits, sh
     smallest key. All others are compared with it. Two members that are not linked with the centre, or one of which is
     not, can be linked with each other only if they share enough of the shingles that set them apart from it
     (``_groups``). Such a shared shingle makes a group, groups are buckets of the next round, and so on until no group has a member that
-    its centre is not linked with. Every pair of a bucket is thus compared, or linked through a centre, or shown to be
+    its centre is not linked with; small groups end at once (FEW). Every pair of a bucket is thus compared, or linked through a centre, or shown to be
     unlike. Centres descend in rank from round to round, so the rounds end. A version of a family, whose members share
     what sets them apart, is one star of the next round, so pairs grow with the members of a family, not with their square.
 
@@ -115,12 +125,13 @@ def star_links(members: DataFrame, contents: DataFrame, threshold: int, fits, sh
     set (distinct) of a content. A key that has two contents is linked if either is.
     """
     rows = members.select("bucket", "key", F.struct("company", (-F.col("key")).alias("minus"), "about").alias("rank"))
-    pools = _pools(rows.join(rows.groupBy("bucket").agg(F.max("rank").alias("top")), "bucket"), fits, [])
-    links, known = [], []
+    pools = _pools(rows.join(rows.groupBy("bucket").agg(F.max("rank").alias("top")), "bucket").withColumn("ends", F.lit(False)), fits, [])
+    links, known, few = [], [], FEW
     while True:
         now = stored(compared(pools, contents, threshold, shingles), "compared")
         links.append(now.filter("linked").select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b")))
         known.append(now.select("centre", "key"))
-        pools = stored(_pools(_groups(now, contents, shingles), fits, known), "pools")
+        pools = stored(_pools(_groups(now, contents, shingles, few), fits, known), "pools")
+        few *= 2
         if pools.isEmpty():
             return reduce(DataFrame.unionByName, links)
