@@ -58,6 +58,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(tables: list[DataFrame]) -> None:
+    """Removes the files of ``stored`` tables that nothing will read again, since all that was made of them is stored."""
+    for table in tables:
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    tables.clear()
+
+
 def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     """A table in the shared folder, dealt to buckets by ``key``: groupings and joins by it need no further shuffle of
     the table, whatever its size. The catalog's entry goes, the files stay."""

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import checkpoint, stored
+from ._shared import checkpoint, forget, stored
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -19,12 +19,13 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return checkpoint(rows.drop("members").join(rows.groupBy("key").agg(F.sum("members").alias("company")), "key"))
 
 
-def _pools(rows: DataFrame, fits, known: list[DataFrame]) -> DataFrame:
+def _pools(rows: DataFrame, fits, known: list[DataFrame], spare: list[DataFrame]) -> DataFrame:
     """(centre, key, rank, alone): who is compared with whom, from the members (key, rank) of groups, the rank ``top`` of
     their centre, and ``ends``: whether nothing is left of the group after that. Groups of one centre are one pool. A pair
     of an ended group, or of a pool of one pair, goes if the two do not fit, or if it is ``known``."""
     pairs = rows.select((-F.col("top.minus")).alias("centre"), "key", "rank", "top", "ends").filter("key != centre")
     pairs = stored(pairs.groupBy("centre", "key", "rank", "top").agg(F.bool_and("ends").alias("ends")), "pairs")
+    spare.append(pairs)
     sizes = pairs.filter("not ends").groupBy("centre").agg((F.count("*") == 1).alias("one"))
     pools = pairs.join(sizes, "centre", "left").withColumn("alone", F.col("ends") | F.col("one"))
     pools = pools.filter(~F.col("alone") | fits(F.col("rank.about"), F.col("top.about"))).select("centre", "key", "rank", "alone")
@@ -66,7 +67,7 @@ LARGE, TOLD_BY = 32, 16
 FEW = 8
 
 
-def _groups(now: DataFrame, contents: DataFrame, shingles, few: int) -> DataFrame:
+def _groups(now: DataFrame, contents: DataFrame, shingles, few: int, spare: list[DataFrame]) -> DataFrame:
     """(key, rank, top, ends): members of the groups that are to be compared on, with the best rank of the group; in groups
     of at most ``few`` members, with every better rank, which ends the group.
 
@@ -90,8 +91,8 @@ def _groups(now: DataFrame, contents: DataFrame, shingles, few: int) -> DataFram
     rows = stored(rows, "open")
     told = _differences(rows.filter((F.col("n") > LARGE) & (F.pmod(F.xxhash64("key"), F.col("n")) < TOLD_BY)).select("centre", "key"), contents, shingles)
     often = told.select("centre", F.explode("d").alias("e")).groupBy("centre", "e").agg(F.count("*").alias("often")).filter(f"often > {TOLD_BY // 4}")
-    often = stored(often.groupBy("centre").agg(F.collect_list("e").alias("often")), "often")
-    made = _differences(rows, contents, shingles).join(often, "centre", "left")
+    told = stored(often.groupBy("centre").agg(F.collect_list("e").alias("often")), "often")
+    made = _differences(rows, contents, shingles).join(told, "centre", "left")
     often = F.coalesce("often", F.array().cast("array<bigint>"))
     order = F.concat(F.sort_array(F.array_except("d", often)), F.sort_array(F.array_intersect("d", often)))
     longest = F.array_max(F.transform("others", lambda c: c["prefix"]))
@@ -99,6 +100,7 @@ def _groups(now: DataFrame, contents: DataFrame, shingles, few: int) -> DataFram
     made = made.select("centre", "e", "key", "rank", "class", F.explode(F.filter("others", lambda c: F.col("place") < c["prefix"])).alias("o"))
     made = made.select("centre", "e", "key", "rank", "class", F.least("class", "o.class").alias("one"), F.greatest("class", "o.class").alias("two"))
     made = stored(made, "shared")
+    spare += [rows, told, made]
     by = ["centre", "e", "one", "two"]
     groups = made.groupBy(*by).agg(F.max("rank").alias("top"), F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     groups = groups.filter("n > 1 and low = one and high = two").select(*by, "top", "n")
@@ -125,13 +127,16 @@ def star_links(members: DataFrame, contents: DataFrame, threshold: int, fits, sh
     set (distinct) of a content. A key that has two contents is linked if either is.
     """
     rows = members.select("bucket", "key", F.struct("company", (-F.col("key")).alias("minus"), "about").alias("rank"))
-    pools = _pools(rows.join(rows.groupBy("bucket").agg(F.max("rank").alias("top")), "bucket").withColumn("ends", F.lit(False)), fits, [])
+    spare: list[DataFrame] = []
+    pools = _pools(rows.join(rows.groupBy("bucket").agg(F.max("rank").alias("top")), "bucket").withColumn("ends", F.lit(False)), fits, [], spare)
     links, known, few = [], [], FEW
     while True:
         now = stored(compared(pools, contents, threshold, shingles), "compared")
         links.append(now.filter("linked").select(F.least("centre", "key").alias("a"), F.greatest("centre", "key").alias("b")))
         known.append(now.select("centre", "key"))
-        pools = stored(_pools(_groups(now, contents, shingles, few), fits, known), "pools")
+        forget(spare)
+        pools = stored(_pools(_groups(now, contents, shingles, few, spare), fits, known, spare), "pools")
+        forget(spare)
         few *= 2
         if pools.isEmpty():
             return reduce(DataFrame.unionByName, links)
