@@ -234,3 +234,8 @@ def fixed(name: str, digits: int) -> Column:
 def stamped_line(start_ms, speaker, text) -> Column:
     """[seconds with two decimals] speaker: text."""
     return F.concat(F.lit("["), fixed(start_ms, 2), F.lit("] "), F.col(speaker), F.lit(": "), F.col(text))
+
+
+def shifted_times(ts, offset_ms) -> Column:
+    """Character times (an array of (s, e)) moved by an offset to the common time line."""
+    return F.transform(ts, lambda t: F.named_struct(F.lit("s"), t["s"] + offset_ms, F.lit("e"), t["e"] + offset_ms))

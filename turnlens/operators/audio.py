@@ -111,3 +111,30 @@ def split_at_quiet(turns: DataFrame, audio: DataFrame, rate: int = 16_000, most:
     joined = turns.join(audio.select("job_id", "samples"), "job_id", "left")
     rest = [c for c in turns.columns if c not in ("start_ms", "end_ms")]
     return joined.select(*rest, F.explode(split("start_ms", "end_ms", own)).alias("p")).select(*rest, "p.start_ms", "p.end_ms")
+
+
+def sample_segments(raw: DataFrame, audio: DataFrame, rate: int = 16_000, least_ms: int = 0) -> DataFrame:
+    """P5: voice segments in milliseconds of detections in samples (job_id, start, end), clipped to the audio (``audio``:
+    job_id, n_samples). Starts are rounded down and ends up, so that no speech is cut; empty and unreadable ones and those
+    under ``least_ms`` go."""
+    whole = lambda c: F.try_to_number(F.col(c).cast("string"), F.lit("S999999999999999")).cast("long") if dict(raw.dtypes)[c] == "string" else F.col(c).cast("long")
+    clipped = raw.join(audio, "job_id").select("job_id", F.greatest(F.lit(0).cast("long"), whole("start")).alias("a"), F.least("n_samples", whole("end")).alias("b"), "n_samples", whole("start").alias("s"), whole("end").alias("e"))
+    up = lambda c: F.expr(f"cast(ceil({c} * 1000 / {rate}) as bigint)")
+    rows = clipped.filter("s is not null and e is not null and b > a").select("job_id", F.expr(f"a * 1000 div {rate}").alias("start_ms"), F.least(up("n_samples"), up("b")).alias("end_ms"))
+    return rows.filter(F.col("end_ms") - F.col("start_ms") >= least_ms)
+
+
+def raw_segments(raw: DataFrame, least_ms: int = 200) -> DataFrame:
+    """P5: voice segments of pairs of milliseconds (job_id, pair: array), parts cut off; those of fewer than two numbers,
+    empty ones and those under ``least_ms`` go."""
+    rows = raw.filter(F.size("pair") >= 2).select("job_id", F.col("pair")[0].cast("long").alias("start_ms"), F.col("pair")[1].cast("long").alias("end_ms"))
+    return rows.filter((F.col("end_ms") > F.col("start_ms")) & (F.col("end_ms") - F.col("start_ms") >= least_ms))
+
+
+def waveform_profile(samples: DataFrame, keys: list[str], clip: float = 0.999, quiet: float = 0.001) -> DataFrame:
+    """Peak, root mean square, mean, and the shares of clipped and of quiet samples, of rows (keys, x: double)."""
+    share = lambda c: F.avg(c.cast("double"))
+    return samples.groupBy(*keys).agg(
+        F.max(F.abs("x")).alias("peak"), F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"), F.avg("x").alias("dc"),
+        share(F.abs("x") >= clip).alias("clip_ratio"), share(F.abs("x") < quiet).alias("silence_ratio"),
+    )

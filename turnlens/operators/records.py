@@ -199,6 +199,31 @@ def latency_metrics(partials: DataFrame, finals: DataFrame) -> DataFrame:
     return first.join(gaps, "session_id", "full_outer").join(last, "session_id", "full_outer")
 
 
+def emission_latency(emissions: DataFrame) -> DataFrame:
+    """What each emitted partial took. ``emissions``: session_id, seq, utterance_start_ms, end_ms (of its window),
+    requested_ms, started_ms, emitted_ms, first_audio_ms (null: unknown). An utterance's count and interval start anew
+    when the session comes to another utterance; unknown times are -1."""
+    order = W.partitionBy("session_id").orderBy("seq")
+    other = ~F.col("utterance_start_ms").eqNullSafe(F.lag("utterance_start_ms").over(order))
+    rows = emissions.withColumn("run", F.sum(other.cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    same = W.partitionBy("session_id", "run").orderBy("seq")
+    since = lambda c, less: F.coalesce(F.col(c) - F.col("first_audio_ms") - less, F.lit(-1).cast("long"))
+    return rows.select(
+        "session_id", "seq", F.row_number().over(order).cast("long").alias("count"), F.row_number().over(same).cast("long").alias("utterance_count"),
+        (F.col("started_ms") - F.col("requested_ms")).alias("worker_wait_ms"), (F.col("emitted_ms") - F.col("requested_ms")).alias("request_to_emit_ms"),
+        since("emitted_ms", F.lit(0)).alias("first_audio_to_partial_ms"), since("emitted_ms", F.col("utterance_start_ms")).alias("utterance_to_partial_ms"),
+        since("emitted_ms", F.col("end_ms")).alias("audio_end_to_emit_ms"), since("requested_ms", F.col("end_ms")).alias("audio_end_to_request_ms"),
+        F.coalesce(F.col("emitted_ms") - F.lag("emitted_ms").over(same), F.lit(-1).cast("long")).alias("update_interval_ms"),
+    )
+
+
+def latency_percentiles(latencies: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+    """By session and measure (session_id, measure, n, p50, p95) the exact percentiles of the known values."""
+    rows = latencies.select("session_id", F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns])))
+    each = [F.percentile("v", share).alias(f"p{round(100 * share)}") for share in shares]
+    return rows.filter("v >= 0").groupBy("session_id", "measure").agg(F.count("*").alias("n"), *each)
+
+
 def framed(packets: DataFrame, size: int) -> DataFrame:
     """Frames of ``size`` samples from packets (session_id, seq, n_samples) in order: session_id, frame, and the packet
     in which it is full. A rest that fills no frame waits."""

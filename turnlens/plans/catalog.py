@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..streaming.endpointing import Endpointing, endpoints
 from . import fixtures as X
-from . import final_queries, interval_queries, models, record_queries, transcript_queries
+from . import final_queries, interval_queries, live_queries, models, record_queries, transcript_queries
 
 _T3 = """
 o AS (SELECT job_id, frame, prob, row_number() OVER (PARTITION BY job_id ORDER BY frame) AS rn FROM frames),
@@ -33,7 +33,7 @@ SELECT job_id, CASE WHEN speaking THEN st ELSE greatest(st, now - run - 300, 0)
 FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY rn DESC) AS back FROM f) AS z
 WHERE back = 1 AND ((speaking AND now > st) OR (NOT speaking AND run > 0))"""
 
-Q = dict(interval_queries.Q) | dict(transcript_queries.Q) | dict(final_queries.Q) | dict(record_queries.Q)
+Q = dict(interval_queries.Q) | dict(transcript_queries.Q) | dict(final_queries.Q) | dict(record_queries.Q) | dict(live_queries.Q)
 Q["T3_streaming_vad_endpoints"] = (
     lambda spark, sf_dir: endpoints(X.frames(spark, sf_dir), Endpointing()),
     "WITH RECURSIVE " + X.SENTENCES + "," + X.FRAMES + "," + _T3,

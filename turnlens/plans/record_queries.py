@@ -428,4 +428,6 @@ Q["E9_diarize"] = (
     lambda spark, sf_dir: N.diarize(X.vad(spark, sf_dir), lambda c: c.withColumn("embedding", F.array(*[F.sin(F.expr("start_ms div 4000 % 3") * 2.0 + k) + F.sin(F.col("start_ms") * 0.37 + k) * 0.05 for k in range(6)]))),
     None,
 )
-Q["K11_report_json"] = (lambda spark, sf_dir: _report(spark, sf_dir).select("meeting_id", F.to_json(F.struct("*")).alias("json")), None)
+Q["K11_report_json"] = (lambda spark, sf_dir: _report(spark, sf_dir).select("meeting_id", F.to_json(F.struct("*")).alias("json")),
+    X.with_views(_S) + """ SELECT job_id AS meeting_id, CAST(to_json({'meeting_id': job_id, 'duration_ms': max(end_ms), 'sentences': list({'speaker': speaker, 'text': text} ORDER BY ord),
+      'actions': coalesce(list({'task': 'task ' || CAST(ord AS VARCHAR)} ORDER BY 'task ' || CAST(ord AS VARCHAR)) FILTER (ord % 3 = 0), [])}) AS VARCHAR) AS json FROM sentences GROUP BY job_id""")
