@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine
+from .scans import cut_lineage
 
 #: Vectors of one block of a job's matrix.
 BLOCK = 256
@@ -86,6 +87,32 @@ def _average_linkage(sims: np.ndarray, threshold: float) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
+def average_linkage(embedded: DataFrame, threshold: float = 0.4) -> DataFrame:
+    """E5 for recordings of any length: (job_id, ord, cluster), the average-linkage clusters whose mean similarity reaches
+    ``threshold``, named by their first ord.
+
+    The state is a table of cluster pairs with the sum and the number of their vectors' similarities, made from the blocks
+    of E1. In each round every two clusters that are nearest to each other merge. A merged cluster is never nearer to a
+    third than the nearer of its parts was, so merging such pairs side by side gives the same clusters as merging the
+    nearest pair of all, one after the other; the rounds are about the logarithm of the number of vectors. A job needs no
+    group and no matrix of its own."""
+    pairs = similarity_pairs(embedded).filter("i < j").select("job_id", F.col("i").alias("a"), F.col("j").alias("b"), F.col("sim").alias("total"), F.lit(1).cast("long").alias("n"))
+    pairs, labels = cut_lineage(pairs), embedded.select("job_id", "ord", F.col("ord").alias("cluster"))
+    while True:
+        # one order of all pairs for both ends, so ties do not break the symmetry
+        rank = F.named_struct(F.lit("mean"), F.col("total") / F.col("n"), F.lit("a"), -F.col("a"), F.lit("b"), -F.col("b"))
+        ends = pairs.select("job_id", rank.alias("rank"), F.explode(F.array("a", "b")).alias("end"))
+        best = ends.groupBy("job_id", "end").agg(F.max("rank").alias("rank")).filter(F.col("rank.mean") >= threshold)
+        merged = best.groupBy("job_id", "rank").agg(F.count("*").alias("ends")).filter("ends = 2")
+        merged = cut_lineage(merged.select("job_id", (-F.col("rank.b")).alias("gone"), (-F.col("rank.a")).alias("into")))
+        if merged.isEmpty():
+            return labels
+        moved = lambda rows, c: rows.join(merged.withColumnRenamed("gone", c), ["job_id", c], "left").withColumn(c, F.coalesce("into", c)).drop("into")
+        pairs = moved(moved(pairs, "a"), "b").filter("a <> b")
+        pairs = pairs.groupBy("job_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        pairs, labels = cut_lineage(pairs), cut_lineage(moved(labels, "cluster"))
+
+
 def _spectral(vectors: np.ndarray, most: int, seed: int = 0) -> np.ndarray:
     """Clusters by the largest gap of the Laplacian's first eigenvalues and seeded k-means on its eigenvectors."""
     unit = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-8)

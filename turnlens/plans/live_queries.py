@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import audio as A
 from ..operators import finalize as Z
 from ..operators import records as R
+from ..operators import vectors as V
 from . import fixtures as X
 from . import models
 from .interval_queries import _I15, _OV, _SPK
@@ -94,3 +95,4 @@ Q["M1_speaker_moments"] = (
     .select("vec_id", F.round(F.col("m")[0], 6).alias("mean"), F.round(F.col("m")[1], 6).alias("power")),
     "SELECT vec_id, round(list_avg(CAST(embedding AS DOUBLE[])), 6) AS mean, round(list_avg(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS power FROM embeddings",
 )
+Q["E5_average_linkage"] = (lambda spark, sf_dir: V.average_linkage(X.embedded(spark, sf_dir).select("job_id", "ord", "embedding")), None)
