@@ -31,7 +31,8 @@ def test_numbers_and_searches(spark):
     assert sorted((r["k"], r["v"], r["n"]) for r in got) == sorted((k, v, sum(1 for a, b in rows if a == k and b <= v)) for k, v in asked)
 
 
-def test_chain(spark):
+@pytest.mark.parametrize("width", [4, 64, 1024])
+def test_chain(spark, width):
     draw, links, want = random.Random(2), [], set()
     for k in range(3):
         n = (1, 40, 500)[k]
@@ -41,7 +42,7 @@ def test_chain(spark):
         while i < n:
             want.add((k, i))
             i = nexts[i]
-    got = scans.chain(spark.createDataFrame(links, "k long, place long, next long, first boolean"), ["k"]).collect()
+    got = scans.chain(spark.createDataFrame(links, "k long, place long, next long, first boolean"), ["k"], width).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 

@@ -78,16 +78,36 @@ def carried(blocks: DataFrame, keys: list[str], block: str, start: Column, combi
     return runs.select(*keys, F.inline(upto))
 
 
-def chain(links: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, place): the places on the way from the first one of each key. ``links``: keys, place, next (null at the end),
-    first. Links are doubled: after k rounds the first 2 ** k places are known and each link spans as many, so the rounds
-    are the logarithm of the longest way, and each is a join by place."""
-    known = links.filter("first").select(*keys, "place")
-    jump = links.filter("next is not null").select(*keys, "place", "next")
+def chain(links: DataFrame, keys: list[str], width: int = BLOCK) -> DataFrame:
+    """(keys, place): the places on the way from the first one of each key. ``links``: keys, place, next (null at the end; a
+    later place), first.
+
+    Places are cut into blocks of ``width``. Where a way can enter a block, at a place that another block leads to, it is
+    walked to where it leaves: one link over the block. These links are doubled: after k rounds the first 2 ** k entries
+    are known and each link spans as many blocks, so the rounds are the logarithm of the blocks on the longest way. The
+    blocks with a known entry are then walked side by side."""
+    block = lambda c: F.expr(f"{c} div {width}")
+    rows = links.select(*keys, "place", "next", "first", block("place").alias("block"))
+    blocks = rows.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("place", "next"))).alias("p"))
+    crossing = rows.filter(block("next") > F.col("block")).select(*keys, F.col("next").alias("place"), F.lit(False).alias("first"))
+    entries = rows.filter("first").select(*keys, "place", "first").unionByName(crossing).groupBy(*keys, "place").agg(F.bool_or("first").alias("first"))
+    walked = entries.withColumn("block", block("place")).join(blocks, [*keys, "block"])
+    leaves = F.aggregate("p", F.col("place"), lambda at, x: F.when(x["place"] == at, x["next"]).otherwise(at))
+    over = cut_lineage(walked.select(*keys, "place", "first", leaves.alias("next")))
+    known = over.filter("first").select(*keys, "place")
+    jump = over.filter("next is not null").select(*keys, "place", "next")
     while True:
         more = cut_lineage(known.join(jump, [*keys, "place"]).select(*keys, F.col("next").alias("place")))
         if more.isEmpty():
-            return known
+            break
         known = cut_lineage(known.unionByName(more))
-        over = jump.select(*keys, F.col("place").alias("next"), F.col("next").alias("_far"))
-        jump = cut_lineage(jump.join(over, [*keys, "next"]).select(*keys, "place", F.col("_far").alias("next")))
+        further = jump.select(*keys, F.col("place").alias("next"), F.col("next").alias("_far"))
+        jump = cut_lineage(jump.join(further, [*keys, "next"]).select(*keys, "place", F.col("_far").alias("next")))
+    start = F.named_struct(F.lit("at"), F.col("place"), F.lit("out"), F.array().cast("array<bigint>"))
+
+    def step(s, x):
+        here = x["place"] == s["at"]
+        return F.named_struct(F.lit("at"), F.when(here, x["next"]).otherwise(s["at"]), F.lit("out"), F.when(here, F.array_append(s["out"], x["place"])).otherwise(s["out"]))
+
+    seen = known.withColumn("block", block("place")).join(blocks, [*keys, "block"])
+    return seen.select(*keys, F.explode(F.aggregate("p", start, step)["out"]).alias("place"))
