@@ -96,11 +96,14 @@ def _groups(now: DataFrame, contents: DataFrame, shingles, few: int, spare: list
     often = F.coalesce("often", F.array().cast("array<bigint>"))
     order = F.concat(F.sort_array(F.array_except("d", often)), F.sort_array(F.array_intersect("d", often)))
     longest = F.array_max(F.transform("others", lambda c: c["prefix"]))
-    made = made.select("centre", "key", "rank", "class", "others", F.posexplode(F.slice(order, 1, longest)).alias("place", "e"))
+    made = made.select("centre", "key", "rank", "class", "others", F.slice(order, 1, longest).alias("prefix"))
+    prefixes = stored(made, "prefixes")
+    made = _with_a_free_one(prefixes)
+    made = made.select("centre", "key", "rank", "class", "others", F.explode("prefix").alias("p")).select("*", "p.place", "p.e").drop("p")
     made = made.select("centre", "e", "key", "rank", "class", F.explode(F.filter("others", lambda c: F.col("place") < c["prefix"])).alias("o"))
     made = made.select("centre", "e", "key", "rank", "class", F.least("class", "o.class").alias("one"), F.greatest("class", "o.class").alias("two"))
     made = stored(made, "shared")
-    spare += [rows, told, made]
+    spare += [rows, told, prefixes, made]
     by = ["centre", "e", "one", "two"]
     groups = made.groupBy(*by).agg(F.max("rank").alias("top"), F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
     groups = groups.filter("n > 1 and low = one and high = two").select(*by, "top", "n")
@@ -112,6 +115,25 @@ def _groups(now: DataFrame, contents: DataFrame, shingles, few: int, spare: list
     return large.unionByName(small.select("key", "rank", "top", F.lit(True).alias("ends")))
 
 
+#: Words of 64 bits in which the shingles of a pool's free members are marked.
+WORDS = 64
+
+
+def _with_a_free_one(rows: DataFrame) -> DataFrame:
+    """The rows with ``prefix`` as (place, e), without those shingles of members linked with their centre that no free
+    member of the pool can have: members linked with one centre are not compared with each other. Free members' shingles
+    are marked in a bitmap of fixed size, so a few that none has stay, and none that one has goes."""
+    word, bit = (lambda e: F.pmod(e, F.lit(WORDS)).cast("int")), (lambda e: F.shiftright(e, 6).bitwiseAND(63).cast("int"))
+    marks = rows.filter(F.col("class") > 0).select("centre", F.explode("prefix").alias("e"))
+    marks = marks.groupBy("centre", word(F.col("e")).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(shiftright(e, 6) & 63 as int)))").alias("m"))
+    marks = marks.groupBy("centre").agg(F.map_from_entries(F.collect_list(F.struct("w", "m"))).alias("marks"))
+    marks = marks.select("centre", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda w: F.coalesce(F.col("marks")[w], F.lit(0).cast("long"))).alias("marks"))
+    placed = F.transform("prefix", lambda e, k: F.named_struct(F.lit("place"), k, F.lit("e"), e))
+    marked = F.filter(placed, lambda p: F.getbit(F.get("marks", word(p["e"])), bit(p["e"])) == 1)
+    joined = rows.join(marks, "centre")
+    return joined.withColumn("prefix", F.when(F.col("class") > 0, placed).otherwise(marked)).drop("marks")
+
+
 def star_links(members: DataFrame, contents: DataFrame, threshold: int, fits, shingles=F.col) -> DataFrame:
     """Links (a < b) with the components that comparing all pairs of each bucket would give, without making them.
 
