@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from turnlens.llm import _stars, decontam, lines, mixing, neardup, pii, quality, substring, suffix, tokens, warc
 from turnlens.llm._graph import components
+from turnlens.llm._text import shingle_hashes, word_hashes, word_spans
 from turnlens.llm.queries import VOCABULARY
 
 from . import brute
@@ -460,6 +461,63 @@ def test_decontamination(spark, docs, corpus, empty):
     assert blocks == set(want)
 
 
+def test_decontamination_of_shared_phrases(spark):
+    """Exact weights against brute force, on items that share phrases, and copies of items."""
+    from collections import Counter
+    from fractions import Fraction
+
+    draw = random.Random(4)
+    phrases = [words(draw, n, 300) for n in (6, 9, 14)]
+    items = [(k, f"{words(draw, draw.randint(4, 18), 300)} {draw.choice(phrases)} {words(draw, 3, 300)}") for k in range(24)]
+    items += [(30, items[0][1].upper()), (31, items[5][1]), (31, items[5][1].upper()), (32, phrases[2])]
+    docs = []
+    for d in range(30):
+        parts = []
+        for _ in range(6):
+            some = draw.choice(items)[1].split()
+            if draw.random() < 0.6:
+                some[draw.randrange(len(some))] = "changed"
+            parts += [" ".join(some), words(draw, 12, 300)]
+        docs.append((d, "\n".join(parts)))
+    docs += [(40, phrases[1]), (41, " ".join(phrases * 30))]
+    grams = lambda t: [tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)]
+    bags = {k: Counter(grams(t)) for k, t in items}
+    df = Counter(g for bag in bags.values() for g in bag)
+    weigh = lambda bag: sum(n * Fraction(1, df.get(g, 1)) for g, n in bag.items())
+    want = {}
+    for d, text in docs:
+        own = grams(text)
+        for k, bag in bags.items():
+            wide = min(len(own), bag.total())
+            tops = [(weigh(w & bag) / weigh(w | bag), -s) for s in range(len(own) - wide + 1) for w in [Counter(own[s : s + wide])]]
+            if tops and max(tops)[0] >= Fraction(4, 5):
+                want[d, k] = (float(max(tops)[0]), -max(tops)[1])
+    found = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in found}
+    assert len(found) == len(got) and got.keys() == want.keys() and len(want) > 60
+    assert all(got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1] for k in want)
+
+
+def test_decontamination_memory_is_level():
+    """A text full of a phrase that all items share costs the same with 500 and with 20,000 items."""
+    import tracemalloc
+
+    phrase = " ".join(f"p{k}" for k in range(12))
+    text = " ".join([f"{phrase} x{k} y{k}" for k in range(250)])
+    peaks = []
+    for count in (500, 20_000):
+        bench = decontam.Benchmark([(k, (" ".join(f"a{k}_{j}" for j in range(20)) + " " + phrase).encode()) for k in range(count)], 5, 22, 0.8)
+        buf = np.frombuffer(text.encode(), np.uint8)
+        shingles = shingle_hashes(word_hashes(buf, *word_spans(buf, np.array([0, len(buf)])), fold_case=True), 5)
+        hits = np.flatnonzero(np.isin(shingles, bench.shingles))
+        assert len(hits) == 250 * 8
+        tracemalloc.start()
+        assert bench.matches(shingles, hits) == {}
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0] + 1e5
+
+
 PAGES = [(5, "http://e.org/a b", "<p>same</p>"), (2, "u", "<p>same</p>"), (9, None, None), (3, "v", ""), (7, "w", "é\r\n\r\nWARC/1.0\r\n" * 50), (8, "w", "x" * 200_000), (4, "http://e.org", "<p>same</p>")]
 
 
