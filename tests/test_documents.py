@@ -141,3 +141,22 @@ def test_diarize(spark):
     rows = sorted((r["job_id"], r["start_ms"], r["end_ms"], r["speaker"]) for r in diarize(segments, embed).collect())
     assert [(j, a, b) for j, a, b, _ in rows] == [(1, 0, 12_000), (1, 12_000, 24_000), (2, 0, 1_000)] and rows[0][3] != rows[1][3]
     assert diarize(segments.filter("false"), embed).count() == 0
+
+
+def test_meeting_summaries(spark):
+    asked = []
+
+    def ask(rows):
+        asked.append({(r["job_id"], r["kind"]) for r in rows.collect()})
+        known = {("topics", 1): '[{"title": "a", "start_time": 2, "end_time": "x"}, {"description": "b"}, 7]', ("decisions", 1): '```json\n[{"content": "d", "timestamp": "3.5"}]\n```'}
+        if len(asked) > 1:
+            known["action_items", 1] = 'see [{"task": "t", "priority": null, "assignee": "An"}].'
+        return rows.join(spark.createDataFrame([(j, k, t) for (k, j), t in known.items()] + [(1, "summary", " s\n"), (2, "topics", '{"title": "no list"}')], "job_id long, kind string, answer string"), ["job_id", "kind"], "left")
+
+    texts = spark.createDataFrame([(1, "text"), (2, None)], "job_id long, text string")
+    got = {r["job_id"]: r.asDict(recursive=True) for r in D.meeting_summaries(texts, ask, "en").collect()}
+    action = {"task": "t", "assignee": "An", "deadline": None, "priority": "medium", "mentioned_by": None, "timestamp": None}
+    assert got[1] == {"job_id": 1, "summary": "s", "topics": [{"title": "a", "description": "", "start_time": 2.0, "end_time": 0.0}], "action_items": [action], "decisions": [{"content": "d", "made_by": "Team", "timestamp": 3.5}], "calls": 5}
+    assert got[2] == {"job_id": 2, "summary": "[Summary unavailable]", "topics": [], "action_items": [], "decisions": [], "calls": 7}
+    assert len(asked) == 2 and asked[1] == {(1, "action_items"), (2, "topics"), (2, "action_items"), (2, "decisions")}
+    assert D.meeting_summaries(texts.filter("false"), lambda d: d.withColumn("answer", F.lit(None).cast("string"))).count() == 0

@@ -219,3 +219,13 @@ def test_minor_clusters_are_dissolved(spark):
     names = {job: [c for _, c in sorted(x)] for job, x in got.items()}
     assert names[1] == [0] * 12 and names[3] == [0] * 4
     assert len(set(names[2][:9])) == 1 and len(set(names[2][9:])) == 1 and names[2][0] != names[2][9]
+
+
+def test_preassigned_turns_keep_their_speakers(spark):
+    rows = [(1, 0, 3, "x" * 79), (2, 0, 1, "x" * 40), (2, 1, 2, " " + "y" * 39), (3, 0, 1, "z" * 239 + "."), (4, 0, 1, "z" * 240 + "."), (5, 0, None, None), (6, 0, 2, "")]
+    s = spark.createDataFrame(rows, "job_id long, ord long, speaker long, text string")
+    mark = lambda d: d.withColumn("text", F.concat("text", F.lit("!")))
+    got = {(r["job_id"], r["ord"]): (r["speaker"], r["text"]) for r in Z.finalize_preassigned(s, mark, native=True).collect()}
+    changed = {(2, 0), (2, 1), (4, 0)}
+    assert got == {(j, o): (p, t + "!" if (j, o) in changed else t) for j, o, p, t in rows}
+    assert all(r["text"] is None or r["text"].endswith("!") for r in Z.finalize_preassigned(s, mark, native=False).collect())

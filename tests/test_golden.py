@@ -138,3 +138,22 @@ def test_text_functions(spark):
     ).first()
     assert row["d"] == pytest.approx(3779.56) and row["f"] == "_CON.txt" and row["n"] == 50
     assert (row["s"], row["h"]) == ("01:02:05,004", "1:02:05")
+
+
+def test_detections_become_segments(spark):
+    samples = [(8000, 16000), (160, 3360), (-100, 100), (1000, 1000), (None, 5), (0, None)]
+    rows = spark.createDataFrame([(1, k, s, e) for k, (s, e) in enumerate(samples)] + [(2, 9, 0, 9000), (3, 0, 0, 99_999)], "job_id int, ord int, start int, end int")
+    lengths = spark.createDataFrame([(1, 16000), (3, 4001), (4, None)], "job_id int, samples int")
+    got = sorted((r["job_id"], r["start_ms"], r["end_ms"], r["ord"]) for r in I.segments_of_samples(rows, lengths, least_ms=200).collect())
+    assert got == [(1, 10, 210, 1), (1, 500, 1000, 0), (3, 0, 251, 0)]
+    assert I.segments_of_samples(rows.filter("false"), lengths).count() == 0
+    ms = spark.createDataFrame([(1, s, e) for s, e in (("1200", "1600"), ("0", "100"), ("500", "900"), ("2000", "2000"), ("bad", "7"), (None, "9"))], "job_id int, start string, end string")
+    assert sorted((r["start_ms"], r["end_ms"]) for r in I.segments_of_ms(ms).collect()) == [(500, 900), (1200, 1600)]
+    whole = spark.createDataFrame([(1, 0.9, 200.2), (1, 0.0, float("nan"))], "job_id int, start double, end double")
+    assert [(r["start_ms"], r["end_ms"]) for r in I.segments_of_ms(whole).collect()] == [(0, 200)]
+
+
+def test_character_times_are_shifted(spark):
+    rows = spark.createDataFrame([(1, [(0, 10), None, (10, 25)], 1000), (2, [], 5), (3, None, 5)], "id int, times array<struct<s:long,e:long>>, offset long")
+    got = {r["id"]: r["x"] and [t and tuple(t) for t in r["x"]] for r in rows.select("id", T.shift_times("times", "offset").alias("x")).collect()}
+    assert got == {1: [(1000, 1010), None, (1010, 1025)], 2: [], 3: None}

@@ -171,6 +171,13 @@ def chars_of_aligned(text, words) -> Column:
     return F.when((F.size(words) > 0) & (F.length(here) > 0), end).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
 
 
+def shift_times(times, offset_ms) -> Column:
+    """(s, e) of every character moved by the offset of its segment; null times and entries stay null, a null offset
+    gives null times."""
+    shift = F.col(offset_ms) if isinstance(offset_ms, str) else offset_ms
+    return F.transform(times, lambda t: F.when(t.isNotNull(), F.struct((t["s"] + shift).alias("s"), (t["e"] + shift).alias("e"))))
+
+
 def timing_weight(c) -> Column:
     """visible characters."""
     return F.length(F.regexp_replace(c, r"\s+", "")).cast("long")

@@ -128,6 +128,51 @@ def llm_rows(answers: DataFrame, fields: str, needed: str, defaults: dict[str, s
     return rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in (defaults or {}).items()})
 
 
+#: What stands for a summary that the model did not give.
+NO_SUMMARY = {"vi": "[Không thể tạo tóm tắt]", "en": "[Summary unavailable]"}
+#: The lists of a report, each with the field without which a row does not count, and its other fields
+#: with their defaults. Fields with a numeric default, and timestamp, are numbers.
+LISTS = {
+    "topics": ("title", {"description": "", "start_time": 0.0, "end_time": 0.0}),
+    "action_items": ("task", {"assignee": None, "deadline": None, "priority": "medium", "mentioned_by": None, "timestamp": None}),
+    "decisions": ("content", {"made_by": "Team", "timestamp": None}),
+}
+
+
+def report_list(answer, kind: str) -> Column:
+    """C14: the rows of one list (LISTS) in a model's answer, in its order. Rows without the needed field go; missing or
+    null fields get their defaults, and numbers that cannot be read are null. An answer without an array gives no rows."""
+    needed, others = LISTS[kind]
+    fields = ", ".join(f"{c}: string" for c in (needed, *others))
+
+    def field(row: Column, name: str, default) -> Column:
+        value = row[name].try_cast("double") if name == "timestamp" or isinstance(default, float) else row[name]
+        return (value if default is None else F.coalesce(value, F.lit(default))).alias(name)
+
+    each = F.from_json(json_array(answer), "array<string>")  # one by one, so that an entry that is no object harms no other
+    rows = F.coalesce(F.transform(each, lambda e: F.from_json(e, f"struct<{fields}>")), F.array().cast(f"array<struct<{fields}>>"))
+    named = F.filter(rows, lambda r: F.coalesce(r[needed] != "", F.lit(False)))
+    return F.transform(named, lambda r: F.struct(r[needed].alias(needed), *(field(r, c, v) for c, v in others.items())))
+
+
+def meeting_summaries(texts: DataFrame, ask, language: str = "vi") -> DataFrame:
+    """C14: reports of meetings from texts (job_id, text): job_id, summary, topics, action_items, decisions, calls.
+
+    ``ask`` takes (job_id, kind, text), kind being summary or one of LISTS, and adds ``answer`` (null where the model
+    failed). All kinds of all meetings are one call of it. A list whose answer holds no JSON array is asked for once more,
+    then it stays empty; a summary is asked for once and has a stand-in. ``calls`` counts a meeting's questions. Answers
+    are stored before they are read, so no question is put twice because two results need it."""
+    kinds = F.explode(F.array(F.lit("summary"), *map(F.lit, LISTS))).alias("kind")
+    first = cut_lineage(ask(texts.select("job_id", kinds, F.coalesce("text", F.lit("")).alias("text"))).select("job_id", "kind", "text", "answer"))
+    valid = (F.col("kind") == "summary") | F.from_json(json_array("answer"), "array<string>").isNotNull()
+    last = cut_lineage(asked_again(first, valid, ask).select("job_id", "kind", "answer", "calls"))
+    answers = last.groupBy("job_id").agg(
+        F.sum("calls").alias("calls"), *(F.max(F.when(F.col("kind") == k, F.col("answer"))).alias(k) for k in ("summary", *LISTS))
+    )
+    summary = F.coalesce(T.strip("summary"), F.lit(NO_SUMMARY[language])).alias("summary")
+    return answers.select("job_id", summary, *(report_list(k, k).alias(k) for k in LISTS), "calls")
+
+
 def write_documents(texts: DataFrame, plan, write, reduce, plan_chars: int = 6000, chunk_chars: int = 6000, reduce_chars: int = 8000) -> DataFrame:
     """Documents from texts (doc_id, text): plan, map over chunks, reduce by section.
 

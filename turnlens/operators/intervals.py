@@ -32,6 +32,26 @@ def overlap_join(left: DataFrame, right: DataFrame, bin_ms: int = BIN_MS) -> Dat
     return a.join(b, ["job_id", "bin"]).filter(once & (overlap > 0)).select("job_id", "l", "r", overlap.alias("overlap_ms"))
 
 
+def segments_of_samples(detections: DataFrame, lengths: DataFrame, rate: int = 16_000, least_ms: int = 250) -> DataFrame:
+    """P5: detections in samples (job_id, start, end, ...) as start_ms, end_ms; ``lengths``: job_id, samples of the audio.
+
+    Detections are clipped to the audio; the start is rounded down and the end up, so that no speech is cut. What is null,
+    not an integer, empty or shorter than ``least_ms`` goes, and so does a job without a length. Rows keep their other
+    columns; their order is (start_ms, end_ms)."""
+    first, last = F.greatest(F.lit(0).cast("long"), F.col("start").try_cast("long")), F.least("_n", F.col("end").try_cast("long"))
+    known = detections.filter(F.col("start").try_cast("long").isNotNull() & F.col("end").try_cast("long").isNotNull())
+    known = known.join(lengths.select("job_id", F.col("samples").cast("long").alias("_n")).filter("_n is not null"), "job_id").withColumns({"_a": first, "_b": last}).filter("_b > _a")
+    ms = known.withColumns({"start_ms": F.expr(f"_a * 1000 div {rate}"), "end_ms": F.expr(f"(_b * 1000 + {rate - 1}) div {rate}")})
+    return ms.filter(F.col("end_ms") - F.col("start_ms") >= least_ms).drop("start", "end", "_a", "_b", "_n")
+
+
+def segments_of_ms(detections: DataFrame, least_ms: int = 200) -> DataFrame:
+    """P5: detections in milliseconds (job_id, start, end, ...), cut to whole ones, as start_ms, end_ms. What is null, not
+    a number, empty or shorter than ``least_ms`` goes; nothing is clipped. The order of rows is start_ms."""
+    ms = detections.withColumns({"start_ms": F.col("start").try_cast("long"), "end_ms": F.col("end").try_cast("long")})
+    return ms.filter((F.col("end_ms") > F.col("start_ms")) & (F.col("end_ms") - F.col("start_ms") >= least_ms)).drop("start", "end")
+
+
 def speaker_overlaps(sentences: DataFrame, diar: DataFrame) -> DataFrame:
     """G1: summed and longest overlap of each sentence with each speaker, and the speaker's first turn."""
     return (

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import intervals as I
 from ..operators import transcripts as R
 from ..operators import vectors as V
 from . import fixtures as X
@@ -56,8 +57,8 @@ Q["F5_export_label"] = (
     "SELECT event_id, 'meeting-' || strftime(ts + INTERVAL 7 HOUR, '%Y%m%d-%H%M') AS label FROM events",
 )
 Q["F6_sanitize_filename"] = (
-    _docs(lambda d: d.select("doc_id", T.sanitize_filename(F.substring("text", 1, 100)).alias("name"))),
-    r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(substr(text, 1, 100), '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[\s.]+|[\s.]+$', '', 'g') AS c FROM documents),
+    _docs(lambda d: d.select("doc_id", T.sanitize_filename("text").alias("name"))),
+    r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[\s.]+|[\s.]+$', '', 'g') AS c FROM documents),
     b AS (SELECT doc_id, regexp_replace(substr(c, 1, 80), '[\s.]+$', '') AS s FROM a)
     SELECT doc_id, CASE WHEN s = '' THEN 'document' WHEN regexp_matches(upper(regexp_extract(s, '^[^.]*')), '^(CON|PRN|AUX|NUL|COM[1-9]|LPT[1-9])$') THEN '_' || s ELSE s END AS name FROM b""",
 )
@@ -110,16 +111,38 @@ Q["S12_pending_work_scan"] = (
 )
 # projections and predicates
 Q["P1_align_timestamps"] = (
-    _sent(lambda s: s.select("job_id", "ord", (F.col("start_ms") + 1000).alias("start_ms"), (F.col("end_ms") + 1000).alias("end_ms"))),
-    X.with_views(_S) + " SELECT job_id, ord, start_ms + 1000 AS start_ms, end_ms + 1000 AS end_ms FROM sentences",
+    _sent(
+        lambda s: s.withColumn("times", F.transform(F.split("text", ""), lambda c, k: F.struct((k * 10).cast("long").alias("s"), (k * 10 + 10).cast("long").alias("e"))))
+        .select("job_id", "ord", F.posexplode(T.shift_times("times", "start_ms")).alias("place", "t"))
+        .select("job_id", "ord", F.col("place").cast("long").alias("place"), F.col("t.s").alias("start_ms"), F.col("t.e").alias("end_ms"))
+    ),
+    X.with_views(_S) + """ SELECT job_id, ord, place, start_ms + place * 10 AS start_ms, start_ms + place * 10 + 10 AS end_ms
+    FROM (SELECT job_id, ord, start_ms, unnest(range(greatest(length(text), 1))) AS place FROM sentences) AS t""",
 )
 Q["P3_pad_segments"] = (
     lambda spark, sf_dir: X.vad(spark, sf_dir).join(X.sentences(spark, sf_dir).groupBy("job_id").agg((F.max("end_ms") + 500).alias("d")), "job_id").select("job_id", "ord", F.greatest(F.lit(0).cast("long"), F.col("start_ms") - 100).alias("start_ms"), F.least("d", F.col("end_ms") + 100).alias("end_ms")),
     X.with_views(_S, _V, _DUR) + " SELECT job_id, ord, greatest(0, start_ms - 100) AS start_ms, least(duration_ms, end_ms + 100) AS end_ms FROM vad JOIN dur USING (job_id)",
 )
+_RAW = """raw AS (SELECT job_id, ord, start_ms * 16 - 900 + ord % 7 AS s, CASE WHEN ord % 11 = 3 THEN NULL ELSE end_ms * 16 + ord % 5 END AS e FROM vad),
+len AS (SELECT job_id, max(end_ms) * 16 - 777 AS samples FROM vad GROUP BY job_id)"""
+
+
+def _p5(spark, sf_dir):
+    vad = X.vad(spark, sf_dir)
+    raw = vad.selectExpr("job_id", "ord", "start_ms * 16 - 900 + ord % 7 AS start", "CASE WHEN ord % 11 = 3 THEN NULL ELSE end_ms * 16 + ord % 5 END AS end")
+    return I.segments_of_samples(raw, vad.groupBy("job_id").agg((F.max("end_ms") * 16 - 777).alias("samples")), least_ms=1500)
+
+
 Q["P5_normalize_vad"] = (
-    lambda spark, sf_dir: X.vad(spark, sf_dir).select("job_id", "ord", F.floor(F.col("start_ms") * 1.6 / 1.6).alias("start_ms"), F.ceil(F.col("end_ms") / 3.0).alias("end_ms")).filter(F.col("end_ms") - F.col("start_ms") >= 100),
-    X.with_views(_S, _V) + " SELECT * FROM (SELECT job_id, ord, CAST(floor(start_ms * 1.6e0 / 1.6e0) AS BIGINT) AS start_ms, CAST(ceil(end_ms / 3.0e0) AS BIGINT) AS end_ms FROM vad) AS t WHERE end_ms - start_ms >= 100",
+    _p5,
+    X.with_views(_S, _V, _RAW) + """ SELECT * FROM (
+      SELECT job_id, ord, greatest(s, 0) * 1000 // 16000 AS start_ms, CAST(ceil(least(e, samples) / 16.0e0) AS BIGINT) AS end_ms
+      FROM raw JOIN len USING (job_id) WHERE e IS NOT NULL AND least(e, samples) > greatest(s, 0)) AS t WHERE end_ms - start_ms >= 1500""",
+)
+Q["P5_normalize_vad_ms"] = (
+    lambda spark, sf_dir: I.segments_of_ms(X.vad(spark, sf_dir).selectExpr("job_id", "ord", "cast(start_ms as double) + 0.75 AS start", "cast(end_ms as double) - ord % 3 * 900.5 AS end"), least_ms=1200),
+    X.with_views(_S, _V) + """ SELECT * FROM (SELECT job_id, ord, start_ms, CAST(trunc(end_ms - ord % 3 * 900.5e0) AS BIGINT) AS end_ms FROM vad) AS t
+    WHERE end_ms - start_ms >= 1200""",
 )
 Q["P6_clip_sentence"] = (
     _sent(lambda s: s.withColumns({"lo": F.greatest(F.lit(0).cast("long"), F.expr("(end_ms - start_ms) div 4")), "hi": F.expr("(end_ms - start_ms) * 3 div 4")}).select("job_id", "ord", T.strip(F.array_join(F.filter(F.split("text", ""), lambda c, i: (i * 10 + 5 >= F.col("lo")) & (i * 10 + 5 < F.col("hi"))), "")).alias("text"))),
