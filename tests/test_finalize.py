@@ -129,6 +129,19 @@ def test_quiet_cuts(spark):
     assert got[3] == [(0, 14_500), (14_500, 15_500)]  # cut so that a second is left
 
 
+def test_quiet_cuts_stream_audio(spark):
+    """Audio is on the streamed side, however small it is thought to be: it is neither broadcast nor sorted."""
+    turns = spark.createDataFrame([(k % 5, k, 900 * k, 900 * k + 2500 - k) for k in range(40)], "job_id long, ord long, start_ms long, end_ms long")
+    audio = turns.groupBy("job_id").agg(F.max("end_ms").alias("n")).select("job_id", F.transform(F.sequence(F.lit(0), "n"), lambda k: F.sin(k * 0.7)).alias("samples"))
+    cut = A.split_at_quiet(turns, audio, rate=1000, most=1500, search=400, least=200)
+    rows = cut.collect()
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" not in plan and "BuildLeft" in plan
+    assert {r["ord"] for r in rows} == set(range(40)) and all(r["end_ms"] - r["start_ms"] <= 1700 for r in rows)
+    by = {k: sorted((r["start_ms"], r["end_ms"]) for r in rows if r["ord"] == k) for k in range(40)}
+    assert all(x[0][0] == 900 * k and x[-1][1] == 900 * k + 2500 - k and all(a[1] == b[0] for a, b in zip(x, x[1:])) for k, x in by.items())
+
+
 def test_log_mel_against_plain_sums(spark):
     import cmath
     import math

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 
 def rms_normalize(samples, target: float = 0.05, most: float = 3.0, peak: float = 0.99, least: float = 1e-6) -> F.Column:
@@ -75,10 +77,13 @@ def log_mel(audio: DataFrame, rate: int = 16_000, n_fft: int = 400, hop: int = 1
 def split_at_quiet(turns: DataFrame, audio: DataFrame, rate: int = 16_000, most: int = 15_000, search: int = 2_000, least: int = 1_000) -> DataFrame:
     """Speaker turns (job_id, start_ms, end_ms, ...) of more than ``most`` ms cut at the quietest frame (40 ms, every
     10 ms) of the last ``search`` ms before the limit, then the nearest to it, then the latest. A rest under ``least`` ms
-    stays with the part before. ``audio``: job_id, samples. Each turn gets its own samples only."""
+    stays with the part before. ``audio``: job_id, samples. Each long turn gets its own samples only.
+
+    The turns, which are small, are the hashed side of the join, so that audio is neither broadcast nor sorted; it streams
+    by, and only slices of it go on."""
     frame = 40 * rate // 1000
 
-    def cuts(start: int, end: int, x: np.ndarray) -> list[dict]:
+    def cuts(start: int, end: int, x: np.ndarray) -> list[list[int]]:
         sums = np.concatenate(([0.0], np.cumsum(np.asarray(x, float) ** 2)))
         parts, now = [], start
         while end - now > most:
@@ -100,17 +105,27 @@ def split_at_quiet(turns: DataFrame, audio: DataFrame, rate: int = 16_000, most:
             parts[-1][1] = end
         elif end > now:
             parts.append([now, end])
-        return [{"start_ms": a, "end_ms": b} for a, b in parts]
-
-    @F.pandas_udf("array<struct<start_ms:bigint,end_ms:bigint>>")
-    def split(start: pd.Series, end: pd.Series, samples: pd.Series) -> pd.Series:
-        return pd.Series([cuts(a, b, [] if x is None else x) for a, b, x in zip(start, end, samples, strict=True)])
+        return parts
+
+    def split(batches):
+        for batch in batches:
+            rows, found, own = [], [], batch.column("own")
+            for k, (a, b) in enumerate(zip(batch.column("start_ms").to_pylist(), batch.column("end_ms").to_pylist(), strict=True)):
+                if a is not None and b is not None:
+                    x = own[k].values
+                    parts = cuts(a, b, np.zeros(0) if x is None else x.to_numpy(zero_copy_only=False))
+                    rows += [k] * len(parts)
+                    found += parts
+            kept = batch.select(rest).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array([p[n] for p in found], pa.int64()) for n in (0, 1))], [*rest, "start_ms", "end_ms"])
 
     at = lambda c: (F.col(c) * rate / 1000).cast("int")
     own = F.slice("samples", at("start_ms") + 1, F.greatest(at("end_ms") - at("start_ms"), F.lit(0)))
-    joined = turns.join(audio.select("job_id", "samples"), "job_id", "left")
+    joined = turns.hint("shuffle_hash").join(audio.select("job_id", "samples"), "job_id", "left")
     rest = [c for c in turns.columns if c not in ("start_ms", "end_ms")]
-    return joined.select(*rest, F.explode(split("start_ms", "end_ms", own)).alias("p")).select(*rest, "p.start_ms", "p.end_ms")
+    schema = Y.StructType([turns.schema[c] for c in rest] + [Y.StructField(c, Y.LongType()) for c in ("start_ms", "end_ms")])
+    long = F.col("end_ms") - F.col("start_ms") > most
+    return joined.select(*rest, F.col("start_ms").cast("long"), F.col("end_ms").cast("long"), F.when(long, own).alias("own")).mapInArrow(split, schema)
 
 
 def sample_segments(raw: DataFrame, audio: DataFrame, rate: int = 16_000, least_ms: int = 0) -> DataFrame:
