@@ -92,6 +92,31 @@ def test_char_speakers_and_groups(spark):
     assert groups((2, 0), (2, 1), (1, 0)) == [(0, 5, 0)]
 
 
+def test_char_speakers_of_whole_sentences(spark):
+    """The same as by rows: overlapping turns, gaps at the start, inside and at the end, sentences without turns or text."""
+    shape = "job_id long, ord long, start_ms long, n_chars int, char_ms int"
+    told = spark.createDataFrame([(1, 0, 0, 12, 100), (1, 1, 5000, 4, 100), (1, 2, 6000, 0, 100), (1, 3, 6000, 9, 7), (1, 4, 90_000, 1, 100)], shape)
+    turns = diar(spark, (150, 420, 0), (380, 600, 1), (600, 640, 2), (800, 1010, 2), (6010, 6030, 1), (29_000, 95_000, 5))
+    chars = told.filter("n_chars > 0").selectExpr("job_id", "ord", "explode(sequence(0L, n_chars - 1L)) AS pos", "start_ms AS s", "char_ms AS c").selectExpr("job_id", "ord", "pos", "s + pos * c AS start_ms", "s + pos * c + c AS end_ms")
+    rows = lambda df: sorted(map(tuple, df.select("job_id", "ord", "pos", "speaker").collect()))
+    pieces, single = I.speaker_pieces(told, turns), I.map_chars_to_speakers(chars, turns)
+    each = lambda df: rows(df.selectExpr("job_id", "ord", "explode(sequence(from_pos, to_pos - 1)) AS pos", "speaker"))
+    assert each(pieces) == rows(single) and pieces.filter("ord = 4").count() == 1
+    assert [r[3] for r in rows(single) if r[1] == 0] == [None, 0, 0, 0, 1, 1, 2, None, 2, 2, 2, None]
+    filled = I.fill_gaps(pieces, "from_pos")
+    assert each(filled) == rows(I.fill_gaps(single))
+    assert [r[3] for r in rows(I.fill_gaps(single)) if r[1] == 0] == [0, 0, 0, 0, 1, 1, 2, 2, 2, 2, 2, 2]
+    groups = lambda df: sorted(map(tuple, df.select("job_id", "ord", "grp", "from_pos", "to_pos", "speaker").collect()))
+    assert groups(I.grouped_pieces(filled, 3)) == groups(I.speaker_groups(single, 3))
+
+
+def test_long_gaps_are_filled_in_one_pass(spark):
+    """A sentence of 200,000 characters: a frame that starts anew at every row took the square of it."""
+    told = spark.range(1).selectExpr("1L AS job_id", "0L AS ord", "transform(sequence(0, 199999), k -> if(k % 1000 = 999, k div 1000, null)) AS speakers")
+    rows = I.fill_gaps(told.selectExpr("job_id", "ord", "posexplode(speakers) AS (pos, speaker)"))
+    assert rows.agg(F.sum("speaker"), F.count("*")).first()[:] == (sum(k * 1000 for k in range(199)) + 199, 200_000)
+
+
 def test_coverage(spark):
     speech, confirmed = segs(spark, (0, 1000), (1500, 2600)), segs(spark, (0, 1000))
     assert spans(I.missing_ranges(speech, confirmed)) == [(1500, 2600)]

@@ -113,12 +113,41 @@ def assign_speakers(sentences: DataFrame, diar: DataFrame) -> DataFrame:
     return sentences.join(best, ["job_id", "ord"], "left").select("job_id", "ord", found.cast("int").alias("speaker"))
 
 
+def _with_turns(spans: DataFrame, diar: DataFrame) -> DataFrame:
+    """(job_id, ord, turns): the turns that overlap a span (job_id, ord, start_ms, end_ms) somewhere."""
+    turn = F.struct("r.start_ms", "r.end_ms", "r.seg_ord", "r.speaker")
+    return overlap_join(spans, diar).groupBy("job_id", F.col("l.ord").alias("ord")).agg(F.collect_list(turn).alias("turns"))
+
+
+def _speaker_of(start: Column, end: Column) -> Column:
+    """The speaker of the one of ``turns`` that overlaps (start, end) most, the first on a tie; null without one."""
+    overlap = lambda t: F.least(end, t["end_ms"]) - F.greatest(start, t["start_ms"])
+    return F.array_max(F.transform("turns", lambda t: F.when(overlap(t) > 0, F.struct(overlap(t).alias("most"), (-t["seg_ord"]).alias("first"), t["speaker"].alias("speaker")))))["speaker"]
+
+
 def map_chars_to_speakers(chars: DataFrame, diar: DataFrame) -> DataFrame:
     """The speaker of the single turn that overlaps a character most (the first on a tie), null without one.
-    ``chars``: job_id, ord, pos, start_ms, end_ms."""
-    hit = overlap_join(chars, diar).groupBy("job_id", F.col("l.ord").alias("ord"), F.col("l.pos").alias("pos"))
-    best = hit.agg(F.max_by("r.speaker", F.struct("overlap_ms", -F.col("r.seg_ord"))).alias("speaker"))
-    return chars.join(best, ["job_id", "ord", "pos"], "left").select("job_id", "ord", "pos", "speaker")
+    ``chars``: job_id, ord, pos, start_ms, end_ms. Turns are looked up once a sentence, so characters are shuffled once."""
+    spans = chars.groupBy("job_id", "ord").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    joined = chars.join(_with_turns(spans, diar), ["job_id", "ord"], "left")
+    return joined.select("job_id", "ord", "pos", _speaker_of(F.col("start_ms"), F.col("end_ms")).alias("speaker"))
+
+
+def speaker_pieces(sentences: DataFrame, diar: DataFrame) -> DataFrame:
+    """J3 for whole sentences of ``n_chars`` characters that last ``char_ms`` each from ``start_ms`` on: pieces (job_id,
+    ord, from_pos, to_pos, speaker) of neighbours with one speaker. No row a character is made.
+
+    The speaker can change only where a turn starts or ends: characters that hold such a place are pieces of their own, and
+    so are the stretches between them."""
+    at = lambda k: F.col("start_ms") + k * F.col("char_ms")
+    some = sentences.filter("n_chars > 0").select("job_id", "ord", "start_ms", F.col("n_chars").cast("long"), F.col("char_ms").cast("long"))
+    joined = some.join(_with_turns(some.select("job_id", "ord", "start_ms", at(F.col("n_chars")).alias("end_ms")), diar), ["job_id", "ord"], "left")
+    place = lambda ms: F.floor((ms - F.col("start_ms")) / F.col("char_ms"))
+    marks = F.flatten(F.transform("turns", lambda t: F.array(place(t["start_ms"]), place(t["start_ms"]) + 1, place(t["end_ms"]), place(t["end_ms"]) + 1)))
+    inside = F.filter(F.coalesce(marks, F.array().cast("array<bigint>")), lambda k: (k > 0) & (k < F.col("n_chars")))
+    cut = joined.withColumn("cuts", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), inside))))
+    until = lambda i: F.coalesce(F.get("cuts", i + 1), F.col("n_chars"))
+    return cut.select("job_id", "ord", F.inline(F.transform("cuts", lambda k, i: F.struct(k.alias("from_pos"), until(i).alias("to_pos"), _speaker_of(at(k), at(k + 1)).alias("speaker")))))
 
 
 def speech_gaps(sentences: DataFrame, vad: DataFrame, durations: DataFrame, min_gap_ms: int = 1000) -> DataFrame:
@@ -281,21 +310,27 @@ def normalize_sentences(sentences: DataFrame, durations: DataFrame) -> DataFrame
     return merged.select("job_id", "island", "start_ms", "end_ms", F.array_join(texts, " ").alias("text"), F.get(named, F.lit(0)).alias("speaker"))
 
 
-def fill_gaps(chars: DataFrame) -> DataFrame:
-    """Null speakers take the one before, at the start the one after."""
-    order = W.partitionBy("job_id", "ord").orderBy("pos")
+def fill_gaps(chars: DataFrame, by: str = "pos") -> DataFrame:
+    """Null speakers take the one before, at the start the one after (the first one known). ``chars``: characters, or
+    pieces by ``from_pos``."""
+    order = W.partitionBy("job_id", "ord").orderBy(by)
     before = F.last("speaker", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first("speaker", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
-    return chars.withColumn("speaker", F.coalesce(before, after))
+    known = F.first("speaker", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return chars.withColumn("speaker", F.coalesce(before, known))
 
 
 def speaker_groups(chars: DataFrame, min_chars: int = 3) -> DataFrame:
     """Runs of one speaker over a sentence's characters; a run under ``min_chars`` joins the group before,
     except the first. Equal neighbours that arise so stay apart. Returns (job_id, ord, grp, from_pos, to_pos, speaker)."""
-    order = W.partitionBy("job_id", "ord").orderBy("pos")
+    return grouped_pieces(fill_gaps(chars).select("job_id", "ord", F.col("pos").alias("from_pos"), (F.col("pos") + 1).alias("to_pos"), "speaker"), min_chars)
+
+
+def grouped_pieces(parts: DataFrame, min_chars: int = 3) -> DataFrame:
+    """``speaker_groups`` of the filled pieces of a sentence (job_id, ord, from_pos, to_pos, speaker)."""
+    order = W.partitionBy("job_id", "ord").orderBy("from_pos")
     changed = F.coalesce(F.lag("speaker").over(order) != F.col("speaker"), F.lit(True))
-    runs = fill_gaps(chars).filter("speaker is not null").withColumn("run", F.sum(changed.cast("long")).over(order))
-    runs = runs.groupBy("job_id", "ord", "run").agg(F.min("pos").alias("a"), (F.max("pos") + 1).alias("b"), F.first("speaker").alias("speaker"))
+    runs = parts.filter("speaker is not null").withColumn("run", F.sum(changed.cast("long")).over(order))
+    runs = runs.groupBy("job_id", "ord", "run").agg(F.min("from_pos").alias("a"), F.max("to_pos").alias("b"), F.first("speaker").alias("speaker"))
     opens = (F.col("run") == 1) | (F.col("b") - F.col("a") >= min_chars)
     grouped = runs.withColumn("grp", F.sum(opens.cast("long")).over(W.partitionBy("job_id", "ord").orderBy("run")))
     return grouped.groupBy("job_id", "ord", "grp").agg(F.min("a").alias("from_pos"), F.max("b").alias("to_pos"), F.min_by("speaker", "run").alias("speaker"))
