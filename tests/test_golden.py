@@ -110,6 +110,18 @@ def test_char_speakers_of_whole_sentences(spark):
     assert groups(I.grouped_pieces(filled, 3)) == groups(I.speaker_groups(single, 3))
 
 
+def test_char_times_of_long_texts(spark):
+    """4,000 words: each was looked for from the start of the text, and all times so far were copied."""
+    df = spark.range(1).selectExpr("concat('  ', repeat('ab\u00e9 ', 4000)) AS text", "transform(sequence(0L, 3999L), k -> named_struct('text', 'ab\u00e9', 's', k * 10, 'e', k * 10 + 8)) AS w")
+    got = df.select(T.chars_of_aligned("text", F.col("w")).alias("c")).selectExpr("size(c) AS n", "c[2].e AS a", "element_at(c, -1).s AS z").first()
+    assert got[:] == (16_002, 8, 39_990)
+    words = F.transform("w", lambda w: F.struct(F.concat(F.lit(" "), w["text"], F.lit("\t")).alias("text"), w["s"], w["e"]))
+    said = df.select(T.chars_of_words(words).alias("c")).selectExpr("size(c) AS n", "c[0].c AS a", "c[0].s AS s", "element_at(c, -1).c AS z").first()
+    assert said[:] == (19_998, "a", 0, "\u00e9")
+    blank = spark.sql("SELECT array(named_struct('text', ' \t', 's', 1L, 'e', 2L), named_struct('text', '', 's', 1L, 'e', 2L)) AS w")
+    assert blank.select(T.chars_of_words(F.col("w")).alias("c")).first()["c"] == []
+
+
 def test_long_gaps_are_filled_in_one_pass(spark):
     """A sentence of 200,000 characters: a frame that starts anew at every row took the square of it."""
     told = spark.range(1).selectExpr("1L AS job_id", "0L AS ord", "transform(sequence(0, 199999), k -> if(k % 1000 = 999, k div 1000, null)) AS speakers")
