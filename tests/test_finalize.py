@@ -80,6 +80,15 @@ def test_long_lines_and_bounded_join(spark):
     assert parts.select(Z.bounded_join("p", 10)).first()[0] == "aaa…\n\nbb"
 
 
+def test_bounded_join_strips_a_part_once(spark):
+    """20,000 parts: stripping all of them for each took the square."""
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda k: F.concat(F.lit(" p"), k.cast("string"), F.lit("\n"))).alias("p"))
+    assert df.select(Z.bounded_join("p", 45_000)).first()[0].startswith("…\n\n…\n\n")
+    assert df.select(Z.bounded_join("p", 10**6)).first()[0] == "\n\n".join(f"p{k}" for k in range(1, 20_001))
+    odd = spark.createDataFrame([([],), (None,), ([" ", None, "a"],)], "p array<string>")
+    assert [r[0] for r in odd.select(Z.bounded_join("p", 9)).collect()] == ["", None, "a"]
+
+
 ALIGN = [
     ("ab cd", "Ab, cd.", [10, 20, 30, 40, 50], [10, 20, 20, 30, 40, 50, 50]),
     ("hello world", "hello World", list(range(11)), list(range(11))),
