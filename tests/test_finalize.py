@@ -89,6 +89,13 @@ def test_bounded_join_strips_a_part_once(spark):
     assert [r[0] for r in odd.select(Z.bounded_join("p", 9)).collect()] == ["", None, "a"]
 
 
+def test_alignment_leaves_times_with_spark(spark):
+    pairs = spark.createDataFrame([(1, "ab", "Ab.", [1, 2]), (2, None, "x", [3]), (3, "a", None, [1]), (4, "a", "b", None)], "id long, old string, new string, ts array<long>")
+    made = Z.align_punctuated(pairs)
+    assert {r["id"]: r["ts"] for r in made.collect()} == {1: [1, 2, 2], 2: [3], 3: [], 4: []}
+    assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 ALIGN = [
     ("ab cd", "Ab, cd.", [10, 20, 30, 40, 50], [10, 20, 20, 30, 40, 50, 50]),
     ("hello world", "hello World", list(range(11)), list(range(11))),
