@@ -317,6 +317,24 @@ def test_pairs_grow_with_the_members_of_a_version(spark, pairs, fuzzy_lines):
     assert all(made[n] < 12 * 3 * n for n in made)
 
 
+def test_pairs_of_a_spread_family(spark, pairs):
+    """Copies of a text with few to many edits each: half of them are linked with nothing, few pairs are compared."""
+    draw = random.Random(17)
+    base, words = [f"w{k}" for k in range(150)], [f"x{k}" for k in range(20)]
+    rows = []
+    for k in range(400):
+        text = list(base)
+        for place in draw.sample(range(150), 1 + k % 12):
+            text[place] = draw.choice(words)
+        rows.append((k, " ".join(text)))
+    want = {d: c for d, (_, c) in brute.near_components(rows, 3, 85).items()}
+    assert 100 < len(set(want.values())) < 300
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    print("pairs compared:", sum(pairs))
+    assert sum(pairs) < 30 * len(rows)
+
+
 def test_recall_of_lines_end_to_end(spark):
     """Families of lines, with shared beginnings, versions, chains and couples: components against brute force."""
     draw, rows = random.Random(31), []
