@@ -335,6 +335,33 @@ def test_pairs_of_a_spread_family(spark, pairs):
     assert sum(pairs) < 30 * len(rows)
 
 
+def test_pairs_of_lines_that_lack_the_same(spark, pairs):
+    """Lines that all lack the same piece of their centre, and are otherwise edited apart: none is linked, few pairs are
+    compared, and those that are linked (every tenth with its successor) are found."""
+    draw = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = "".join(draw.choice(letters) for _ in range(400))
+    rows = [(k, base[:k] + "#" + base[k + 1 :]) for k in range(60)]
+    for k in range(240):
+        line = list(base[:180] + base[230:])
+        for place in draw.sample(range(len(line)), 4):
+            line[place] = draw.choice(letters.upper())
+        rows.append((len(rows), "".join(line)))
+        if k % 10 == 0:
+            rows.append((len(rows), "".join(line[:-1])))
+    want = {d for d, _ in line_brute(rows)}
+    got = {r["doc_id"] for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("pairs compared:", sum(pairs), "of", len(rows), "lines, of which go", len(want))
+    assert got == want
+    assert sum(pairs) < 9 * len(rows)
+
+
+def test_a_spread_family_takes_few_pairs(spark, pairs):
+    """Differences that are shared by few come first, so under ten pairs a member are compared."""
+    test_pairs_of_a_spread_family(spark, pairs)
+    assert sum(pairs) < 10 * 400
+
+
 def test_recall_of_lines_end_to_end(spark):
     """Families of lines, with shared beginnings, versions, chains and couples: components against brute force."""
     draw, rows = random.Random(31), []
